@@ -114,3 +114,41 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
 def held_out(column: str, divisor: int) -> "F.Column":
     """crc32 of the id as text leaves remainder 2; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % divisor == 2, F.lit(False))
+
+
+def dealt_keys(n: int) -> np.ndarray:
+    """n int keys of which Spark's hash partitioning into n puts exactly one in each partition."""
+    x = np.arange(n * 40 + 1000, dtype=np.uint32)
+
+    def rotl(v, r):
+        return (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+
+    # murmur3 of one int, seed 42, as Spark's HashPartitioning computes it
+    k = rotl(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = rotl(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    at = h.view(np.int32).astype(np.int64) % n
+    keys, first = np.unique(at, return_index=True)
+    out = np.arange(n, dtype=np.int64)
+    out[keys] = first
+    return out
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The concatenation of arange(s, s + l)."""
+    lengths = lengths.astype(np.int64)
+    total = int(lengths.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(lengths)
+    return np.arange(total) + np.repeat(starts.astype(np.int64) - (ends - lengths), lengths)
+
+
+def pieces(first: np.ndarray, n: int):
+    """(start, end) of each run, given where runs start among n rows."""
+    return zip(first.tolist(), [*first[1:].tolist(), n], strict=True) if len(first) else iter(())

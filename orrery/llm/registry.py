@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, sstable
+from . import bpe, mixture, quality, sstable, suffix
 
 
 def queries() -> dict:
     return {
+        "op2_mixture": mixture.query,
         "op6_sstable": sstable.query,
         "op7_bpe": bpe.query,
+        "op8_suffix_dedup": suffix.query,
+        "op9_host_quality": quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixture": mixture.SQL, "op9_host_quality": quality.SQL}
