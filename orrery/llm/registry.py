@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, mixture, quality, sstable, suffix
+from . import bpe, jaccard, lm, mixture, quality, sstable, suffix
 
 
 def queries() -> dict:
     return {
         "op2_mixture": mixture.query,
+        "op5_jaccard": jaccard.query,
         "op6_sstable": sstable.query,
         "op7_bpe": bpe.query,
         "op8_suffix_dedup": suffix.query,
         "op9_host_quality": quality.query,
+        "op10_attention_lm": lm.query,
     }
 
 
