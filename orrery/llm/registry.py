@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, lm, mixture, quality, sstable, suffix
+from . import bpe, jaccard, langid, lm, mixture, pages, quality, sstable, suffix, topk
 
 
 def queries() -> dict:
     return {
+        "op1_topk": topk.query,
         "op2_mixture": mixture.query,
+        "op3_pages": pages.query,
+        "op4_language": langid.query,
         "op5_jaccard": jaccard.query,
         "op6_sstable": sstable.query,
         "op7_bpe": bpe.query,
@@ -18,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixture": mixture.SQL, "op9_host_quality": quality.SQL}
+    return {"op1_topk": topk.SQL, "op2_mixture": mixture.SQL, "op9_host_quality": quality.SQL}
