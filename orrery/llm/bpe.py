@@ -8,12 +8,16 @@ recur, so each is merged once and remembered in a bounded table.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -25,7 +29,7 @@ PRETOKEN = regex.compile(
 )
 #: Blocks whose letters and digits have long been settled, so that every Unicode version agrees on them.
 SETTLED = regex.compile(
-    r"[\u0000-\u001b\u0020-\u0084\u0086-\u024f\u0391-\u03a1\u03a3-\u03ce\u0410-\u044f"
+    r"[\u0000-\u001b\u0020-\u0084\u0086-\u009f\u00a1-\u024f\u0391-\u03a1\u03a3-\u03ce\u0410-\u044f"
     r"\u2010-\u2027\u2030-\u205e\u20ac\u2190-\u21ff\u2200-\u22ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
 )
 
@@ -44,10 +48,112 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Recent:
+    """A bounded table in two generations: what was used since the last change of generation is kept."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}  # plain dicts: set operations are quick with them
+
+    def missing(self, tokens) -> set:
+        """Those without an entry, after entries of the old generation were taken over."""
+        if len(self.now) >= self.most:
+            self.now, self.old = {}, self.now
+        new = set(tokens).difference(self.now)
+        if self.old and new:
+            old = self.old
+            back = [t for t in new if t in old]
+            self.now.update((t, old[t]) for t in back)
+            new.difference_update(back)
+        return new
+
+
+#: Where white space does not stand alone between words: such texts are split by the full pattern.
+UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\v", "\f", "\r", "\0")
+
+
+def settled(text: str) -> bool:
+    return text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") or bool(SETTLED.fullmatch(text))
+
+
+def even(text: str) -> bool:
+    return not any(u in text for u in UNEVEN) and text[:1] != "\n" and text[-1:] not in ("\n", " ")
+
+
+class ByWords:
+    """Ids of texts by way of their words, most of which recur.
+
+    Where every white space stands alone, a pre-token never reaches across the place in front of it. So a word
+    with the space or line break in front of it has the same ids wherever it stands, and they are remembered: a
+    word under itself, behind \\n if a line break is in front of it, behind \\0 if nothing is. `learn` gives the ids of
+    new pre-tokens.
+    """
+
+    def __init__(self, learn, remembered: int = 250_000):
+        self.learn, self.words = learn, Recent(remembered)
+
+    @staticmethod
+    def split(word: str) -> list[str]:
+        if word[0] in "\0\n":
+            return PRETOKEN.findall(word.lstrip("\0"))
+        if word[-1] in ".,|" and word[:-1].isalpha():
+            return [" " + word[:-1], word[-1]]
+        return PRETOKEN.findall(" " + word)
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """uint32 ids of each word (as kept, see above), as bytes."""
+        new = self.words.missing(words)
+        known = self.words.now
+        if new:
+            alone = [w for w in new if w.isalpha()]
+            split = {w: self.split(w) for w in new.difference(alone)}
+            pieces = set(itertools.chain.from_iterable(split.values()))
+            ids = {t: x for t in pieces if t[0] == " " and (x := known.get(t[1:])) is not None and t[1:].isalpha()}
+            pieces.difference_update(ids)
+            pieces.update([" " + w for w in alone])
+            self.learn(pieces, ids)
+            of = ids.__getitem__
+            for w in alone:
+                known[w] = ids[" " + w]
+            for w, ts in split.items():
+                known[w] = b"".join(map(of, ts))
+        out = [*map(known.__getitem__, words)]
+        for w in new:
+            if len(w) > 256:  # such words hardly recur
+                del known[w]
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """uint32 ids of each text. Words are told apart in Arrow, so only distinct ones are looked up."""
+        regular = [i for i, t in enumerate(texts) if even(t)]
+        out: list = [None] * len(texts)
+        if regular:
+            column = pa.array([texts[i] for i in regular], pa.large_string())
+            column = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), column, pa.scalar("", pa.large_string()))
+            parts = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+            told = parts.flatten().dictionary_encode()
+            index = told.indices.to_numpy()
+            kept = self.ids(told.dictionary.to_pylist())
+            pool = np.frombuffer(b"".join(kept), "<u4")
+            size = np.fromiter(map(len, kept), np.int64, len(kept)) >> 2
+            begin = np.cumsum(size) - size
+            size = size[index]
+            flat = pool[common.ranges(begin[index], size)]
+            ends = np.concatenate([[0], np.cumsum(size)])[np.asarray(parts.offsets)]
+            for k, i in enumerate(regular):
+                out[i] = flat[ends[k] : ends[k + 1]]
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                tokens = PRETOKEN.findall(t)
+                ids: dict = {}
+                self.learn(set(tokens), ids)
+                out[i] = np.frombuffer(b"".join(map(ids.__getitem__, tokens)), "<u4")
+        return out
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder over a tokenizer file of kind byte-level BPE."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"]
@@ -73,7 +179,7 @@ class ForcedBoundaryBPE:
         self.joined, self.inside = joined, set(zip(*(x.tolist() for x in np.nonzero(joined)), strict=True))
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.decimal = {i: b"%d" % i for i in self.bytes_of}
-        self.remembered, self.fragments, self.pretokens = remembered, {}, {}
+        self.remembered, self.fragments, self.by_words = remembered, {}, ByWords(self._learn, remembered)
 
     def cuts(self, token: bytes) -> list[bytes]:
         """The fragments between forced boundaries."""
@@ -139,28 +245,19 @@ class ForcedBoundaryBPE:
             out += ids
         return np.array(out, "<u4").tobytes()
 
-    def _ordinary(self, text: str) -> bytes:
-        tokens, known = PRETOKEN.findall(text), self.pretokens
-        if len(known) >= self.remembered:
-            known.clear()
-        for t in set(tokens).difference(known):
+    def _learn(self, new: set[str], known: dict) -> None:
+        for t in new:
             known[t] = self._pretoken(t)
-        out = b"".join(map(known.__getitem__, tokens))
-        if len(tokens) and max(map(len, tokens)) > 256:  # such tokens hardly recur; don't keep them
-            for t in [t for t in known if len(t) > 256]:
-                del known[t]
-        return out
+
+    def _ordinary(self, text: str) -> np.ndarray:
+        return self.by_words.encode([text])[0]
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids; an added token's string in the text becomes its id, as the library does."""
         if self.splitter is None or not any(a in text for a in self.added):
-            return np.frombuffer(self._ordinary(text), "<u4")
-        pieces = [
-            np.array([self.added[x]], "<u4").tobytes() if x in self.added else self._ordinary(x)
-            for x in self.splitter.split(text)
-            if x
-        ]
-        return np.frombuffer(b"".join(pieces), "<u4")
+            return self._ordinary(text)
+        pieces = [np.array([self.added[x]], "<u4") if x in self.added else self._ordinary(x) for x in self.splitter.split(text) if x]
+        return np.concatenate([np.zeros(0, "<u4"), *pieces])
 
     def decode(self, ids) -> str:
         """The text of the ids, special tokens included."""
@@ -197,25 +294,42 @@ def encode_column(docs: DataFrame, tokenizer: str, *keys: str) -> DataFrame:
     """
     common.prepare(docs.sparkSession)
 
+    src = docs.select(*keys, F.coalesce("text", F.lit("")).alias("__text"))
+
     def run(batches):
         bpe = loaded(tokenizer)
-        for batch in common.slices(batches):
-            ids = [_ids(bpe, tokenizer, t) for t in batch.column("text").to_pylist()]
+        for batch in common.slices(batches, 4 << 20):
+            ids = ids_of(bpe, tokenizer, batch.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in keys]
+                [batch.column(i) for i in range(len(keys))]
                 + [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([bpe.decode(x.tolist()) for x in ids])],
                 [*keys, "token_ids", "decoded"],
             )
 
-    src = common.texts(docs, *keys)
-    schema = src.drop("text").schema.add("token_ids", "array<int>").add("decoded", "string")
+    schema = src.drop("__text").schema.add("token_ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
     return src.mapInArrow(run, schema)
 
 
 def _ids(bpe: ForcedBoundaryBPE, path: str, text: str) -> np.ndarray:
-    if SETTLED.fullmatch(text):
-        return bpe.encode(text)
-    return np.array(whole_text_ids(path, text), "<u4")
+    return ids_of(bpe, path, [text])[0]
+
+
+def ids_of(bpe: ForcedBoundaryBPE, path: str, texts: list[str]) -> list[np.ndarray]:
+    """Ids of each text; those with characters of unsettled class go to the library, those with the string of an
+    added token are split at it."""
+    plain = [settled(t) and not any(a in t for a in bpe.added) for t in texts]
+    done = iter(bpe.by_words.encode([t for t, ok in zip(texts, plain, strict=True) if ok]))
+    return [
+        next(done) if ok else bpe.encode(t) if settled(t) else np.array(whole_text_ids(path, t), "<u4")
+        for t, ok in zip(texts, plain, strict=True)
+    ]
+
+
+def encoded_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, source, n_tokens, token_ids and whether they decode to the text, of every row."""
+    rows = encode_column(docs, tokenizer, "doc_id", "source", "text")
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
 
 
 def encode_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -228,10 +342,10 @@ def encode_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         bpe = loaded(tokenizer)
         digit, of = bpe.decimal.__getitem__, bpe.bytes_of.__getitem__
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, 6 << 20):
             n, ids_hash, text_hash = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = _ids(bpe, tokenizer, text).tolist()
+            for x in ids_of(bpe, tokenizer, batch.column("text").to_pylist()):
+                ids = x.tolist()
                 n.append(len(ids))
                 ids_hash.append(hashlib.sha256(b",".join(map(digit, ids))).hexdigest())
                 back = b"".join(map(of, ids)).decode("utf-8", "replace").encode()
