@@ -36,10 +36,23 @@ def diffs(x: Column, lag: int = 1) -> Column:
     return F.when(F.size(x) > lag, F.zip_with(F.slice(x, lag + 1, F.size(x) - lag), F.slice(x, 1, F.size(x) - lag), lambda a, b: a - b)).otherwise(F.array().cast("array<double>"))
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with value taken once: as a lambda's variable it is not copied into f, as a plain column would be
+    when projections are collapsed."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def median(x: Column) -> Column:
-    s, n = F.array_sort(x), F.size(x)
-    half = F.floor(n / 2).cast("int")
-    return F.when(n == 0, null()).when(n % 2 == 1, F.try_element_at(s, half + 1)).otherwise((F.try_element_at(s, F.greatest(half, F.lit(1))) + F.try_element_at(s, half + 1)) / 2)
+    def middle(s):
+        half = F.floor(F.size(s) / 2).cast("int")
+        return F.when(F.size(s) == 0, null()).when(F.size(s) % 2 == 1, F.get(s, half)).otherwise((F.get(s, half - 1) + F.get(s, half)) / 2)
+
+    return bind(F.array_sort(x), middle)
+
+
+def mad(x: Column, center: Column | None = None) -> Column:
+    """Median distance from the median (or from center)."""
+    return bind(x, lambda a: bind(median(a) if center is None else center, lambda m: median(F.transform(a, lambda v: F.abs(v - m)))))
 
 
 def running(x: Column) -> Column:
