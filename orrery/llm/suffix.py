@@ -176,7 +176,7 @@ def text_arrays(batch):
     return texts, data, bounds, hashes, th
 
 
-def mark_blocks(batches, length: int, keys: np.ndarray, flush_at: int = 1_500_000):
+def mark_blocks(batches, length: int, keys: np.ndarray, flush_at: int = 400_000):
     """Stage 1: marks and their contexts; contexts equal within the task are folded before they travel."""
     held, count = [], 0
 
@@ -186,7 +186,7 @@ def mark_blocks(batches, length: int, keys: np.ndarray, flush_at: int = 1_500_00
         yield from dealt(((kept["a"] & np.uint64(0xFFFFFFFF)) % np.uint64(len(keys))).astype(np.int64), keys, MARKS, **kept)
         yield from span_blocks(*spans, keys)
 
-    for batch in common.slices(batches, 3 << 20):
+    for batch in common.slices(batches, 1 << 20):
         _, data, bounds, hashes, th = text_arrays(batch)
         at, a = anchors(data, bounds, length, hashes)
         if len(at):
@@ -241,23 +241,30 @@ def site_blocks(batches, keys: np.ndarray, many: int):
         yield as_batch(rows)
 
 
-def doc_blocks(batches, keys: np.ndarray, keep: list[str]):
-    """Whole documents packed for their parts."""
-    for batch in common.slices(batches, 8 << 20):
-        _, _, _, _, th = text_arrays(batch)
-        ids = column_ids(batch.column("doc_id"))
+def doc_blocks(batches, keys: np.ndarray, keep: list[str], block_bytes: int = 12 << 20):
+    """Whole documents packed for their parts, many to a block."""
+    held, size = [], 0
+
+    def flush():
+        table = pa.Table.from_batches([b.select(keep) for b, _, _ in held]).combine_chunks()
+        ids, th = np.concatenate([x for _, x, _ in held]), np.concatenate([x for _, _, x in held])
         part = home(ids, th, len(keys))
-        rows = []
         order = np.argsort(part, kind="stable")
-        first = common.runs(part[order])
-        for a, b in common.pieces(first, len(order)):
+        for a, b in common.pieces(common.runs(part[order]), len(order)):
             at = order[a:b]
-            sink = pa.BufferOutputStream()
-            some = batch.select(keep).take(pa.array(at))
+            sink, some = pa.BufferOutputStream(), table.take(pa.array(at))
             with pa.ipc.new_stream(sink, some.schema) as out:
-                out.write_batch(some)
-            rows.append((int(keys[part[at[0]]]), DOCS, common.pack(id=ids[at], th=th[at], rows=sink.getvalue().to_pybytes())))
-        yield as_batch(rows)
+                out.write_table(some)
+            yield int(keys[part[at[0]]]), DOCS, common.pack(id=ids[at], th=th[at], rows=sink.getvalue().to_pybytes())
+
+    for batch in common.slices(batches, 1 << 20):
+        held.append((batch, column_ids(batch.column("doc_id")), text_arrays(batch)[-1]))
+        size += batch.nbytes
+        if size >= block_bytes:
+            yield as_batch(flush())
+            held, size = [], 0
+    if held:
+        yield as_batch(flush())
 
 
 def opened(block: dict):
@@ -278,21 +285,32 @@ def window_blocks(batches, length: int, keys: np.ndarray):
         first = np.flatnonzero(np.concatenate([[True], (np.diff(sites["id"]) != 0) | (sites["th"][1:] != sites["th"][:-1])]))
         for a, b in common.pieces(first, len(order)):
             where[int(sites["id"][a]), int(sites["th"][a])] = (a, b)
-        for block in found[DOCS]:
-            mine = [where.pop((int(i), int(t)), None) for i, t in zip(block["id"], block["th"], strict=True)]
-            hit = [k for k, x in enumerate(mine) if x]
-            if not hit:
-                continue
-            texts = opened(block).column("text").take(pa.array(hit)).to_pylist()
-            texts = [(t or "").encode() for t in texts]
+        texts, spans, size = [], [], 0
+
+        def flush():
             data = np.frombuffer(b"".join(texts), np.uint8)
             base = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)[:-1]]).astype(np.int64)
-            spans = np.array([mine[k] for k in hit], np.int64)
-            n = spans[:, 1] - spans[:, 0]
-            at = common.ranges(spans[:, 0], n)
+            at = np.array(spans, np.int64)
+            n = at[:, 1] - at[:, 0]
+            at = common.ranges(at[:, 0], n)
             some = {k: v[at] for k, v in sites.items()}
             some["base"] = np.repeat(base, n)
-            rows += cut_windows(some, data, length, keys)
+            return cut_windows(some, data, length, keys)
+
+        while found[DOCS]:
+            block = found[DOCS].pop()
+            mine = [where.pop((int(i), int(t)), None) for i, t in zip(block["id"], block["th"], strict=True)]
+            hit = [k for k, x in enumerate(mine) if x]
+            if hit:
+                spans += [mine[k] for k in hit]
+                new = [t.encode() for t in opened(block).column("text").take(pa.array(hit)).to_pylist()]
+                texts += new
+                size += sum(map(len, new))
+            if size >= 6 << 20:
+                rows += flush()
+                texts, spans, size = [], [], 0
+        if texts:
+            rows += flush()
     if rows:
         yield as_batch(rows)
 
@@ -408,7 +426,7 @@ def repeated(w: dict, length: int):
     return w["id"][owner[late]], w["th"][owner[late]], start[late], start[late] + length
 
 
-def repeat_blocks(batches, length: int, keys: np.ndarray, text_bytes: int = 1 << 20):
+def repeat_blocks(batches, length: int, keys: np.ndarray, text_bytes: int = 1 << 18):
     """Stage 3: suffix arrays over the contexts of whole marks, about text_bytes at a time."""
     found, other = blocks_of(batches, SITES)
     rows, spans = list(other), []
@@ -448,7 +466,8 @@ def spans_by_document(batches):
         first = common.runs(d)
         for x, y in common.pieces(first, len(d)):
             by[int(di[d[x]]), int(dt[d[x]])] = (a[x:y], b[x:y])
-    for block in found[DOCS]:
+    while found[DOCS]:
+        block = found[DOCS].pop()
         yield block, [by.get((int(i), int(t))) for i, t in zip(block["id"], block["th"], strict=True)]
 
 
