@@ -114,7 +114,7 @@ def pairwise(cloud: DataFrame, features: list[str], keys: tuple[str, ...] = CLOU
     """Distance, cosine and Pearson across features of every unordered pair in a group; with a loading column also the
     pair's product and whether it passes the gate for the costly pair operators. (The work is in pairs of members of one
     window's cohort, a few dozen; the join is on the group.)"""
-    cols = [*keys, member, *features, *([loading] if loading else [])]
+    cols = [*keys, member, *features, *([loading] if loading and loading not in features else [])]
     a = cloud.select(*keys, *(F.col(c).alias(f"a_{c}") for c in cols if c not in keys))
     b = cloud.select(*keys, *(F.col(c).alias(f"b_{c}") for c in cols if c not in keys))
     j = a.join(b, list(keys)).filter(F.col(f"a_{member}") < F.col(f"b_{member}"))
