@@ -65,7 +65,7 @@ def obs_events_ts(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_type").alias("cohort"), F.concat(F.lit("u"), (F.col("user_id") % 8).cast("string")).alias("signal_id"),
-        F.col("ts").cast("double").alias("signal_0"), "value",
+        (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts AS TIMESTAMP_NTZ))") / 1e6).alias("signal_0"), "value",
     )
 
 
