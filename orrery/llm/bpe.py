@@ -7,6 +7,7 @@ recur, so each is merged once and remembered in a bounded table.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import itertools
 import json
@@ -123,7 +124,17 @@ class ByWords:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of each text. Words are told apart in Arrow, so only distinct ones are looked up."""
+        """uint32 ids of each text. The many short-lived lists hold no cycles: the collector only costs time here."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Words are told apart in Arrow, so only distinct ones are looked up."""
         regular = [i for i, t in enumerate(texts) if even(t)]
         out: list = [None] * len(texts)
         if regular:
@@ -153,7 +164,7 @@ class ByWords:
 class ForcedBoundaryBPE:
     """Encoder and decoder over a tokenizer file of kind byte-level BPE."""
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"]
@@ -245,6 +256,10 @@ class ForcedBoundaryBPE:
             out += ids
         return np.array(out, "<u4").tobytes()
 
+    def forget(self) -> None:
+        """Drop what was remembered: a worker that outlives its task should not hold on to it."""
+        self.fragments, self.by_words = {}, ByWords(self._learn, self.remembered)
+
     def _learn(self, new: set[str], known: dict) -> None:
         for t in new:
             known[t] = self._pretoken(t)
@@ -305,9 +320,10 @@ def encode_column(docs: DataFrame, tokenizer: str, *keys: str) -> DataFrame:
                 + [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([bpe.decode(x.tolist()) for x in ids])],
                 [*keys, "token_ids", "decoded"],
             )
+        bpe.forget()
 
     schema = src.drop("__text").schema.add("token_ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(common.tidied(run), schema)
 
 
 def _ids(bpe: ForcedBoundaryBPE, path: str, text: str) -> np.ndarray:
@@ -354,10 +370,11 @@ def encode_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(text_hash)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        bpe.forget()
 
     src = common.texts(docs, "doc_id")
     schema = src.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(common.tidied(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

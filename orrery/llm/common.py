@@ -152,3 +152,26 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def pieces(first: np.ndarray, n: int):
     """(start, end) of each run, given where runs start among n rows."""
     return zip(first.tolist(), [*first[1:].tolist(), n], strict=True) if len(first) else iter(())
+
+
+def tidied(kernel):
+    """The kernel, giving freed memory back to the system when a task ends: workers outlive tasks."""
+
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            tidy()
+
+    return run
+
+
+def tidy() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

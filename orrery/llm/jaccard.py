@@ -81,7 +81,7 @@ def sketched(docs: DataFrame, runs: int, n: int) -> DataFrame:
             )
 
     src = common.texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return src.mapInArrow(run, "doc_id long, sig binary, keys array<long>, sketch binary")
+    return src.mapInArrow(common.tidied(run), "doc_id long, sig binary, keys array<long>, sketch binary")
 
 
 def common_sig(s: np.ndarray) -> bytes | None:
@@ -207,7 +207,7 @@ def proposed_links(rows: DataFrame, least: int, small: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
     n = common.parts(rows.sparkSession, 1)
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(common.tidied(run), "u long, v long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -266,7 +266,7 @@ def verified(groups: DataFrame, numerator: int, denominator: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in rows.values()], [*rows])
 
     n = common.parts(groups.sparkSession, 1)
-    return groups.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "node long, root long, links long")
+    return groups.repartition(n, "g").sortWithinPartitions("g").mapInArrow(common.tidied(run), "node long, root long, links long")
 
 
 def with_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -278,7 +278,7 @@ def with_sets(rows: DataFrame, n: int) -> DataFrame:
             sets = [shingles(t, n).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sets, pa.binary())], [*keep, "set"])
 
-    return rows.select(*keep, "text").mapInArrow(run, rows.drop("text").schema.add("set", "binary"))
+    return rows.select(*keep, "text").mapInArrow(common.tidied(run), rows.drop("text").schema.add("set", "binary"))
 
 
 def join(docs: DataFrame, similarity: tuple[int, int] = (4, 5), n: int = 5, recall: float = 0.9999,

@@ -96,7 +96,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             total = np.add.reduceat(n, first) if len(first) else n
             yield pa.RecordBatch.from_arrays([pa.array(langs[lang[first]].tolist(), pa.string()), pa.array(gram[first]), pa.array(total)], ["lang", "gram", "n"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(common.tidied(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def profiles(docs: DataFrame, length: int = PROFILE) -> dict[str, np.ndarray]:
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, divisor: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = src.select("doc_id", "held_out", "text")
-    return rows.mapInArrow(run, rows.drop("text").schema.add("lang_pred", "string").add("score", "double"))
+    return rows.mapInArrow(common.tidied(run), rows.drop("text").schema.add("lang_pred", "string").add("score", "double"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -292,7 +292,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0,
 
     src = common.texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
     ordered = src.repartitionByRange(common.parts(spark, 1), "doc_id").sortWithinPartitions("doc_id", "text")
-    return common.cut(ordered.mapInArrow(run, MANIFEST), "sst-manifest")
+    return common.cut(ordered.mapInArrow(common.tidied(run), MANIFEST), "sst-manifest")
 
 
 def read_shards(spark, out_dir: str, manifest: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def read_shards(spark, out_dir: str, manifest: DataFrame) -> DataFrame:
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.sst").load(out_dir).select("path", "content")
-    records = files.mapInArrow(run, "shard string, doc_id long, before long, n_tokens long, ids_crc32 long")
+    records = files.mapInArrow(common.tidied(run), "shard string, doc_id long, before long, n_tokens long, ids_crc32 long")
     return records.join(shard_starts(manifest), "shard").select(
         "doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -486,12 +486,12 @@ def dealt_spans(docs: DataFrame, keep: list[str], length: int, many: int) -> tup
     keys = common.dealt_keys(n)
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     narrow = docs.select("doc_id", "text")
-    marks = narrow.mapInArrow(lambda b: mark_blocks(b, length, keys), BLOCK).repartition(n, "part")
-    sites = marks.mapInArrow(lambda b: site_blocks(b, keys, many), BLOCK)
-    bodies = narrow.mapInArrow(lambda b: doc_blocks(b, keys, ["text"]), BLOCK)
-    windows = sites.unionAll(bodies).repartition(n, "part").mapInArrow(lambda b: window_blocks(b, length, keys), BLOCK)
-    spans = windows.repartition(n, "part").mapInArrow(lambda b: repeat_blocks(b, length, keys), BLOCK)
-    whole = docs.mapInArrow(lambda b: doc_blocks(b, keys, keep), BLOCK)
+    marks = narrow.mapInArrow(common.tidied(lambda b: mark_blocks(b, length, keys)), BLOCK).repartition(n, "part")
+    sites = marks.mapInArrow(common.tidied(lambda b: site_blocks(b, keys, many)), BLOCK)
+    bodies = narrow.mapInArrow(common.tidied(lambda b: doc_blocks(b, keys, ["text"])), BLOCK)
+    windows = sites.unionAll(bodies).repartition(n, "part").mapInArrow(common.tidied(lambda b: window_blocks(b, length, keys)), BLOCK)
+    spans = windows.repartition(n, "part").mapInArrow(common.tidied(lambda b: repeat_blocks(b, length, keys)), BLOCK)
+    whole = docs.mapInArrow(common.tidied(lambda b: doc_blocks(b, keys, keep)), BLOCK)
     return spans.unionAll(whole).repartition(n, "part")
 
 
@@ -522,7 +522,7 @@ def removal(docs: DataFrame, length: int = 100, many: int = 20_000) -> DataFrame
     schema = docs.select("doc_id").schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")):
         schema = schema.add(name, kind)
-    return blocks.mapInArrow(run, schema)
+    return blocks.mapInArrow(common.tidied(run), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = 100, many: int = 20_000) -> DataFrame:
@@ -548,7 +548,7 @@ def without_repeats(docs: DataFrame, length: int = 100, many: int = 20_000) -> D
                 columns["n_chars"] = pa.array([len(new[i]) for i in keep]).cast(columns["n_chars"].type)
             yield from pa.table(columns).combine_chunks().to_batches()
 
-    return dealt_spans(docs, names, length, many).mapInArrow(run, schema)
+    return dealt_spans(docs, names, length, many).mapInArrow(common.tidied(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

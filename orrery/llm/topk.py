@@ -46,7 +46,7 @@ def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(n2, pa.float64())], ["vec_id", "v", "n2"])
 
     src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    return src.mapInArrow(run, "vec_id long, v binary, n2 double")
+    return src.mapInArrow(common.tidied(run), "vec_id long, v binary, n2 double")
 
 
 def matrix(column, width: int) -> np.ndarray:
@@ -174,7 +174,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
             where = [np.flatnonzero(length[i] * longest * (1 + 1e-9) >= t[i]).astype(np.int32) for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(t), pa.array(where, pa.list_(pa.int32()))], ["vec_id", "v", "bound", "buckets"])
 
-    asked = queries.select("vec_id", "v").mapInArrow(bound, "vec_id long, v binary, bound double, buckets array<int>")
+    asked = queries.select("vec_id", "v").mapInArrow(common.tidied(bound), "vec_id long, v binary, bound double, buckets array<int>")
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
     asked = asked.select("vec_id", "v", "bound", "block", F.explode("buckets").alias("bucket"))
 
@@ -185,7 +185,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
             b = np.array([number[x] for x in zip(r.tolist(), salt.tolist(), strict=True)], np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(b, pa.int32())], ["vec_id", "v", "bucket"])
 
-    candidates = placed.select("vec_id", "v", "range").mapInArrow(home, "vec_id long, v binary, bucket int")
+    candidates = placed.select("vec_id", "v", "range").mapInArrow(common.tidied(home), "vec_id long, v binary, bucket int")
     candidates = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
