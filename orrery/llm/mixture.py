@@ -25,14 +25,14 @@ CAP = 3
 
 
 def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """Adds m_source, m_size in words (null text: 0), the order's hash m_h and its range m_cell."""
+    """Adds __m_source, __m_size in words (null text: 0), the order's hash __m_h and its range __m_cell."""
     order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumns({"m_source": F.col("source"), "m_id": F.col("doc_id"), "m_size": size, "m_h": order})
-    return rows.withColumn("m_cell", F.substring("m_h", 1, 3))
+    rows = docs.withColumns({"__m_source": F.col("source"), "__m_id": F.col("doc_id"), "__m_size": size, "__m_h": order})
+    return rows.withColumn("__m_cell", F.substring("__m_h", 1, 3))
 
 
-OWN = ("m_source", "m_id", "m_size", "m_h", "m_cell")
+OWN = ("__m_source", "__m_id", "__m_size", "__m_h", "__m_cell")
 
 
 def targets(per_source: DataFrame, weights=WEIGHTS, starts=STARTS, cap: int = CAP) -> DataFrame:
@@ -68,24 +68,24 @@ def position(demand: Column, quota: Column, start: Column) -> Column:
 
 def plan(sizes: DataFrame, weights=WEIGHTS, starts=STARTS, cap: int = CAP) -> DataFrame:
     """For every (source, range): the words before it and the source's facts. Small: written once."""
-    cells = sizes.groupBy("m_source", "m_cell").agg(F.sum("m_size").alias("cell_size"))
-    ahead = Window.partitionBy("m_source").orderBy("m_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = sizes.groupBy("__m_source", "__m_cell").agg(F.sum("__m_size").alias("cell_size"))
+    ahead = Window.partitionBy("__m_source").orderBy("__m_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = common.cut(
-        cells.withColumn("m_before", F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)))
-        .withColumn("source_size", F.sum("cell_size").over(Window.partitionBy("m_source"))),
+        cells.withColumn("__m_before", F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)))
+        .withColumn("source_size", F.sum("cell_size").over(Window.partitionBy("__m_source"))),
         "mix-cells",
     )
-    per_source = cells.groupBy(F.col("m_source").alias("source")).agg(F.max("source_size").alias("source_size"))
-    t = targets(per_source, weights, starts, cap).withColumnsRenamed({"source_size": "m_total", "target": "m_target", "quota": "m_quota", "start": "m_start"})
-    facts = cells.join(t, cells.m_source.eqNullSafe(t.source)).drop("source", "rank", "cell_size", "source_size")
-    return facts.withColumnsRenamed({"m_source": "f_source", "m_cell": "f_cell"})
+    per_source = cells.groupBy(F.col("__m_source").alias("source")).agg(F.max("source_size").alias("source_size"))
+    t = targets(per_source, weights, starts, cap).withColumnsRenamed({"source_size": "__m_total", "target": "__m_target", "quota": "__m_quota", "start": "__m_start"})
+    facts = cells.join(t, cells.__m_source.eqNullSafe(t.source)).drop("source", "rank", "cell_size", "source_size")
+    return facts.withColumnsRenamed({"__m_source": "__f_source", "__m_cell": "__f_cell"})
 
 
 def placed(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """Adds each row's facts and m_offset, the words before it in its source's order."""
-    j = rows.join(facts, (rows.m_cell == facts.f_cell) & rows.m_source.eqNullSafe(facts.f_source))
-    inside = Window.partitionBy("m_source", "m_cell").orderBy("m_h", "m_id", "m_size").rowsBetween(Window.unboundedPreceding, -1)
-    return j.withColumn("m_offset", F.col("m_before") + F.coalesce(F.sum("m_size").over(inside), F.lit(0)))
+    """Adds each row's facts and __m_offset, the words before it in its source's order."""
+    j = rows.join(facts, (rows.__m_cell == facts.__f_cell) & rows.__m_source.eqNullSafe(facts.__f_source))
+    inside = Window.partitionBy("__m_source", "__m_cell").orderBy("__m_h", "__m_id", "__m_size").rowsBetween(Window.unboundedPreceding, -1)
+    return j.withColumn("__m_offset", F.col("__m_before") + F.coalesce(F.sum("__m_size").over(inside), F.lit(0)))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, starts=STARTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
@@ -97,17 +97,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, starts=STARTS, cap: int = CAP, seed: s
     rows = common.cut(sized(docs.select("doc_id", "source", "text"), seed).select(*OWN), "mix-sizes")
     p = placed(rows, plan(rows, weights, starts, cap))
     p = p.withColumn("taken", sum((copy(e) for e in range(cap)), F.lit(0).cast("long")))
-    when = F.when(F.col("taken") > 0, F.round(position(F.col("m_offset"), F.col("m_quota"), F.col("m_start")), 9))
+    when = F.when(F.col("taken") > 0, F.round(position(F.col("__m_offset"), F.col("__m_quota"), F.col("__m_start")), 9))
     return p.select(
-        F.col("m_id").alias("doc_id"), F.col("m_source").alias("source"), F.col("m_size").alias("size"),
-        F.col("m_total").alias("source_size"), F.col("m_target").alias("target"), "taken", when.alias("position"),
+        F.col("__m_id").alias("doc_id"), F.col("__m_source").alias("source"), F.col("__m_size").alias("size"),
+        F.col("__m_total").alias("source_size"), F.col("__m_target").alias("target"), "taken", when.alias("position"),
     )
 
 
 def copy(e) -> Column:
     """Words taken from a document's e-th copy, which stands e whole rounds later in the stream."""
-    left = F.col("m_quota") - F.col("m_total") * e - F.col("m_offset")
-    return F.greatest(F.lit(0).cast("long"), F.least(F.col("m_size"), left))
+    left = F.col("__m_quota") - F.col("__m_total") * e - F.col("__m_offset")
+    return F.greatest(F.lit(0).cast("long"), F.least(F.col("__m_size"), left))
 
 
 def curriculum(docs: DataFrame, **how) -> DataFrame:
@@ -119,11 +119,11 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, starts=STARTS, cap: int =
     """The mixed corpus with the documents' own columns: a row for each copy that words are taken from, whole,
     range-sorted by training time."""
     names = docs.columns
-    sizes = common.cut(sized(docs.select("doc_id", "source", "text"), seed).select("m_source", "m_size", "m_cell"), "mix-sizes")
+    sizes = common.cut(sized(docs.select("doc_id", "source", "text"), seed).select("__m_source", "__m_size", "__m_cell"), "mix-sizes")
     p = placed(sized(docs, seed), plan(sizes, weights, starts, cap)).filter(copy(0) > 0)
-    p = p.withColumn("m_e", F.explode(F.filter(F.sequence(F.lit(0), F.lit(cap - 1)), lambda e: copy(e) > 0)))
-    at = position(F.col("m_offset") + F.col("m_total") * F.col("m_e"), F.col("m_quota"), F.col("m_start"))
-    return p.withColumn("m_at", at).orderBy("m_at", "m_h", "m_e").select(*names)
+    p = p.withColumn("__m_e", F.explode(F.filter(F.sequence(F.lit(0), F.lit(cap - 1)), lambda e: copy(e) > 0)))
+    at = position(F.col("__m_offset") + F.col("__m_total") * F.col("__m_e"), F.col("__m_quota"), F.col("__m_start"))
+    return p.withColumn("__m_at", at).orderBy("__m_at", "__m_h", "__m_e").select(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def measure(text: str) -> tuple[int, ...]:
 
 
 def measured(docs: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns and q_<measure> of every row's whole text (null: no word). No shuffle."""
+    """The kept columns and __q_<measure> of every row's whole text (null: no word). No shuffle."""
     common.prepare(docs.sparkSession)
     src = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
 
@@ -74,25 +74,25 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
             got = np.array([measure(t) for t in batch.column("__text").to_pylist()], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k) for k in range(len(keep))] + [pa.array(np.ascontiguousarray(c)) for c in got.T],
-                [*keep, *(f"q_{m}" for m in MEASURES)],
+                [*keep, *(f"__q_{m}" for m in MEASURES)],
             )
 
     schema = src.drop("__text").schema
     for m in MEASURES:
-        schema = schema.add(f"q_{m}", "long")
-    return src.mapInArrow(run, schema)
+        schema = schema.add(f"__q_{m}", "long")
+    return src.mapInArrow(common.tidied(run), schema)
 
 
 def base_failed():
-    return (F.col("q_n_words") < 10) | (F.col("q_n_repeat_words") * 100 > F.col("q_n_words") * 20)
+    return (F.col("__q_n_words") < 10) | (F.col("__q_n_repeat_words") * 100 > F.col("__q_n_words") * 20)
 
 
 def over(limits) -> "F.Column":
     symbols, lines, repeats = limits
     return (
-        (F.col("q_n_symbols") * 100 > F.col("q_n_words") * symbols)
-        | (F.col("q_n_dup_lines") * 100 > F.col("q_n_lines") * lines)
-        | (F.col("q_n_repeat_words") * 100 > F.col("q_n_words") * repeats)
+        (F.col("__q_n_symbols") * 100 > F.col("__q_n_words") * symbols)
+        | (F.col("__q_n_dup_lines") * 100 > F.col("__q_n_lines") * lines)
+        | (F.col("__q_n_repeat_words") * 100 > F.col("__q_n_words") * repeats)
     )
 
 
@@ -136,7 +136,7 @@ def quality(docs: DataFrame, host: str = "source") -> DataFrame:
     """
     stats = common.cut(measured(docs, "doc_id", host), "quality")
     out = judged(stats, host_verdicts(stats, host), host)
-    names = [F.col(f"q_{m}").alias(m) for m in MEASURES[:5]]
+    names = [F.col(f"__q_{m}").alias(m) for m in MEASURES[:5]]
     return out.select("doc_id", *names, "base_failed", "kept")
 
 
