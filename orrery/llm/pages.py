@@ -11,6 +11,7 @@ Pages are dealt by range of (host, path), so a large host spreads over many task
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -89,14 +90,12 @@ def lines(page: str) -> list[tuple[str, bool]]:
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    flush()
                     del stack[k:]
                     break
         else:
             if name in ALONE:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
-                        flush()
                         del stack[k:]
                         break
                     if stack[k][0] not in INLINE:
@@ -151,34 +150,67 @@ def main_text(own: list[tuple[str, bool]], neighbours: list[list[tuple[str, bool
     return " ".join(t for i, t in enumerate(texts) if i not in drop)
 
 
+def order_key(host: str | None, path: str | None, page_id: int | None) -> tuple:
+    """Orders as Spark does: strings by their bytes, null first."""
+    return (host or "").encode(), (path or "").encode(), page_id is not None, page_id or 0
+
+
+def chunk_bounds(places: DataFrame, n: int) -> list[tuple[tuple, tuple]]:
+    """First and last key of each of about n chunks of the pages in order, from the urls alone."""
+    dealt = places.repartitionByRange(n, "host", "path", "page_id").withColumn("chunk", F.spark_partition_id())
+    ends = dealt.groupBy("chunk").agg(*(f(F.struct("host", "path", F.col("page_id").isNotNull().alias("has"), "page_id")).alias(k) for k, f in (("a", F.min), ("b", F.max))))
+    key = lambda r: order_key(r.host, r.path, r.page_id)
+    return sorted((key(r.a), key(r.b)) for r in ends.collect())  # two keys a chunk
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
     A null html is empty, and so is its text. A null url stands on a host of its own kind. Rows that repeat are
     neighbours of each other and, being equal, tell each other nothing. Very long pages are read whole, an empty
-    table gives no row. A page at the edge of a task's range is compared to the neighbour on its own side only.
+    table gives no row. Pages are cut into chunks in order of host and path; the last page of a chunk also goes to
+    the next, and the first to the one before, so every page meets both neighbours wherever the cuts lie.
     """
-    common.prepare(pages.sparkSession)
+    spark = pages.sparkSession
+    common.prepare(spark)
     url = F.coalesce(F.col("url"), F.lit(""))
-    src = pages.select(
-        "page_id", "url", F.coalesce("html", F.lit("")).alias("html"),
-        F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://(?:www\.)?([^/?#]*)", 1)).alias("host"),
-        F.regexp_extract(url, r"^(?:[a-zA-Z]+://[^/?#]*)?([^?#]*)", 1).alias("path"),
-    )
+    place = [F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://(?:www\.)?([^/?#]*)", 1)).alias("host"), F.regexp_extract(url, r"^(?:[a-zA-Z]+://[^/?#]*)?([^?#]*)", 1).alias("path")]
+    id_field = pages.select("page_id").schema[0]
+    n = common.parts(spark, 1)
+    bounds = chunk_bounds(pages.select("page_id", *place), n)
+    keys = common.dealt_keys(n)
+    firsts, lasts = [a for a, _ in bounds], {b: i for i, (_, b) in enumerate(bounds)}
+    starts = {a: i for i, a in enumerate(firsts)}
+
+    def deal(batches):
+        for batch in common.slices(batches, 8 << 20):
+            at, chunk, own = [], [], []
+            for r, k in enumerate(map(order_key, *(batch.column(c).to_pylist() for c in ("host", "path", "page_id")))):
+                c = bisect.bisect_right(firsts, k) - 1
+                to = [(c, True)]
+                if k in lasts and c + 1 < len(firsts):
+                    to.append((c + 1, False))
+                if k in starts and c:
+                    to.append((c - 1, False))
+                for x, mine in to:
+                    at.append(r)
+                    chunk.append(int(keys[x % n]))
+                    own.append(mine)
+            some = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(own), *some.columns], ["chunk", "own", *some.schema.names])
 
     def run(batches):
-        rows: list = []  # previous, current (page_id, url, host, lines) and what to yield
+        rows: list = []
         out: dict = {"page_id": [], "url": [], "text": [], "n_chars": []}
 
         def done(row, neighbours):
-            text = main_text(row[3], [n[3] for n in neighbours if n is not None and n[2] == row[2]])
-            for k, x in zip(out, (row[0], row[1], text, len(text)), strict=True):
-                out[k].append(x)
+            if row[4]:
+                text = main_text(row[3], [x[3] for x in neighbours if x[2] == row[2]])
+                for k, x in zip(out, (row[0], row[1], text, len(text)), strict=True):
+                    out[k].append(x)
 
         def batch_of():
-            b = pa.RecordBatch.from_arrays(
-                [pa.array(out["page_id"], id_type), pa.array(out["url"], pa.string()), pa.array(out["text"], pa.string()), pa.array(out["n_chars"], pa.int64())], [*out]
-            )
+            b = pa.RecordBatch.from_arrays([pa.array(out["page_id"], id_type), pa.array(out["url"], pa.string()), pa.array(out["text"], pa.string()), pa.array(out["n_chars"], pa.int64())], [*out])
             for x in out.values():
                 x.clear()
             return b
@@ -186,8 +218,8 @@ def extract(pages: DataFrame) -> DataFrame:
         id_type = pa.int64()
         for batch in common.slices(batches, 4 << 20):
             id_type = batch.column("page_id").type
-            for i, u, h, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True):
-                rows.append((i, u, h, lines(page)))
+            for i, u, h, page, mine in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html", "own")), strict=True):
+                rows.append((i, u, h, lines(page), mine))
                 if len(rows) == 2:
                     done(rows[0], [rows[1]])
                 elif len(rows) == 3:
@@ -199,8 +231,11 @@ def extract(pages: DataFrame) -> DataFrame:
             done(rows[-1], rows[:-1])
             yield batch_of()
 
-    ordered = src.repartitionByRange(common.parts(pages.sparkSession, 1), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return ordered.select("page_id", "url", "host", "html").mapInArrow(run, src.select("page_id", "url").schema.add("text", "string").add("n_chars", "long"))
+    src = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), *place)
+    schema = "chunk int, own boolean, page_id " + id_field.dataType.simpleString() + ", url string, html string, host string, path string"
+    sorted_ = src.mapInArrow(common.tidied(deal), schema).repartition(n, "chunk").sortWithinPartitions("chunk", "host", "path", "page_id", "url")
+    result = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
+    return sorted_.select("page_id", "url", "host", "html", "own").mapInArrow(common.tidied(run), result)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
