@@ -750,3 +750,132 @@ def sensitivity(x: np.ndarray) -> dict:
     q = s / s.sum() if s.sum() > 0 else s
     q = q[q > 0]
     return {"influence": m, "sensitivity": s, "entropy": float(-(q * np.log(q)).sum()), "dominant": int(s.argmax())}
+
+
+# ---------------------------------------------------------------- views, fingerprints, copulas
+
+
+def fourier_view(paths: np.ndarray) -> dict:
+    """Median over columns of dominant frequency and flatness of each column's path; eight points at least."""
+    if len(paths) < 8:
+        return {"fourier_dominant_freq": NAN, "fourier_flatness": NAN}
+    s = [spectral(p) for p in paths.T]
+    return {"fourier_dominant_freq": float(np.nanmedian([x["dominant_freq"] for x in s])), "fourier_flatness": float(np.nanmedian([x["spectral_flatness"] for x in s]))}
+
+
+def hilbert_view(paths: np.ndarray) -> dict:
+    """Envelope of each column's path: mean, trend and variation, averaged."""
+    if len(paths) < 4:
+        return {"envelope_mean": NAN, "envelope_trend": NAN, "envelope_cv": NAN}
+    e = np.stack([np.abs(analytic(p)) for p in paths.T], 1)
+    m = e.mean(0)
+    return {"envelope_mean": float(m.mean()), "envelope_trend": float(np.polyfit(np.arange(len(e)), e, 1)[0].mean()), "envelope_cv": float((e.std(0) / np.where(m < 1e-12, 1, m)).mean())}
+
+
+def wavelet_view(paths: np.ndarray) -> dict:
+    """Haar energies by scale of each column's path: commonest dominant scale, entropy (nats) and fine over coarse energy."""
+    if len(paths) < 8:
+        return {"wavelet_dominant_scale": NAN, "wavelet_entropy": NAN, "wavelet_ratio": NAN}
+    rows = []
+    for p in paths.T:
+        x, energy = p - p.mean(), []
+        while len(x) >= 2:
+            x = x[: len(x) // 2 * 2]
+            energy.append(float((((x[::2] - x[1::2]) / math.sqrt(2)) ** 2).sum()))
+            x = (x[::2] + x[1::2]) / math.sqrt(2)
+        e = np.array(energy)
+        if e.sum() < 1e-20:
+            rows.append((0.0, 0.0, NAN))
+            continue
+        q = e / e.sum()
+        pos = q[q > 0]
+        rows.append((float(e.argmax()), float(-(pos * np.log(pos)).sum()), float(e[0] / max(e[-1], 1e-12))))
+    r = np.array(rows)
+    with np.errstate(all="ignore"):
+        ratio = r[:, 2][np.isfinite(r[:, 2])]
+    return {"wavelet_dominant_scale": float(np.median(r[:, 0])), "wavelet_entropy": float(r[:, 1].mean()), "wavelet_ratio": float(np.median(ratio)) if len(ratio) else NAN}
+
+
+def window_metrics(x: np.ndarray) -> dict:
+    """Eighteen numbers of a signals x samples matrix: spectrum of its covariance (entropy in nats), correlation graph, distances
+    to the centroid, level and movement."""
+    n = len(x)
+    lam = np.sort(np.maximum(np.linalg.eigvalsh(np.atleast_2d(np.cov(x))), 0))[::-1]
+    t = lam.sum()
+    q = lam / t if t > 0 else lam
+    pos = q[q > 1e-12]
+    with np.errstate(all="ignore"):
+        c = np.nan_to_num(np.corrcoef(x)) if n > 1 else np.ones((1, 1))
+    off = np.abs(c[np.triu_indices(n, 1)]) if n > 1 else np.zeros(1)
+    g = laplacian_view(c.copy()) if n > 1 else {"algebraic_connectivity": 0.0, "spectral_gap": 0.0}
+    center = x.mean(0)
+    d = np.sqrt(((x - center) ** 2).sum(1))
+    step = np.diff(center)
+    return {
+        "effective_dim": float(t * t / (lam @ lam)) if t > 0 else NAN, "total_variance": float(t), "eigenvalue_1": float(lam[0]), "eigenvalue_2": float(lam[1]) if n > 1 else 0.0, "eigenvalue_3": float(lam[2]) if n > 2 else 0.0,
+        "eigenvalue_entropy": float(-(pos * np.log(pos)).sum()), "condition_number": float(lam[0] / max(lam[-1], 1e-12)), "ratio_2_1": float(lam[1] / max(lam[0], 1e-12)) if n > 1 else 0.0, "mean_abs_corr": float(off.mean()),
+        "max_abs_corr": float(off.max()), "corr_std": float(off.std()), "algebraic_connectivity": g["algebraic_connectivity"], "spectral_gap": g["spectral_gap"], "mean_distance": float(d.mean()), "max_distance": float(d.max()),
+        "std_distance": float(d.std()), "centroid_norm": float(np.sqrt((center * center).sum())), "centroid_speed": float(np.abs(step).mean()) if len(step) else 0.0,
+    }
+
+
+def _debye(t: float) -> float:
+    s = np.linspace(1e-6, t, 100)
+    return float(np.trapezoid(s / np.expm1(s), s) / t)
+
+
+def frank_theta(tau: float) -> float:
+    """Bisection on tau = 1 - 4 (1 - D1(theta)) / theta."""
+    if abs(tau) < 1e-6:
+        return 0.0
+    lo, hi = 1e-4, 60.0
+    f = lambda th: 1 - 4 / th * (1 - _debye(th)) - abs(tau)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
+    return math.copysign((lo + hi) / 2, tau)
+
+
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    """By bisection on the normal distribution function: slow, sure, vectorised."""
+    lo, hi = np.full(p.shape, -9.0), np.full(p.shape, 9.0)
+    erf = np.vectorize(math.erf)
+    for _ in range(45):
+        mid = (lo + hi) / 2
+        low = 0.5 * (1 + erf(mid / math.sqrt(2))) < p
+        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
+    return (lo + hi) / 2
+
+
+def copula_fit(x, y) -> dict:
+    """Kendall's tau, each family's parameter from it, and the family of least AIC with its tail dependence."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    n = len(x)
+    if n < 10:
+        return {"kendall": NAN, "aic": NAN, "lower": NAN, "upper": NAN, "family": NAN}
+    u, v = (np.clip((np.argsort(np.argsort(z, kind="stable"), kind="stable") + 1) / (n + 1), 1e-6, 1 - 1e-6) for z in (x, y))
+    tau = float(np.sign((u[:, None] - u[None]) * (v[:, None] - v[None])).sum() / (n * (n - 1)))
+    ll: list[tuple[float, float, float]] = []
+    rho = math.sin(math.pi * tau / 2)
+    a, b = normal_quantile(u), normal_quantile(v)
+    r2 = max(1 - rho * rho, 1e-9)
+    ll.append((float((-0.5 * math.log(r2) - (rho * rho * (a * a + b * b) - 2 * rho * a * b) / (2 * r2)).sum()), 0.0, 0.0))
+    if 0 < tau < 1:
+        th = 2 * tau / (1 - tau)
+        s = u**-th + v**-th - 1
+        ll.append((float((math.log1p(th) - (th + 1) * (np.log(u) + np.log(v)) - (2 + 1 / th) * np.log(s)).sum()), 2 ** (-1 / th), 0.0))
+        g = 1 / (1 - tau)
+        p, q = -np.log(u), -np.log(v)
+        w = (p**g + q**g) ** (1 / g)
+        ll.append((float((-w + (g - 1) * (np.log(p) + np.log(q)) - np.log(u) - np.log(v) + (1 - 2 * g) * np.log(w) + np.log(w + g - 1)).sum()), 0.0, 2 - 2 ** (1 / g)))
+    else:
+        ll += [(-math.inf, 0.0, 0.0)] * 2
+    f = frank_theta(tau)
+    if f:
+        e = -np.expm1(-f)
+        den = e - (-np.expm1(-f * u)) * (-np.expm1(-f * v))
+        ll.append((float(np.log(np.maximum(f * e * np.exp(-f * (u + v)) / den**2, 1e-300)).sum()), 0.0, 0.0))
+    else:
+        ll.append((0.0, 0.0, 0.0))
+    k = max(range(4), key=lambda i: ll[i][0])
+    return {"kendall": tau, "aic": 2 - 2 * ll[k][0], "lower": ll[k][1], "upper": ll[k][2], "family": float(k)}

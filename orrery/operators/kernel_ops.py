@@ -253,3 +253,78 @@ def sensitivity(path: DataFrame, columns: list[str], key: str = "cohort", order:
         return _table(rows, [key, "variable"], ["sensitivity", "rank", "entropy"])
 
     return path.groupBy(key).applyInArrow(run, _schema([key, "variable"], ["sensitivity", "rank", "entropy"]))
+
+
+VIEWS = ["fourier_dominant_freq", "fourier_flatness", "envelope_mean", "envelope_trend", "envelope_cv", "wavelet_dominant_scale", "wavelet_entropy", "wavelet_ratio"]
+
+
+def trajectory_views(path: DataFrame, columns: list[str], last: int = 32, key: str = "cohort", order: str = "t") -> DataFrame:
+    """Fourier, Hilbert and wavelet views of the last `last` points of a path, for every point of it."""
+    workers_import(path.sparkSession)
+
+    def run(t: pa.Table) -> pa.Table:
+        at, x = _ordered(t, order, order)[0], np.column_stack(_ordered(t, order, *columns))
+        rows = []
+        for i in range(len(x)):
+            w = x[max(0, i - last + 1) : i + 1]
+            w = w[np.isfinite(w).all(1)]
+            rows.append({key: t.column(key)[0].as_py(), "at": at[i]} | K.fourier_view(w) | K.hilbert_view(w) | K.wavelet_view(w))
+        return _table(rows, [key], ["at", *VIEWS])
+
+    return path.groupBy(key).applyInArrow(run, _schema([key], ["at", *VIEWS]))
+
+
+METRICS = list(K.window_metrics(np.eye(4)))
+
+
+def fingerprint_windows(obs: DataFrame, window: int = 50, stride: int = 24) -> DataFrame:
+    """cohort, t, metric, value: the eighteen metrics of hop windows of a cohort's signals, cut to the shortest."""
+    workers_import(obs.sparkSession)
+
+    def run(t: pa.Table) -> pa.Table:
+        wide = t.to_pandas().sort_values("signal_0").groupby("signal_id", sort=True)["value"].apply(lambda v: v[np.isfinite(v)].to_numpy())
+        n = min(map(len, wide))
+        x = np.stack([v[:n] for v in wide])
+        rows = []
+        for k, end in enumerate(range(min(window, n) - 1, n, stride)):
+            m = K.window_metrics(x[:, max(0, end - window + 1) : end + 1])
+            rows += [{"cohort": t.column("cohort")[0].as_py(), "metric": name, "t": k, "value": v} for name, v in m.items()]
+        return _table(rows, ["cohort", "metric"], ["t", "value"])
+
+    return obs.groupBy("cohort").applyInArrow(run, _schema(["cohort", "metric"], ["t", "value"]))
+
+
+FAMILIES = ("gaussian", "clayton", "gumbel", "frank")
+
+
+def copula_fits(pairs: DataFrame, most: int = 1000) -> DataFrame:
+    """Best copula family of each pair by AIC; at most `most` samples, evenly along the coordinate."""
+    workers_import(pairs.sparkSession)
+    keys = ["cohort", "signal_a", "signal_b"]
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y = _ordered(t, "t", "x", "y")
+        step = max(1, -(-len(x) // most))
+        r = K.copula_fit(x[::step], y[::step])
+        name = FAMILIES[int(r["family"])] if np.isfinite(r["family"]) else None
+        return _table([{k: t.column(k)[0].as_py() for k in keys} | r | {"family": name}], [*keys, "family"], ["kendall", "aic", "lower", "upper"])
+
+    return pairs.groupBy(*keys).applyInArrow(run, _schema([*keys, "family"], ["kendall", "aic", "lower", "upper"]))
+
+
+def smoothed(obs: DataFrame, window: int = 11, order: int = 3) -> DataFrame:
+    """Observations after local polynomial smoothing along each series; on uneven axes through a resampled copy."""
+    workers_import(obs.sparkSession)
+
+    def run(t: pa.Table) -> pa.Table:
+        y, c = _ordered(t, "signal_0", "value", "signal_0")
+        step = np.diff(c)
+        even = len(step) < 2 or np.ptp(step) < 1e-9 * max(abs(step).max(), 1e-12)
+        if even:
+            z = K.savgol(y, window, order)
+        else:
+            grid = np.linspace(c[0], c[-1], len(c))
+            z = np.interp(c, grid, K.savgol(np.interp(grid, c, y), window, order))
+        return _table([{"cohort": t.column("cohort")[0].as_py(), "signal_id": t.column("signal_id")[0].as_py(), "signal_0": a, "value": b} for a, b in zip(c, z, strict=True)], [*SERIES], ["signal_0", "value"])
+
+    return obs.groupBy(*SERIES).applyInArrow(run, _schema([*SERIES], ["signal_0", "value"]))

@@ -136,3 +136,32 @@ def regime_normalised(spark, sf):
     wide = O.obs_lineitem(spark, sf).groupBy("cohort", "signal_0").pivot("signal_id", ["l_quantity", "l_discount", "l_tax"]).agg(F.max("value"))
     n = X.regime_normalised(O.obs_lineitem(spark, sf), wide, ["cohort", "signal_0"], ["l_discount", "l_tax"], k=4)
     return n.groupBy("signal_id", "regime").agg(F.count("*").alias("n"), F.round(F.avg("scaled"), 6).alias("mean"))
+
+
+@query("trajectory_views")
+def trajectory_views(spark, sf):
+    return rounded(O2.trajectory_views(_path(spark, sf), _STATE), ("cohort",))
+
+
+@query("fingerprint")
+def fingerprint(spark, sf):
+    """Eighteen window metrics, each summarised by its curve: one wide row a cohort."""
+    c = X.curve(O2.fingerprint_windows(O.obs_events(spark, sf)))
+    names = [n for n in c.columns if n not in ("cohort", "metric", "n")]
+    wide = c.groupBy("cohort").pivot("metric", O2.METRICS).agg(*(F.first(n).alias(n) for n in names))
+    return rounded(wide, ("cohort",))
+
+
+@query("copula_fits")
+def copula_fits(spark, sf):
+    return rounded(O2.copula_fits(pairs(spark, sf)), ("cohort", "signal_a", "signal_b", "family"))
+
+
+@query("velocity_field_smoothed")
+def velocity_field_smoothed(spark, sf):
+    from ..operators import dynamics as D
+
+    return rounded(D.velocity_field(O2.smoothed(O.obs_events(spark, sf))), ("cohort", "signal_0", "dominant_motion_signal"))
+
+
+_window("typology", lambda y: {"hurst": K.hurst(y)["hurst"], "sample_entropy": K.sample_entropy(y), "spectral_flatness": K.spectral(y)["spectral_flatness"], "lyapunov_proxy": K.lyapunov(y)["lyapunov"]}, ["hurst", "sample_entropy", "spectral_flatness", "lyapunov_proxy"])

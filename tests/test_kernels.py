@@ -195,3 +195,38 @@ def test_scale_invariance():
         a, b = R.REGISTRY[name].run(NOISE[:200]), R.REGISTRY[name].run(NOISE[:200] * 7)
         for k in a:
             assert a[k] == pytest.approx(b[k], rel=1e-6), (name, k)
+
+
+def test_copula_family_is_found():
+    r = np.random.RandomState(6)
+    # Clayton by conditional inversion, theta 4: tau 2/3, lower tail 2^(-1/4)
+    u, w = r.uniform(size=700), r.uniform(size=700)
+    v = ((w ** (-4 / 5) - 1) * u**-4.0 + 1) ** -0.25
+    f = K.copula_fit(u, v)
+    assert f["family"] == 1 and f["kendall"] == pytest.approx(2 / 3, abs=0.05) and f["lower"] == pytest.approx(2**-0.25, abs=0.05)
+    z = r.multivariate_normal([0, 0], [[1, 0.7], [0.7, 1]], 700)
+    assert K.copula_fit(z[:, 0], z[:, 1])["family"] == 0
+
+
+def test_frank_and_quantiles():
+    assert K.frank_theta(0.5) == pytest.approx(5.736, abs=0.05)
+    assert K.frank_theta(-0.5) == pytest.approx(-5.736, abs=0.05)
+    assert K.normal_quantile(np.array([0.5, 0.975])) == pytest.approx([0, 1.959964], abs=1e-5)
+
+
+def test_fingerprint_metrics():
+    r = np.random.RandomState(1)
+    free = K.window_metrics(r.standard_normal((8, 200)))
+    base = r.standard_normal(200)
+    tied = K.window_metrics(np.stack([base + 0.01 * r.standard_normal(200) for _ in range(8)]))
+    assert len(free) == 18 and free["effective_dim"] > 4.8
+    assert tied["effective_dim"] < 2 and tied["condition_number"] > 100 and tied["mean_abs_corr"] > 0.99
+
+
+def test_settings_layers(tmp_path):
+    from orrery.config import Settings
+
+    (tmp_path / "a.yaml").write_text("x: {y: 1e-10, z: [1, 2]}\nw: 3\n")
+    (tmp_path / "b.yaml").write_text("x: {z: [9]}\n")
+    s = Settings.load(str(tmp_path / "a.yaml"), str(tmp_path / "b.yaml"), str(tmp_path / "none.yaml"))
+    assert (s.get("x.y"), s.get("x.z"), s.get("w"), s.get("q.r", 5)) == (1e-10, [9], 3, 5)
