@@ -271,13 +271,19 @@ def optimal_delay(y, most: int = 50, bins: int = 16) -> int:
 
 
 def _neighbours(x: np.ndarray, apart: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest other point at least `apart` steps away: distances and indices."""
-    sq = (x * x).sum(1)
-    d = np.maximum(sq[:, None] + sq[None] - 2 * x @ x.T, 0)
-    i = np.arange(len(x))
-    d[np.abs(i[:, None] - i[None]) < apart] = np.inf
+    """Nearest other point at least `apart` steps away: distances and indices. The search runs in single precision."""
+    z = ((x - x.mean(0)) / max(float(x.std()), 1e-12)).astype(np.float32)
+    sq = (z * z).sum(1)
+    d = z @ z.T
+    d *= -2
+    d += sq[:, None]
+    d += sq[None]
+    for k in range(min(apart, len(x))):
+        np.fill_diagonal(d[k:], np.inf)
+        np.fill_diagonal(d[:, k:], np.inf)
     j = d.argmin(1)
-    return np.sqrt(d[i, j]), j
+    far = ~np.isfinite(d[np.arange(len(x)), j])
+    return np.where(far, np.inf, np.sqrt(((x - x[j]) ** 2).sum(1))), j
 
 
 def optimal_dimension(y, tau: int, most: int = 6, ratio: float = 10.0, share: float = 0.05) -> int:
@@ -879,3 +885,62 @@ def copula_fit(x, y) -> dict:
         ll.append((0.0, 0.0, 0.0))
     k = max(range(4), key=lambda i: ll[i][0])
     return {"kendall": tau, "aic": 2 - 2 * ll[k][0], "lower": ll[k][1], "upper": ll[k][2], "family": float(k)}
+
+
+# ---------------------------------------------------------------- breaks
+
+
+def _frames(y: np.ndarray, before: int, after: int) -> np.ndarray:
+    """A row for each sample: its frame, NaN beyond the ends."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(before, NAN), y, np.full(after, NAN)]), before + after + 1)
+
+
+def break_scan(y: np.ndarray, sensitivity: float = 1.0, context: int = 50, spacing: int = 10, reach: int = 25, settle: int = 20, alpha: float = 0.05, slack: float = 0.5) -> list[dict]:
+    """Breaks of one gap-free series: the same three detectors, merging and levels as the plan in operators.breaks."""
+    n = len(y)
+    if n < 2 * context + spacing:
+        return []
+    with np.errstate(all="ignore"):
+        f = _frames(y, reach, reach - 1)
+        noise = np.maximum(1.4826 * np.nanmedian(np.abs(f - np.nanmedian(f, 1)[:, None]), 1), 1e-10)
+        score = np.zeros(n)
+        d = np.concatenate([[0.0], np.abs(np.diff(y))]) / noise
+        score = np.where(d > 5 / sensitivity, d, score)
+        a = _frames(y, reach, reach).copy()
+        a[:, reach] = NAN
+        m = np.nanmedian(a, 1)
+        spread = np.nanmedian(np.abs(a - m[:, None]), 1)
+        s = np.abs(y - m) / (1.4826 * spread)
+        score = np.where((spread >= 1e-10) & (s > 5 / sensitivity), np.maximum(score, s), score)
+    mean, up, down, limit = y[0], 0.0, 0.0, 4 / sensitivity
+    for i, (v, q) in enumerate(zip(y.tolist(), noise.tolist(), strict=True)):
+        z = (v - mean) / q
+        up, down = max(0.0, up + z - slack), max(0.0, down - z - slack)
+        if max(up, down) > limit:
+            score[i] = max(score[i], up, down)
+            mean, up, down = v, 0.0, 0.0
+        else:
+            mean = mean * (1 - alpha) + v * alpha
+    kept: list[int] = []
+    for i in np.flatnonzero(score > 0).tolist():
+        if not kept or i - kept[-1] >= spacing:
+            kept.append(i)
+        elif score[i] > score[kept[-1]]:
+            kept[-1] = i
+    out = []
+    for i in kept:
+        after = y[i + 1 : i + 1 + context]
+        pre = float(np.median(y[max(0, i - context) : i])) if i else float(y[0])
+        post = float(np.median(after)) if len(after) else float(y[i])
+        step, impulse = post - pre, float(y[i]) - pre
+        size = impulse if abs(impulse) > 2 * abs(step) else step
+        calm = np.flatnonzero(np.abs(after[:settle] - post) < 2 * noise[i])
+        took = int(calm[0]) + 1 if len(calm) else settle
+        out.append({"r": i, "magnitude": abs(size), "direction": float(np.sign(size)), "sharpness": abs(size) / took, "duration": took, "pre_level": pre, "post_level": post, "snr": abs(size) / noise[i]})
+    return out
+
+
+def filled(y: np.ndarray) -> np.ndarray:
+    """Missing values on the line between their neighbours; the ends take the nearest."""
+    ok = np.isfinite(y)
+    return np.interp(np.arange(len(y)), np.flatnonzero(ok), y[ok]) if ok.any() else y[:0]

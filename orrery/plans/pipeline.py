@@ -87,7 +87,7 @@ def _gated(job: Job) -> DataFrame:
 STAGES: dict[str, Callable[[Job], DataFrame]] = {
     "typology_windows": lambda j: T.window_metrics(j.rows(1)),
     "typology_vector": lambda j: T.vector(j["typology_windows"], ["kurtosis", "cv", "trend_strength", "perm_entropy"]),
-    "breaks": lambda j: B.detect(j.obs),
+    "breaks": lambda j: KO.breaks(j.obs),
     "break_summary": lambda j: B.summary(j["breaks"]),
     "signal_statistics": lambda j: N.statistics(j.obs),
     "signal_vector": lambda j: R.signal_vector(j.obs, j.manifest),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import breaks as B
 from ..operators import engines as E
+from ..operators import kernel_ops as KO
 from ..operators import normalize as N
 from ..sources import observations as O
 from . import sql as S
@@ -138,10 +139,17 @@ def break_cusum(spark, sf):
 
 @query("breaks_full")
 def breaks_full(spark, sf):
+    b = KO.breaks(O.obs_events(spark, sf), 1.5)
+    return b.select("cohort", "signal_id", "signal_0", "direction", "duration", *(F.round(c, 6).alias(c) for c in ("magnitude", "sharpness", "pre_level", "post_level", "snr")))
+
+
+@query("breaks_plan")
+def breaks_plan(spark, sf):
+    """The same detectors as window frames and array folds."""
     b = B.detect(O.obs_events(spark, sf), 1.5)
     return b.select("cohort", "signal_id", "signal_0", "direction", "duration", *(F.round(c, 6).alias(c) for c in ("magnitude", "sharpness", "pre_level", "post_level", "snr")))
 
 
 @query("break_summary")
 def break_summary(spark, sf):
-    return rounded(B.summary(B.detect(O.obs_events(spark, sf), 1.5)), SK)
+    return rounded(B.summary(KO.breaks(O.obs_events(spark, sf), 1.5)), SK)

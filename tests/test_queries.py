@@ -60,3 +60,8 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_breaks_by_kernel_equal_those_by_plan(spark, data):
+    data = data.replace("0.001", "0.01")
+    pd.testing.assert_frame_equal(canonical(QUERIES["breaks_full"](spark, data).toPandas()), canonical(QUERIES["breaks_plan"](spark, data).toPandas()), check_dtype=False, atol=2e-6)
