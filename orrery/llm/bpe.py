@@ -86,41 +86,42 @@ class ByWords:
     Where every white space stands alone, a pre-token never reaches across the place in front of it. So a word
     with the space or line break in front of it has the same ids wherever it stands, and they are remembered: a
     word under itself, behind \\n if a line break is in front of it, behind \\0 if nothing is. `learn` gives the ids of
-    new pre-tokens.
+    a set of pre-tokens, `learn_words` those of a list of words of letters, each with a space in front.
     """
 
-    def __init__(self, learn, remembered: int = 250_000):
-        self.learn, self.words = learn, Recent(remembered)
+    def __init__(self, learn, learn_words, remembered: int = 250_000):
+        self.learn, self.learn_words, self.words, self.marks = learn, learn_words, Recent(remembered), {}
 
     @staticmethod
     def split(word: str) -> list[str]:
-        if word[0] in "\0\n":
-            return PRETOKEN.findall(word.lstrip("\0"))
-        if word[-1] in ".,|" and word[:-1].isalpha():
-            return [" " + word[:-1], word[-1]]
-        return PRETOKEN.findall(" " + word)
+        return PRETOKEN.findall(word.lstrip("\0") if word[0] in "\0\n" else " " + word)
 
     def ids(self, words: list[str]) -> list[bytes]:
         """uint32 ids of each word (as kept, see above), as bytes."""
         new = self.words.missing(words)
         known = self.words.now
         if new:
-            alone = [w for w in new if w.isalpha()]
-            split = {w: self.split(w) for w in new.difference(alone)}
-            pieces = set(itertools.chain.from_iterable(split.values()))
-            ids = {t: x for t in pieces if t[0] == " " and (x := known.get(t[1:])) is not None and t[1:].isalpha()}
-            pieces.difference_update(ids)
-            pieces.update([" " + w for w in alone])
-            self.learn(pieces, ids)
-            of = ids.__getitem__
-            for w in alone:
-                known[w] = ids[" " + w]
-            for w, ts in split.items():
-                known[w] = b"".join(map(of, ts))
+            letters = [w for w in new if w.isalpha()]
+            rest = new.difference(letters)
+            # a word with a mark behind it: the mark is a pre-token of its own
+            marked = [w for w in rest if w[-1] in ".,|" and w[:-1].isalpha()]
+            rest.difference_update(marked)
+            letters += {w[:-1] for w in marked}.difference(known, letters)
+            if letters:
+                known.update(zip(letters, self.learn_words(letters), strict=True))
+            if not self.marks:
+                self.marks = self.learn(set(".,|"))
+            for w in marked:
+                known[w] = known[w[:-1]] + self.marks[w[-1]]
+            if rest:
+                split = {w: self.split(w) for w in rest}
+                of = self.learn(set(itertools.chain.from_iterable(split.values()))).__getitem__
+                for w, ts in split.items():
+                    known[w] = b"".join(map(of, ts))
         out = [*map(known.__getitem__, words)]
         for w in new:
             if len(w) > 256:  # such words hardly recur
-                del known[w]
+                known.pop(w, None)
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -155,9 +156,7 @@ class ByWords:
         for i, t in enumerate(texts):
             if out[i] is None:
                 tokens = PRETOKEN.findall(t)
-                ids: dict = {}
-                self.learn(set(tokens), ids)
-                out[i] = np.frombuffer(b"".join(map(ids.__getitem__, tokens)), "<u4")
+                out[i] = np.frombuffer(b"".join(map(self.learn(set(tokens)).__getitem__, tokens)), "<u4")
         return out
 
 
@@ -190,7 +189,7 @@ class ForcedBoundaryBPE:
         self.joined, self.inside = joined, set(zip(*(x.tolist() for x in np.nonzero(joined)), strict=True))
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.decimal = {i: b"%d" % i for i in self.bytes_of}
-        self.remembered, self.fragments, self.by_words = remembered, {}, ByWords(self._learn, remembered)
+        self.remembered, self.fragments, self.by_words = remembered, {}, ByWords(self._learn, self._learn_words, remembered)
 
     def cuts(self, token: bytes) -> list[bytes]:
         """The fragments between forced boundaries."""
@@ -258,11 +257,13 @@ class ForcedBoundaryBPE:
 
     def forget(self) -> None:
         """Drop what was remembered: a worker that outlives its task should not hold on to it."""
-        self.fragments, self.by_words = {}, ByWords(self._learn, self.remembered)
+        self.fragments, self.by_words = {}, ByWords(self._learn, self._learn_words, self.remembered)
 
-    def _learn(self, new: set[str], known: dict) -> None:
-        for t in new:
-            known[t] = self._pretoken(t)
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        return {t: self._pretoken(t) for t in new}
+
+    def _learn_words(self, words: list[str]) -> list[bytes]:
+        return [self._pretoken(" " + w) for w in words]
 
     def _ordinary(self, text: str) -> np.ndarray:
         return self.by_words.encode([text])[0]

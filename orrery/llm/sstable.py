@@ -190,14 +190,14 @@ class ShardReader:
 class LibraryEncoder:
     """The tokenizers library, asked once for each pre-token that recurs; the table is bounded."""
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.size, self.by_words = self.tok.get_vocab_size(), bpe.ByWords(self._learn, remembered)
+        self.size, self.by_words = self.tok.get_vocab_size(), bpe.ByWords(self._learn, self._learn_words, remembered)
         self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.size)])
 
     def encode(self, text: str) -> np.ndarray:
@@ -212,20 +212,23 @@ class LibraryEncoder:
             for t, ok in zip(texts, plain, strict=True)
         ]
 
-    def _learn(self, new: set[str], known: dict) -> None:
-        """Ask the library. Words with a space in front go in one call: joined, they split there again, and
-        of their tokens exactly the first starts with a space."""
-        words = [t for t in new if t[0] == " " and t[1:].isalpha()]
-        if len(words) > 1:
-            ids = np.array(self.tok.encode("".join(words), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(self.opens[ids]) * 4
-            if len(at) == len(words):
-                packed = ids.tobytes()
-                known.update(zip(words, (packed[a:b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(packed)], strict=True)), strict=True))
-                new = new.difference(words)
+    def forget(self) -> None:
+        self.by_words = bpe.ByWords(self._learn, self._learn_words, self.by_words.words.most)
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
         rest = [*new]
-        for t, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[t] = np.array(e.ids, "<u4").tobytes()
+        return {t: np.array(e.ids, "<u4").tobytes() for t, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
+
+    def _learn_words(self, words: list[str]) -> list[bytes]:
+        """One call for all: joined by spaces the text splits there again, and of a word's tokens exactly the first
+        starts with a space."""
+        ids = np.array(self.tok.encode(" " + " ".join(words), add_special_tokens=False).ids, "<u4")
+        at = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+        if len(at) != len(words):
+            found = self._learn({" " + w for w in words})
+            return [found[" " + w] for w in words]
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip(at, [*at[1:], len(packed)], strict=True)]
 
 
 _encoders: dict = {}
