@@ -181,8 +181,7 @@ def mark_blocks(batches, length: int, keys: np.ndarray, flush_at: int = 400_000)
     held, count = [], 0
 
     def flush():
-        m = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        kept, *spans = fold(m)
+        kept, *spans = fold(joined(held))
         yield from dealt(((kept["a"] & np.uint64(0xFFFFFFFF)) % np.uint64(len(keys))).astype(np.int64), keys, MARKS, **kept)
         yield from span_blocks(*spans, keys)
 
@@ -218,7 +217,12 @@ def blocks_of(batches, *kinds: int):
 
 
 def joined(blocks: list[dict]) -> dict | None:
-    return {k: np.concatenate([b[k] for b in blocks]) for k in blocks[0]} if blocks else None
+    """Array by array, so that a block's share is let go as soon as it is copied."""
+    if not blocks:
+        return None
+    out = {k: np.concatenate([b.pop(k) for b in blocks]) for k in [*blocks[0]]}
+    blocks.clear()
+    return out
 
 
 def site_blocks(batches, keys: np.ndarray, many: int):
@@ -430,9 +434,7 @@ def repeat_blocks(batches, length: int, keys: np.ndarray, text_bytes: int = 1 <<
     """Stage 3: suffix arrays over the contexts of whole marks, about text_bytes at a time."""
     found, other = blocks_of(batches, SITES)
     rows, spans = list(other), []
-    blocks = found[SITES]
-    if blocks:
-        flat = {k: np.concatenate([b[k] for b in blocks]) for k in blocks[0]}
+    if flat := joined(found[SITES]):
         order = np.argsort(flat["a"], kind="stable")
         size = flat["size"].astype(np.int64)
         begin = np.cumsum(size) - size
