@@ -12,6 +12,7 @@ never pairs; components are found by star contraction.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -22,13 +23,40 @@ from pyspark.sql import functions as F
 
 from . import common, graph
 
-COORDINATES = 64
+COORDINATES, HOT_LEVELS = 64, 3
 
 
-def runs_needed(similarity: float, recall: float, deepest: int = 2) -> int:
-    """A run keeps a pair with probability s at the root and 1 - (1 - s)^2 at each of `deepest` further levels."""
-    hit = similarity * (1 - (1 - similarity) ** 2) ** deepest
-    return math.ceil(math.log(1 - recall) / math.log(1 - hit))
+def least_agreeing(similarity: float) -> int:
+    """Four standard deviations of the sketch's estimate below the threshold."""
+    return math.floor(COORDINATES * similarity - 4 * math.sqrt(COORDINATES * similarity * (1 - similarity)))
+
+
+def runs_needed(similarity: float, recall: float, deepest: int = 8) -> int:
+    """How many runs miss a pair at the threshold that passes the sketch filter with probability 1 - recall at most.
+
+    Runs share the pair's sketches, so the m coordinates it agrees in are drawn once: then a run keeps it if its root
+    coordinate (each run has another) is among them, and at each of `deepest` further levels with 1 - (1 - m / 64)^2.
+    """
+    c, cases = COORDINATES, []
+    for m in range(max(least_agreeing(similarity), 1), c + 1):
+        chance = math.comb(c, m) * similarity**m * (1 - similarity) ** (c - m)
+        cases.append((m, chance, 1 - (1 - (1 - m / c) ** 2) ** deepest))
+
+    def missed(runs: int) -> float:
+        full, rest = divmod(runs, c)
+        ways = math.comb(c, rest)
+        return sum(
+            chance * sum(math.comb(m, a) * math.comb(c - m, rest - a) / ways * lost ** (full * m + a) for a in range(min(m, rest) + 1))
+            for m, chance, lost in cases
+        )
+
+    return next(r for r in itertools.count(1) if missed(r) <= 1 - recall)
+
+
+def deepest_level(limit: int, small: int) -> int:
+    """Levels of splitting below a root: those of large buckets, and halvings to `small` of one that is dealt out in
+    blocks, which may come to somewhat more than the limit."""
+    return HOT_LEVELS + max(0, math.ceil(math.log2(limit / small))) + 1
 
 
 def shingles(text: str, n: int = 5) -> np.ndarray:
@@ -89,7 +117,7 @@ def common_sig(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
-def split_hot(rows: DataFrame, limit: int, depth: int = 3) -> DataFrame:
+def split_hot(rows: DataFrame, limit: int, depth: int = HOT_LEVELS) -> DataFrame:
     """Buckets over the limit are split on two further sampled tokens, up to `depth` times; one that still is
     over it is a mass of similar sets and is dealt out as pairs of blocks. Nothing is dropped."""
     done = None
@@ -163,13 +191,15 @@ def alike(sketch: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def proposals(ids: np.ndarray, sketch: np.ndarray, least: int, small: int, path: int = 1, depth: int = 0):
-    """(ids, roots) of proposed parts of one bucket: recursion on two sampled tokens, brute force when small."""
+def proposals(ids: np.ndarray, sketch: np.ndarray, least: int, small: int, bucket: int, path: tuple = ()):
+    """(ids, roots) of proposed parts of one bucket: recursion on two sampled tokens, brute force when small.
+
+    The sampling follows the bucket's key, so runs split on tokens of their own."""
     n = len(ids)
     if n < 2:
         return
-    if n > small and depth < 8:
-        rng = np.random.default_rng((path, depth))
+    if n > small:
+        rng = np.random.default_rng((bucket & (2**64 - 1), *path))
         pick = rng.choice(sketch.shape[1], 2, replace=False)
         children = []
         for c in pick:
@@ -177,7 +207,7 @@ def proposals(ids: np.ndarray, sketch: np.ndarray, least: int, small: int, path:
             children += [order[a:b] for a, b in common.pieces(common.runs(sketch[order, c]), n) if b - a > 1]
         if not children or max(map(len, children)) <= n // 2:
             for k, child in enumerate(children):
-                yield from proposals(ids[child], sketch[child], least, small, path * 31 + k, depth + 1)
+                yield from proposals(ids[child], sketch[child], least, small, bucket, (*path, k))
             return
     root = parts_of(alike(sketch, least), ids)
     apart = root != ids
@@ -197,7 +227,7 @@ def proposed_links(rows: DataFrame, least: int, small: int) -> DataFrame:
             ids = np.concatenate([b.column("node").to_numpy() for b in group])
             raw = b"".join(x.as_py() for b in group for x in b.column("sketch"))
             sketch = np.frombuffer(raw, "<u2").reshape(n, COORDINATES)
-            for u, v in proposals(ids, sketch, least, small):
+            for u, v in proposals(ids, sketch, least, small, int(group[0].column("bucket")[0].as_py())):
                 us.append(u)
                 vs.append(v)
             if len(us) > 2000:
@@ -292,9 +322,8 @@ def join(docs: DataFrame, similarity: tuple[int, int] = (4, 5), n: int = 5, reca
     """
     spark = docs.sparkSession
     s = similarity[0] / similarity[1]
-    # four standard deviations of a 64-coordinate estimate below the threshold
-    least = math.floor(COORDINATES * s - 4 * math.sqrt(COORDINATES * s * (1 - s)))
-    base = common.cut(sketched(docs, runs_needed(s, recall), n), "sketches")
+    least = least_agreeing(s)
+    base = common.cut(sketched(docs, runs_needed(s, recall, deepest_level(limit, small)), n), "sketches")
     live = base.filter("sig is not null and doc_id is not null")
     nodes = common.cut(
         live.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")),

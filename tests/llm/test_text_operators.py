@@ -118,6 +118,36 @@ def test_runs_follow_the_recall():
     assert jaccard.runs_needed(0.8, 0.9999) > jaccard.runs_needed(0.9, 0.9999) > jaccard.runs_needed(0.9, 0.9)
 
 
+def test_crowded_buckets_keep_pairs(spark):
+    """Lone pairs at 0.8 in buckets that all exceed `small`: 7 runs that split alike lose 4 % of them."""
+    r, pairs, small = np.random.default_rng(6), 400, 64
+    one = r.integers(0, 65536, (pairs, 64)).astype("<u2")
+    same = r.random((pairs, 64)) < 0.8
+    other = np.where(same, one, r.integers(0, 65536, (pairs, 64))).astype("<u2")
+    rows = []
+    for run in range(7):
+        for i in np.flatnonzero(same[:, run * 7 % 64]).tolist():
+            rows += [(1000 + run, 2 * i, one[i].tobytes()), (1000 + run, 2 * i + 1, other[i].tobytes())]
+    links = jaccard.proposed_links(spark.createDataFrame(rows, "bucket long, node long, sketch binary"), 38, small).collect()
+    assert {(x.u, x.v) for x in links} >= {(2 * i + 1, 2 * i) for i in range(pairs)}
+
+
+def test_runs_cover_the_deepest_level():
+    few = jaccard.runs_needed(0.8, 0.9999, 0)
+    assert few < jaccard.runs_needed(0.8, 0.9999, 4) < jaccard.runs_needed(0.8, 0.9999, jaccard.deepest_level(4096, 256))
+    # by simulation of the coordinates, at a recall that few draws can tell
+    r, runs = np.random.default_rng(1), jaccard.runs_needed(0.8, 0.99, 5)
+    same = r.random((20_000, 64)) < 0.8
+    met = np.zeros(len(same), bool)
+    for run in range(runs):
+        kept = same[:, run * 7 % 64]
+        for _ in range(5):
+            at = r.integers(0, 64, (2, len(same)))
+            kept = kept & (same[np.arange(len(same)), at[0]] | same[np.arange(len(same)), at[1]])
+        met |= kept
+    assert 1 - met.mean() < 0.012
+
+
 def test_one_document_of_each_class_stays(make):
     rows = near_corpus() + [(None, "a b c d e f"), (None, "a b c d e f"), (9006, prose(9000, 5))]
     docs = make(rows, **CLASH)
