@@ -853,14 +853,28 @@ def normal_quantile(p: np.ndarray) -> np.ndarray:
     return (lo + hi) / 2
 
 
+def inversions(p: np.ndarray) -> int:
+    """Pairs out of order in a permutation of 0..n-1, a bit of the values at a time."""
+    p, total = np.asarray(p, np.int64), 0
+    for b in range(len(p).bit_length() - 1, -1, -1):
+        # places are grouped by the higher bits, in their first order within
+        high, bit = p >> (b + 1), (p >> b) & 1
+        ones = np.cumsum(bit)
+        first = np.searchsorted(high, high)
+        total += int(((ones - ones[first] + bit[first]) * (1 - bit)).sum())
+        p = p[np.argsort(p >> b, kind="stable")]
+    return total
+
+
 def copula_fit(x, y) -> dict:
     """Kendall's tau, each family's parameter from it, and the family of least AIC with its tail dependence."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     n = len(x)
     if n < 10:
         return {"kendall": NAN, "aic": NAN, "lower": NAN, "upper": NAN, "family": NAN}
-    u, v = (np.clip((np.argsort(np.argsort(z, kind="stable"), kind="stable") + 1) / (n + 1), 1e-6, 1 - 1e-6) for z in (x, y))
-    tau = float(np.sign((u[:, None] - u[None]) * (v[:, None] - v[None])).sum() / (n * (n - 1)))
+    along, up = np.argsort(x, kind="stable"), np.argsort(np.argsort(y, kind="stable"), kind="stable")
+    u, v = (np.clip((r + 1) / (n + 1), 1e-6, 1 - 1e-6) for r in (np.argsort(along, kind="stable"), up))
+    tau = 1 - 4 * inversions(up[along]) / (n * (n - 1))
     ll: list[tuple[float, float, float]] = []
     rho = math.sin(math.pi * tau / 2)
     a, b = normal_quantile(u), normal_quantile(v)

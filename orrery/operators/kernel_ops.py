@@ -308,15 +308,14 @@ def fingerprint_windows(obs: DataFrame, window: int = 50, stride: int = 24) -> D
 FAMILIES = ("gaussian", "clayton", "gumbel", "frank")
 
 
-def copula_fits(pairs: DataFrame, most: int = 1000) -> DataFrame:
-    """Best copula family of each pair by AIC; at most `most` samples, evenly along the coordinate."""
+def copula_fits(pairs: DataFrame) -> DataFrame:
+    """Best copula family of each pair by AIC, over all its samples."""
     workers_import(pairs.sparkSession)
     keys = ["cohort", "signal_a", "signal_b"]
 
     def run(t: pa.Table) -> pa.Table:
         x, y = _ordered(t, "t", "x", "y")
-        step = max(1, -(-len(x) // most))
-        r = K.copula_fit(x[::step], y[::step])
+        r = K.copula_fit(x, y)
         name = FAMILIES[int(r["family"])] if np.isfinite(r["family"]) else None
         return _table([{k: t.column(k)[0].as_py() for k in keys} | r | {"family": name}], [*keys, "family"], ["kendall", "aic", "lower", "upper"])
 

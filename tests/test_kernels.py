@@ -208,6 +208,13 @@ def test_copula_family_is_found():
     assert K.copula_fit(z[:, 0], z[:, 1])["family"] == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 200), st.integers(0, 10**6))
+def test_inversions(n, seed):
+    p = np.random.RandomState(seed).permutation(n)
+    assert K.inversions(p) == sum(int((p[:i] > p[i]).sum()) for i in range(n))
+
+
 def test_frank_and_quantiles():
     assert K.frank_theta(0.5) == pytest.approx(5.736, abs=0.05)
     assert K.frank_theta(-0.5) == pytest.approx(-5.736, abs=0.05)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.functions import kernels as K
 from orrery.functions import windows as W
 from orrery.operators import breaks as B
 from orrery.operators import engines as E
@@ -211,3 +212,15 @@ def test_sensor_text(spark, tmp_path):
 
 def test_ready_stages():
     assert "signal_vector" not in V.ready(set()) and "signal_vector" in V.ready({"typology_windows"})
+
+
+def test_copulas_of_long_pairs_use_every_sample(spark):
+    """At 1001 samples; the odd ones alone say the opposite of the even ones."""
+    r = np.random.RandomState(3)
+    x, e = r.standard_normal(1001), r.standard_normal(1001)
+    y = np.where(np.arange(1001) % 2 == 0, x, -x) + 0.1 * e
+    rows = [("c", "a", "b", float(i), float(x[i]), float(y[i])) for i in range(1001)]
+    got = KO.copula_fits(spark.createDataFrame(rows, "cohort string, signal_a string, signal_b string, t double, x double, y double")).collect()
+    want = np.sign((x[:, None] - x) * (y[:, None] - y)).sum() / (1001 * 1000)
+    assert len(got) == 1 and got[0].kendall == pytest.approx(want, abs=1e-12) and abs(want) < 0.1
+    assert got[0].aic == pytest.approx(K.copula_fit(x, y)["aic"])
