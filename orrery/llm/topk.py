@@ -119,7 +119,8 @@ def search_bucket(best: Best, q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p
                 focus = np.argsort(-np.abs(unit_q[j]))[:FOCUS]
                 x = unit_q[j, focus]
                 slack = np.sqrt(np.maximum((1 - x * x) * (1 - t * t), 0)) + 1e-9
-                ok = ((unit_p[:, focus] >= x * t - slack) | (x >= t)) & ((unit_p[:, focus] <= x * t + slack) | (x >= t)) if t > 0 else np.ones((len(rows), 1), bool)
+                # angles to an axis end at 0 and 180 degrees: there a limit is 1 or -1
+                ok = ((unit_p[:, focus] >= x * t - slack) | (x <= -t)) & ((unit_p[:, focus] <= x * t + slack) | (x >= t)) if t > 0 else np.ones((len(rows), 1), bool)
                 c = np.flatnonzero(ok.all(1))
                 used["coordinate"] += len(c)
                 if len(c):

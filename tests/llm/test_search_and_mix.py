@@ -52,6 +52,24 @@ def test_coordinates_prune_without_loss():
         assert sorted((-a, b) for a, b, c in zip(best.score, best.id, best.row, strict=True) if c == j) == want
 
 
+@pytest.mark.parametrize("sign", [-1, 1])
+@pytest.mark.parametrize("width", [2, 4, 64])
+def test_neighbours_along_an_axis_stay(sign, width):
+    r = np.random.default_rng(8)
+    axis = np.zeros(width)
+    axis[1] = 640.0 * sign
+    p = np.rint(axis + r.standard_normal((1500, width)) * r.choice([0, 3, 40, 200], (1500, 1)) / math.sqrt(width)).astype(np.int64)
+    q = np.concatenate([np.rint(axis)[None].astype(np.int64), p[r.choice(1500, 20)]])
+    s = q @ p.T
+    for share in (0.65, 0.9, 0.99):
+        bound = share * np.sqrt((q**2).sum(1)) * np.sqrt((p**2).sum(1)).max()
+        best = topk.Best(len(q), 1500, bound.astype(float))
+        used = topk.search_bucket(best, q, np.full(len(q), -1), p, np.arange(1500))
+        assert used["coordinate"] > 0
+        got = set(zip(best.row.tolist(), best.id.tolist(), strict=True))
+        assert got == {(j, i) for j, i in zip(*(x.tolist() for x in np.nonzero(s >= bound[:, None])), strict=True)}
+
+
 def test_few_or_no_vectors(spark):
     assert topk.top_k(frame(spark, [])).count() == 0
     assert topk.top_k(frame(spark, [(0, [1.0], 0)])).count() == 0
