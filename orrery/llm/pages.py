@@ -21,14 +21,23 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|head|select"
+#: Skipped up to the end tag, without one nothing but the tag is; one of the same kind may stand inside.
+SKIPPED = "noscript|template|textarea|iframe|svg"
+INLINE_NAMES = "a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img"
+#: What a select holds; anything else ends it.
+CHOICES = "option|optgroup|hr|legend|" + INLINE_NAMES.replace(" ", "|")
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<({RAW})\b[^>]*?(?:/>|>(?:.*?)(?:</\1\s*>|\Z))"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(script|style)\b[^>]*?(?:/>|>(?:.*?)(?:</\1\s*>|\Z))"
+    rf"|<({SKIPPED})\b[^>]*?(?:/>|>(?:(?!<\2\b).|<\2\b(?:(?!<\2\b).)*?</\2\s*>)*?</\2\s*>)"
+    rf"|<select\b[^>]*>(?:[^<]++|</?(?:{CHOICES})\b[^>]*>|<!--.*?-->|<(?![/a-zA-Z!]))*+(?:</select\s*>)?"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+MATH = "math semantics annotation mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle mpadded mphantom menclose msub msup msubsup munder mover munderover"
+INLINE = frozenset(f"{INLINE_NAMES} {MATH}".split())
+#: What can stand in a head; any other element, or text, begins the body.
+HEAD = frozenset("title meta link base basefont bgsound script style noscript template noframes".split())
 #: Elements that are never main text.
 ASIDE = frozenset("nav footer aside form button menu dialog label fieldset".split())
 #: These close an open element of the same kind.
@@ -74,10 +83,14 @@ def lines(page: str) -> list[tuple[str, bool]]:
             held.clear()
 
     for m in TOKEN.finditer(page):
-        if m.start() > at and not aside:
-            held.append(page[at : m.start()])
+        if m.start() > at:
+            if stack and stack[-1][0] == "head" and not page[at : m.start()].isspace():
+                stack.pop()
+                aside, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            if not aside:
+                held.append(page[at : m.start()])
         at = m.end()
-        name = m[3]
+        name = m[4]
         if name is None:
             continue
         name = name.lower()
@@ -87,12 +100,14 @@ def lines(page: str) -> list[tuple[str, bool]]:
             continue
         if name not in INLINE:
             flush()
-        if m[2]:
+        if m[3]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
         else:
+            if name not in HEAD and (k := next((k for k, x in enumerate(stack[:3]) if x[0] == "head"), None)) is not None:
+                del stack[k:]
             if name in ALONE:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
@@ -100,14 +115,14 @@ def lines(page: str) -> list[tuple[str, bool]]:
                         break
                     if stack[k][0] not in INLINE:
                         break
-            if name not in VOID and not m[4].endswith("/"):
+            if name not in VOID and not m[5].endswith("/"):
                 was_aside, was_main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                now = was_aside or set_aside(name, m[4], was_main)
+                now = was_aside or name == "head" or set_aside(name, m[5], was_main)
                 if now != was_aside:
                     flush()
                 stack.append((name, now, was_main or name in ("article", "main")))
         aside, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-    if at < len(page) and not aside:
+    if at < len(page) and (not aside or stack[-1][0] == "head"):
         held.append(page[at:])
     flush()
     return out

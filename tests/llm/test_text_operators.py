@@ -240,6 +240,28 @@ def test_article_text():
     assert pages.main_text(pages.lines(PAGE), []) == "Big & news First bold line. Second <x> é"
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<html><head><title>x</title><body><article><p>Whole</p></article>", "Whole"),
+        ("<head><meta charset=utf-8><title>x</title><script>1</script><article><p>Whole</p></article>", "Whole"),
+        ("<head><title>x<body><article>Whole</article>", "Whole"),
+        ("<head><title>x</title>Bare text", "Bare text"),
+        ("<head><title>x</title><p>One</p><header>h</header></head>", "One"),
+        ("<article><p>One</p><select><option>a<option>b<p>Two</p></article>", "One Two"),
+        ("<article>One <select name='s'><option>a</option></select> Two <select><option>b</select></article>", "One Two"),
+        ("<article><p>One</p><object data=x><param name=a>fallback</object><p>Two</p></article>", "One fallback Two"),
+        ("<article><p>One</p><object data=x><p>Two</p></article>", "One Two"),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", "So x=1 holds"),
+        ("<article>One <iframe src=x> Two</article>", "One Two"),
+        ("<article>One <svg><title>t</title><svg><text>u</text></svg>v</svg> Two <svg/> Three</article>", "One Two Three"),
+        ("<article>One <noscript><p>n</p></noscript><template><p>t</p></template> Two <script>never ends", "One Two"),
+    ],
+)
+def test_left_out_end_tags_lose_nothing(html, text):
+    assert pages.main_text(pages.lines(html), []) == text
+
+
 def test_differences_to_the_neighbour(spark):
     page = lambda body: f"<body><div>Welcome to us</div><div>Menu of things</div>{body}<div>All rights</div></body>"
     rows = [(1, "http://h.org/a/1", page("<p>Own one</p><p>More</p>")), (2, "http://h.org/a/2?x=1", page("<p>Other</p>")), (3, "http://other.org/a/3", page("<p>Alone</p>")), (4, "https://www.h.org/a/3", page("<p>Third</p>")), (5, None, None), (6, "", "")]
