@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from orrery.llm import attention, bpe, jaccard, langid, lm, pages, quality, suffix
+from orrery.llm import jaccard, langid, pages, quality, suffix
 
 from .conftest import CLASH
 
@@ -334,91 +334,3 @@ def test_undetermined(make):
     assert got[1].lang_pred in ("xx", "en")
     nothing = langid.identify(make([(1, "text", None)])).collect()
     assert nothing[0].lang_pred == "und" and langid.identify(make([])).count() == 0
-
-
-# -------------------------------------------------------------- language model
-
-
-def test_base_scores(make):
-    rows = [(i, prose(30, i).upper() if i % 3 else prose(30, i)) for i in range(60)] + [(100, None), (101, ""), (102, "Ünseen\xa0x zzzz"), (None, "abc"), (5, prose(30, 5))]
-    docs = make(rows, **{k: v for k, v in CLASH.items() if k != "held_out"})
-    got = lm.language_model(docs, bpe.default_tokenizer(), steps=5).collect()
-    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
-    words = [(i, [w for w in _split(lower(t)) if w]) for i, t in rows]
-    count = collections.Counter(w for i, ws in words if not out(i) for w in [*ws, 0])
-    n, v = sum(count.values()), len(count)
-    want = collections.Counter()
-    for i, ws in words:
-        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in [*ws, 0])
-        want[i, out(i), len(ws) + 1, sum(count[w] > 0 for w in [*ws, 0]), n, round(base, 6)] += 1
-    assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
-    assert lm.language_model(make([]), bpe.default_tokenizer(), steps=2).count() == 0
-
-
-def test_gradients():
-    r = np.random.default_rng(0)
-    m = attention.Model(12, 5, width=6)
-    m.w = {k: v.astype(np.float64) for k, v in m.w.items()}
-    cur, prev, target = r.integers(0, 12, (3, 8)), r.integers(0, 12, (3, 8)), r.integers(0, 5, (3, 8))
-    opens, counted = np.array([True, False, False]), np.ones((3, 8))
-    counted[2, 5:] = 0
-    _, g = m.loss_and_gradients(cur, prev, opens, target, counted)
-    for name in m.w:
-        at = tuple(r.integers(0, s) for s in m.w[name].shape)
-        at = (int(cur[0, 0]), 1) if name == "E" else at
-        was = m.w[name][at]
-        m.w[name][at] = was + 1e-5
-        up = m.loss_and_gradients(cur, prev, opens, target, counted)[0]
-        m.w[name][at] = was - 1e-5
-        down = m.loss_and_gradients(cur, prev, opens, target, counted)[0]
-        m.w[name][at] = was
-        assert g[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6), name
-
-
-def test_scoring_equals_training_forward_and_sums_to_one():
-    r = np.random.default_rng(1)
-    m = attention.Model(12, 5, width=6)
-    lengths = np.array([3, 20, 1, 8])
-    ids = r.integers(0, 12, lengths.sum())
-    cur, opens, into = attention.blocks(ids, lengths, 11)
-    assert cur.reshape(-1)[into].tolist() == [11 if k == 0 else ids[a + k - 1] for a, n in zip(np.cumsum(lengths) - lengths, lengths, strict=True) for k in range(n)]
-    m.prepare()
-    total = 0
-    for c in range(5):
-        target = np.full(cur.shape, c)
-        lp = m.log_probabilities(cur, opens, target)
-        loss, _ = m.loss_and_gradients(cur, attention.previous(cur), opens, target, np.ones(cur.shape))
-        assert lp.mean() == pytest.approx(-loss, rel=1e-4)
-        total = total + np.exp(lp.astype(float))
-    assert total == pytest.approx(np.ones(cur.shape), abs=1e-4)
-
-
-def test_a_token_sees_only_what_came_before():
-    m = attention.Model(12, 5, width=6)
-    m.prepare()
-    ids = np.random.default_rng(2).integers(0, 12, 40)
-    cur, opens, into = attention.blocks(ids, np.array([40]), 11)
-    a = m.log_probabilities(cur, opens, np.zeros(cur.shape, int)).ravel()[into]
-    ids[30:] = (ids[30:] + 1) % 12
-    cur, opens, into = attention.blocks(ids, np.array([40]), 11)
-    b = m.log_probabilities(cur, opens, np.zeros(cur.shape, int)).ravel()[into]
-    assert a[:31] == pytest.approx(b[:31]) and not np.allclose(a[31:], b[31:])
-
-
-def test_shares_are_probabilities():
-    v = attention.Vocabulary(np.random.default_rng(3).integers(0, 50, 500), inputs=64, own=8, shared=4)
-    assert np.bincount(v.class_of, np.exp(v.log_share.astype(float)), v.classes) == pytest.approx(np.ones(12), abs=1e-5)
-    assert v.input_of.max() == 63
-
-
-def test_training_helps():
-    r = np.random.default_rng(4)
-    ids = np.tile(np.arange(6), 200)
-    cur, opens, into = attention.blocks(ids, np.array([len(ids)]), 6)
-    target, counted = np.zeros(cur.size, np.int64), np.zeros(cur.size, np.float32)
-    target[into], counted[into] = ids, 1
-    m = attention.Model(7, 6)
-    losses = m.train(cur, opens, target.reshape(cur.shape), counted.reshape(cur.shape), steps=80, batch=32)
-    assert losses[-1] < 0.3 * losses[0] and r is not None
