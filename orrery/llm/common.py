@@ -19,18 +19,21 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package however the driver found it."""
+    """Let Python workers import this package however the driver found it, each computing on one thread: a worker has
+    one core, and small products gain nothing from threads that wait for each other."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    env["OPENBLAS_NUM_THREADS"] = "1"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only a session that names no such folder (a local test) gets one of its own.
+    A local session that names none (a test) gets one of its own; on a cluster that is an error, as executors would
+    each write to a disk of their own.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
@@ -38,6 +41,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         known = sc._jsc.sc().getCheckpointDir()
         if known.isDefined():
             base = known.get()
+        elif not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="orrery-")
             sc.setCheckpointDir(base)
@@ -52,6 +57,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_place(docs: DataFrame, file: str, row: str) -> DataFrame:
+    """docs with the name of each row's file and its number there, which tell the order they were written in: readers
+    deal a table out by size of file. Rows that come from no Parquet file are numbered as they stand, file null."""
+    meta = None
+    if docs.inputFiles():
+        meta = docs.metadataColumn("_metadata")
+    if meta is None:
+        return docs.withColumns({file: F.lit(None).cast("string"), row: F.monotonically_increasing_id()})
+    return docs.withColumns({file: meta["file_name"], row: meta["row_index"]})
+
+
 def parts(spark: SparkSession, times: int = 2) -> int:
     """How many groups packed blocks are dealt into; follows the session's shuffle partitions."""
     return max(16, times * int(spark.conf.get("spark.sql.shuffle.partitions")))
