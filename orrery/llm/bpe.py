@@ -28,11 +28,20 @@ _SP = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SP}\p{{L}}\p{{N}}]+|[{_SP}]+(?![^{_SP}])|[{_SP}]+"
 )
-#: Blocks whose letters and digits have long been settled, so that every Unicode version agrees on them.
+#: Blocks whose letters, digits and signs have stood since Unicode 6 at the latest, so that every version in
+#: use agrees on them. Latin, Greek, Cyrillic, Hebrew and Arabic letters, Devanagari and Thai letters, punctuation,
+#: currency, arrows, operators, box drawing, CJK signs, kana, CJK, Hangul, full-width forms, pictographs.
 SETTLED = regex.compile(
-    r"[\u0000-\u001b\u0020-\u0084\u0086-\u009f\u00a1-\u024f\u0391-\u03a1\u03a3-\u03ce\u0410-\u044f"
-    r"\u2010-\u2027\u2030-\u205e\u20ac\u2190-\u21ff\u2200-\u22ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
+    r"[\u0000-\u001b\u0020-\u0084\u0086-\u009f\u00a1-\u024f\u0386\u0388-\u038a\u038c\u038e-\u03a1\u03a3-\u03ce\u0400-\u0481"
+    r"\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u0660-\u0669\u0904-\u0939\u0966-\u096f\u0e01-\u0e30\u0e40-\u0e45\u1e00-\u1eff"
+    r"\u2010-\u2027\u2030-\u205e\u20a0-\u20b5\u2190-\u21ff\u2200-\u22ff\u2500-\u257f\u3001-\u3003\u3008-\u3011\u3041-\u3096\u30a1-\u30fa"
+    r"\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f320\U0001f400-\U0001f43e]*"
 )
+#: What is or was white space to some version, and what is near it.
+WHITE = r"\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
+ODD_WHITE = regex.compile(rf"[{WHITE}--[ \n]]", regex.V1)
+#: A space that stands alone: whatever is before it, a pre-token ends there and one begins with it.
+ALONE = regex.compile(rf"(?<=[^{WHITE}])(?= [^{WHITE}])")
 
 
 def default_tokenizer() -> str:
@@ -77,7 +86,17 @@ def settled(text: str) -> bool:
 
 
 def even(text: str) -> bool:
-    return not any(u in text for u in UNEVEN) and text[:1] != "\n" and text[-1:] not in ("\n", " ")
+    if any(u in text for u in UNEVEN) or text[:1] == "\n" or text[-1:] in ("\n", " "):
+        return False
+    return not ODD_WHITE.search(text)
+
+
+def pretokens(text: str) -> list[str]:
+    """The pre-tokens of a text; of one with unsettled characters, those between spaces that stand alone, and what
+    holds such characters as a whole, for the library to split."""
+    if settled(text):
+        return PRETOKEN.findall(text)
+    return [t for piece in ALONE.split(text) for t in (PRETOKEN.findall(piece) if settled(piece) else [piece])]
 
 
 class ByWords:
@@ -86,7 +105,8 @@ class ByWords:
     Where every white space stands alone, a pre-token never reaches across the place in front of it. So a word
     with the space or line break in front of it has the same ids wherever it stands, and they are remembered: a
     word under itself, behind \\n if a line break is in front of it, behind \\0 if nothing is. `learn` gives the ids of
-    a set of pre-tokens, `learn_words` those of a list of words of letters, each with a space in front.
+    a set of pre-tokens, or of pieces with unsettled characters; `learn_words` those of a list of words of settled
+    letters, each with a space in front.
     """
 
     def __init__(self, learn, learn_words, remembered: int = 250_000):
@@ -94,17 +114,18 @@ class ByWords:
 
     @staticmethod
     def split(word: str) -> list[str]:
-        return PRETOKEN.findall(word.lstrip("\0") if word[0] in "\0\n" else " " + word)
+        text = word.lstrip("\0") if word[0] in "\0\n" else " " + word
+        return PRETOKEN.findall(text) if settled(text) else [text]
 
     def ids(self, words: list[str]) -> list[bytes]:
         """uint32 ids of each word (as kept, see above), as bytes."""
         new = self.words.missing(words)
         known = self.words.now
         if new:
-            letters = [w for w in new if w.isalpha()]
+            letters = [w for w in new if w.isalpha() and settled(w)]
             rest = new.difference(letters)
             # a word with a mark behind it: the mark is a pre-token of its own
-            marked = [w for w in rest if w[-1] in ".,|" and w[:-1].isalpha()]
+            marked = [w for w in rest if w[-1] in ".,|" and w[:-1].isalpha() and settled(w)]
             rest.difference_update(marked)
             letters += {w[:-1] for w in marked}.difference(known, letters)
             if letters:
@@ -155,7 +176,7 @@ class ByWords:
                 out[i] = flat[ends[k] : ends[k + 1]]
         for i, t in enumerate(texts):
             if out[i] is None:
-                tokens = PRETOKEN.findall(t)
+                tokens = pretokens(t)
                 out[i] = np.frombuffer(b"".join(map(self.learn(set(tokens)).__getitem__, tokens)), "<u4")
         return out
 
@@ -164,6 +185,7 @@ class ForcedBoundaryBPE:
     """Encoder and decoder over a tokenizer file of kind byte-level BPE."""
 
     def __init__(self, path: str, remembered: int = 100_000):
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"]
@@ -260,7 +282,20 @@ class ForcedBoundaryBPE:
         self.fragments, self.by_words = {}, ByWords(self._learn, self._learn_words, self.remembered)
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
-        return {t: self._pretoken(t) for t in new}
+        known = {t: self._pretoken(t) for t in new if settled(t)}
+        if rest := [t for t in new if t not in known]:
+            known.update(zip(rest, self._by_library(rest), strict=True))
+        return known
+
+    def _by_library(self, pieces: list[str]) -> list[bytes]:
+        """The library's own answer for pieces whose characters may differ in class between Unicode versions."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn_words(self, words: list[str]) -> list[bytes]:
         return [self._pretoken(" " + w) for w in words]
@@ -290,19 +325,6 @@ def loaded(path: str) -> ForcedBoundaryBPE:
     return _loaded[path]
 
 
-def whole_text_ids(path: str, text: str) -> list[int]:
-    """The library's own answer, for texts with characters whose class may differ between Unicode versions."""
-    key = ("library", path)
-    if key not in _loaded:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        _loaded[key] = tok
-    return _loaded[key].encode(text, add_special_tokens=False).ids
-
-
 def encode_column(docs: DataFrame, tokenizer: str, *keys: str) -> DataFrame:
     """keys, token_ids array<int>, decoded string of every row; null text counts as empty.
 
@@ -315,7 +337,7 @@ def encode_column(docs: DataFrame, tokenizer: str, *keys: str) -> DataFrame:
     def run(batches):
         bpe = loaded(tokenizer)
         for batch in common.slices(batches, 4 << 20):
-            ids = ids_of(bpe, tokenizer, batch.column("__text").to_pylist())
+            ids = ids_of(bpe, batch.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(keys))]
                 + [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([bpe.decode(x.tolist()) for x in ids])],
@@ -327,26 +349,24 @@ def encode_column(docs: DataFrame, tokenizer: str, *keys: str) -> DataFrame:
     return src.mapInArrow(common.tidied(run), schema)
 
 
-def _ids(bpe: ForcedBoundaryBPE, path: str, text: str) -> np.ndarray:
-    return ids_of(bpe, path, [text])[0]
-
-
-def ids_of(bpe: ForcedBoundaryBPE, path: str, texts: list[str]) -> list[np.ndarray]:
-    """Ids of each text; those with characters of unsettled class go to the library, those with the string of an
-    added token are split at it."""
-    plain = [settled(t) and not any(a in t for a in bpe.added) for t in texts]
+def ids_of(bpe: ForcedBoundaryBPE, texts: list[str]) -> list[np.ndarray]:
+    """Ids of each text; those with the string of an added token are split at it."""
+    plain = [not any(a in t for a in bpe.added) for t in texts]
     done = iter(bpe.by_words.encode([t for t, ok in zip(texts, plain, strict=True) if ok]))
-    return [
-        next(done) if ok else bpe.encode(t) if settled(t) else np.array(whole_text_ids(path, t), "<u4")
-        for t, ok in zip(texts, plain, strict=True)
-    ]
+    return [next(done) if ok else bpe.encode(t) for t, ok in zip(texts, plain, strict=True)]
 
 
 def encoded_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, source, n_tokens, token_ids and whether they decode to the text, of every row."""
-    rows = encode_column(docs, tokenizer, "doc_id", "source", "text")
+    """doc_id, source, n_tokens, token_ids, whether they decode to the text, and the row's place (shard, row) in the
+    files of docs, of every row: ordered by place, the ids stand in the order in which docs were written.
+
+    Null texts are empty and have no id; very long texts are encoded whole; rows that repeat each have their ids; an
+    empty table gives no row. Only doc_id, source and text are read, so other columns may have any name.
+    """
+    placed = common.in_place(docs.select("doc_id", "source", "text"), "shard", "row")
+    rows = encode_column(placed, tokenizer, "doc_id", "source", "text", "shard", "row")
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return rows.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+    return rows.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"), "shard", "row")
 
 
 def encode_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -361,7 +381,7 @@ def encode_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
         digit, of = bpe.decimal.__getitem__, bpe.bytes_of.__getitem__
         for batch in common.slices(batches, 6 << 20):
             n, ids_hash, text_hash = [], [], []
-            for x in ids_of(bpe, tokenizer, batch.column("text").to_pylist()):
+            for x in ids_of(bpe, batch.column("text").to_pylist()):
                 ids = x.tolist()
                 n.append(len(ids))
                 ids_hash.append(hashlib.sha256(b",".join(map(digit, ids))).hexdigest())

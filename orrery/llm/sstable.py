@@ -188,7 +188,7 @@ class ShardReader:
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each pre-token that recurs; the table is bounded."""
+    """The tokenizers library: asked for whole texts, or for words, of which it is asked once for each that recurs."""
 
     def __init__(self, path: str, remembered: int = 400_000):
         from tokenizers import Tokenizer
@@ -198,19 +198,58 @@ class LibraryEncoder:
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.size, self.by_words = self.tok.get_vocab_size(), bpe.ByWords(self._learn, self._learn_words, remembered)
+        self.marks: dict[str, int] = {}
         self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.size)])
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_many([text])[0]
+    def whole_texts(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. What is new in all of them is asked for together."""
-        plain = [bpe.settled(t) and not any(s in t for s in self.special) for t in texts]
+        """Ids of each text, by way of its words. What is new in all of them is asked for together."""
+        plain = [not any(s in t for s in self.special) for t in texts]
         done = iter(self.by_words.encode([t for t, ok in zip(texts, plain, strict=True) if ok]))
-        return [
-            next(done) if ok else np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4")
-            for t, ok in zip(texts, plain, strict=True)
-        ]
+        return [next(done) if ok else self.whole_texts([t])[0] for t, ok in zip(texts, plain, strict=True)]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word behind a space, one after another, and how many each has."""
+        kinds = np.array([self._kind(w) for w in words], np.int8)
+        cuts = {k: np.flatnonzero(kinds == k) for k in (0, 1, 2)}
+        flat, size, begin = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        at = 0
+        for k in (0, 1):
+            if len(cuts[k]):
+                some = [words[i][:-1] if k else words[i] for i in cuts[k].tolist()]
+                packed = self._learn_words(some)
+                n = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
+                size[cuts[k]], begin[cuts[k]] = n, at + np.cumsum(n) - n
+                flat.append(np.frombuffer(b"".join(packed), "<u4"))
+                at += int(n.sum())
+        if len(cuts[2]):
+            found = [e.ids for e in self.tok.encode_batch_fast([" " + words[i] for i in cuts[2].tolist()], add_special_tokens=False)]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            size[cuts[2]], begin[cuts[2]] = n, at + np.cumsum(n) - n
+            flat.append(np.fromiter((x for f in found for x in f), "<u4", int(n.sum())))
+        pool = np.concatenate([*flat, np.zeros(0, "<u4")])
+        full = size + (kinds == 1)
+        out = np.empty(int(full.sum()), "<u4")
+        ends = np.cumsum(full)
+        marks = np.zeros(len(out), bool)
+        marks[ends[cuts[1]] - 1] = True
+        out[~marks] = pool[common.ranges(begin, size)]
+        out[marks] = [self._mark(words[i][-1]) for i in cuts[1].tolist()]
+        return out, full
+
+    @staticmethod
+    def _kind(w: str) -> int:
+        """0: settled letters; 1: those and a mark behind them, a pre-token of its own; 2: anything else."""
+        if w.isalpha():
+            return 0 if bpe.settled(w) else 2
+        return 1 if w[-1] in ".,|" and w[:-1].isalpha() and bpe.settled(w) else 2
+
+    def _mark(self, c: str) -> int:
+        if c not in self.marks:
+            (self.marks[c],) = self.tok.encode(c, add_special_tokens=False).ids
+        return self.marks[c]
 
     def forget(self) -> None:
         self.by_words = bpe.ByWords(self._learn, self._learn_words, self.by_words.words.most)
@@ -253,7 +292,9 @@ MANIFEST = T.StructType(
 
 
 def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0, shard_bytes: int = 16 << 20) -> DataFrame:
-    """Encode every text (null: empty), append end_id, write shards to out_dir in ascending doc_id order.
+    """Encode every whole text (null: empty) with the library, append end_id, write shards to out_dir in ascending
+    doc_id order. Very long texts are encoded whole; an empty table gives no shard; only doc_id and text are read, so
+    other columns may have any name.
 
     One range shuffle puts the rows in order; each task writes its shards under a name that depends on
     its partition alone, first beside and then renamed, so that a repeated task replaces its own files.
@@ -283,7 +324,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0,
 
         end = np.array([end_id], "<u4")
         for batch in common.slices(batches, 6 << 20):
-            ids = enc.encode_many(batch.column("text").to_pylist())
+            ids = enc.whole_texts(batch.column("text").to_pylist())
             for doc_id, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                 writer.add(key_of(doc_id), np.concatenate([x, end]))
                 if writer.size >= shard_bytes:

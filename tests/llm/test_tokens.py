@@ -26,18 +26,49 @@ def want(text):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([*"abst'é ,.1\n\t|—<>endoftx", "<|endoftext|>"]), max_size=60).map("".join))
 def test_encoders_equal_the_library(text):
-    assert bpe.ids_of(bpe.loaded(PATH), PATH, [text])[0].tolist() == want(text)
-    assert sstable.encoder(PATH).encode(text).tolist() == want(text)
+    assert bpe.ids_of(bpe.loaded(PATH), [text])[0].tolist() == want(text)
+    assert [x[0].tolist() for x in (sstable.encoder(PATH).encode_many([text]), sstable.encoder(PATH).whole_texts([text]))] == [want(text)] * 2
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=40))
 def test_any_unicode(text):
-    ids = bpe.ids_of(bpe.loaded(PATH), PATH, [text])[0].tolist()
+    ids = bpe.ids_of(bpe.loaded(PATH), [text])[0].tolist()
     assert ids == want(text)
+    assert sstable.encoder(PATH).encode_many([text])[0].tolist() == ids
     assert bpe.loaded(PATH).decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+WORLD = ["سلام عليكم 12", "שלום עולם", "नमस्ते दुनिया", "สวัสดี ชาวโลก", "Ёлка и ёж", "Αθήνα ώρα", "你好，世界。「x」", "ok 😀 fine", "e\u0301t\u00e9 caf\u00e9", "a\u180eb c", "x\u200b y", "ꙮ ok", "1\u0660٣ a", "a \u3000 b", "\ufeffabc d"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"".join(WORLD), " ", " ", "\n", "the", "|"]), max_size=30).map("".join))
+def test_scripts_of_the_world(text):
+    assert bpe.ids_of(bpe.loaded(PATH), [text])[0].tolist() == want(text)
+    assert sstable.encoder(PATH).encode_many([text])[0].tolist() == want(text)
+
+
+def test_settled_characters_are_classed_alike():
+    """Every character of the list, between letters, digits, signs and spaces."""
+    every = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000 and bpe.SETTLED.fullmatch(chr(c))]
+    assert len(every) > 30_000
+    texts = [f"a{c}b 1{c}2 .{c}, {c} {c}{c}" for c in every]
+    for a in range(0, len(texts), 2000):
+        some = texts[a : a + 2000]
+        got = [x.tolist() for x in bpe.ids_of(bpe.loaded(PATH), some)]
+        assert got == [e.ids for e in LIBRARY.encode_batch_fast(some, add_special_tokens=False)]
+
+
+def test_only_pieces_with_unsettled_characters_go_to_the_library(monkeypatch):
+    b = bpe.ForcedBoundaryBPE(PATH)
+    asked = []
+    real = b._by_library
+    monkeypatch.setattr(b, "_by_library", lambda pieces: asked.extend(pieces) or real(pieces))
+    text = "plain words before ꙮword and behind\nnext  line ꙮ2 and more"
+    assert b.encode(text).tolist() == want(text) and sorted(asked) == [" ꙮ2", " ꙮword"]
+
+
 def test_cuts_are_forced():
     b = bpe.loaded(PATH)
     whole = list(b.vocab)
