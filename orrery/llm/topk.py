@@ -6,8 +6,9 @@ threshold t / (|q| l). Above 1 the bucket is skipped; a high threshold makes sin
 bucket is pruned by coordinates (a unit vector that close to q has each coordinate in a narrow interval around q's);
 under a low one, only by length. What is left is verified by whole-number products.
 
-The first bounds come from the longest vectors. Queries meet buckets in blocks, each pair of blocks in one task, and
-each task reports at most k rows a query.
+The first bounds come from the longest vectors. Queries meet buckets in blocks: a bucket's vectors travel only to the
+blocks in which some query can still reach the bucket, each such pair is one group, and each group reports at most k
+rows a query. Buckets and blocks grow with the table up to a size that a task holds easily (16 MB of 64 numbers).
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKET_ROWS, QUERY_ROWS, INNER_ROWS, SEEDS = 8192, 4096, 512, 1024
+#: Least and greatest rows of a bucket and of a block of queries; vectors compared at a time; vectors for first bounds.
+BUCKET_ROWS, QUERY_ROWS, INNER_ROWS, SEEDS = (8192, 32768), (4096, 16384), 512, 1024
 #: From this local cosine threshold on, coordinates prune better than lengths alone.
 COORDINATES_FROM, FOCUS = 0.6, 4
 
@@ -132,12 +134,24 @@ def search_bucket(best: Best, q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p
     return used
 
 
+def pieces_of(rows: int, sizes: tuple[int, int], spread: int) -> int:
+    """How many pieces: of the least size until there are `spread` of them, then larger, then of the greatest size."""
+    least, greatest = sizes
+    return max(1, min(math.ceil(rows / least), spread), math.ceil(rows / greatest))
+
+
+def meetings(candidates: DataFrame, asked: DataFrame) -> DataFrame:
+    """The candidates (bucket, ...) once for each block that asks for their bucket; asked: block, buckets."""
+    pairs = asked.select(F.col("block").alias("to"), F.explode("buckets").alias("bucket")).distinct()
+    return candidates.join(pairs, "bucket").withColumnRenamed("to", "block")
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest products of each query with all other vectors.
 
     Queries are the rows whose vec_id is divisible by `every`. Components beyond a shorter vector's end count as 0.
     Rows that repeat a vec_id are vectors like others, but none of them answers a query of that id; a query row that
-    repeats exactly is asked once. An empty table, or one vector alone, gives no row.
+    repeats exactly is asked once. An empty table, or one vector alone, gives no row. Only vec_id and embedding are read.
     """
     spark = vectors.sparkSession
     table = common.cut(quantized(vectors, scale), "vectors")
@@ -145,15 +159,17 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = (width or 0) // 8
-    want = max(1, math.ceil(n / BUCKET_ROWS))
+    spread = common.parts(spark)
+    want = pieces_of(n, BUCKET_ROWS, spread)
+    most = math.ceil(n / want)
     cuts = sorted(set(table.approxQuantile("n2", [i / want for i in range(1, want)], 0.1 / want))) if want > 1 else []
     step = F.lit(0)
     for half in _search_tree(cuts):
         step = half
     bucket = step.cast("int")
     placed = table.withColumn("range", bucket)
-    sizes = placed.groupBy("range").agg(F.count("*").alias("n"), F.max("n2").alias("top")).collect()  # one row for each BUCKET_ROWS vectors
-    split = {r.range: max(1, math.ceil(r.n / BUCKET_ROWS)) for r in sizes}
+    sizes = placed.groupBy("range").agg(F.count("*").alias("n"), F.max("n2").alias("top")).collect()  # one row for each bucket
+    split = {r.range: max(1, math.ceil(r.n / most)) for r in sizes}
     reach = [(r.range, s, math.sqrt(r.top)) for r in sizes for s in range(split[r.range])]
     number = {(r, s): i for i, (r, s, _) in enumerate(reach)}
     longest = np.array([x[2] for x in reach])
@@ -163,7 +179,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     for i, r in enumerate(seeds):
         seed_rows[i, : len(r.v) // 8] = np.frombuffer(bytes(r.v), "<i8")
     queries = table.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    blocks = max(1, math.ceil((queries.count()) / QUERY_ROWS))
+    blocks = pieces_of(queries.count(), QUERY_ROWS, max(1, spread // want))
 
     def bound(batches):
         for batch in common.slices(batches, 4 << 20, 1024):
@@ -176,8 +192,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(t), pa.array(where, pa.list_(pa.int32()))], ["vec_id", "v", "bound", "buckets"])
 
     asked = queries.select("vec_id", "v").mapInArrow(common.tidied(bound), "vec_id long, v binary, bound double, buckets array<int>")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
-    asked = asked.select("vec_id", "v", "bound", "block", F.explode("buckets").alias("bucket"))
+    asked = common.cut(asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")), "top-queries")
 
     def home(batches):
         for batch in batches:
@@ -187,7 +202,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(b, pa.int32())], ["vec_id", "v", "bucket"])
 
     candidates = placed.select("vec_id", "v", "range").mapInArrow(common.tidied(home), "vec_id long, v binary, bucket int")
-    candidates = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    candidates = meetings(candidates, asked)
+    asked = asked.select("vec_id", "v", "bound", "block", F.explode("buckets").alias("bucket"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         p, p_ids = matrix(left.column("v").combine_chunks(), width), left.column("vec_id").to_numpy()
