@@ -1,10 +1,15 @@
-"""Operator 3: main text of web pages, by structure and by differences to the nearest page.
+"""Operator 3: main text of web pages, by differences to the nearest page, guarded by structure.
 
 A page is read into lines, one a block, each with where it stands. Lines in menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments go. What an article or main element holds is the text. Where a page
-has none, the page is compared to its neighbours in order of URL path on the same host: lines are aligned by longest
-common subsequence, and those shared are the site's, not the page's. (Shared lines inside an article stay: pages of
-one host may well quote the same passage.)
+notices, adverts, forms and reader comments go. Then every page is aligned, line by line, with the pages nearest to it
+by URL path on the same host, which in order of path stand right before and behind it: no other page shares more of
+its path. Lines are aligned by longest common subsequence; shared lines are the site's, not the page's, and go:
+
+* where a page has no article or main element, all of them;
+* inside such an element, those at its two ends that both neighbours share (a strip the site puts above or below every
+  article). Shared lines further in stay: pages of one host may well quote the same passage.
+
+A neighbour with the same lines tells nothing, nor does one that shares more than half of a marked text: a copy.
 
 Pages are dealt by range of (host, path), so a large host spreads over many tasks and neighbours still meet.
 """
@@ -15,6 +20,7 @@ import bisect
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +53,10 @@ HINT = re.compile(
     r"|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|teaser|comments?|replies|reply|respond|disqus|widget|toolbar|pagination|pager|search|skip)(?:$|[\s\d_-])",
     re.I,
 )
+#: Class names that say something of a page or a list, not that this block is furniture.
+STATE = re.compile(r"(?:no|not|has|with|without|is|js)[-_]\S*|search[-_]results?", re.I)
+#: The page itself, and what is marked as its text: no class name sets these aside.
+WHOLE = frozenset("html body main article".split())
 HEAD_HINT = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|branding)(?:$|[\s\d_-])", re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -59,8 +69,10 @@ def set_aside(name: str, attributes: str, in_main: bool) -> bool:
         return False
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
-        if key in ("class", "id") and (HINT.search(value) or not in_main and HEAD_HINT.search(value)):
-            return True
+        if key in ("class", "id") and name not in WHOLE:
+            said = " ".join(x for x in value.split() if not STATE.fullmatch(x))
+            if HINT.search(said) or not in_main and HEAD_HINT.search(said):
+                return True
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -128,19 +140,44 @@ def lines(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence with b; rows of the table are bit sets, so long pages are fine."""
-    where: dict[str, int] = {}
+#: Up to this many bits the rows of an alignment are kept; longer pages are halved until they fit.
+TABLE_BITS = 1 << 24
+
+
+def rows_of(a: list[int], b: list[int]):
+    """Yields, behind each line of a, the row of the table of common lengths with b: bit j is cleared where the length
+    grows from b[:j] to b[:j + 1]. A line that b lacks leaves the row as it is."""
+    where: dict[int, list[int]] = {}
     for j, x in enumerate(b):
-        where[x] = where.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    v, rows = full, []
+        where.setdefault(x, []).append(j)
+    v = full = (1 << len(b)) - 1
     for x in a:
-        m = where.get(x, 0)
-        u = v & m
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    found, j = set(), len(b)
+        if at := where.get(x):
+            if len(at) < 8:
+                m = 0
+                for j in at:
+                    m |= 1 << j
+            else:
+                bits = np.zeros(len(b), np.uint8)
+                bits[at] = 1
+                m = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of a with b[:j], for every j."""
+    v = (1 << len(b)) - 1
+    for v in rows_of(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def traced(a: list[int], b: list[int]) -> list[int]:
+    """Places in a of a longest common subsequence, from the kept rows of the table."""
+    rows, full, found, j = list(rows_of(a, b)), (1 << len(b)) - 1, [], len(b)
     for i in range(len(a) - 1, -1, -1):
         # the length for a[:i+1], b[:j] is the number of cleared bits below j
         low = (1 << j) - 1
@@ -149,19 +186,64 @@ def shared(a: list[str], b: list[str]) -> set[int]:
             continue
         while j and (~rows[i] & ((1 << (j - 1)) - 1)).bit_count() == (~rows[i] & ((1 << j) - 1)).bit_count():
             j -= 1
-        found.add(i)
+        found.append(i)
         j -= 1
     return found
 
 
+def shared(a: list[str], b: list[str], table_bits: int | None = None) -> set[int]:
+    """Places in a of a longest common subsequence with b. Memory is linear in the lines: a long alignment is cut where
+    the lengths of its two halves, one from the front and one from the back, add up to the most."""
+    most = TABLE_BITS if table_bits is None else table_bits
+    number: dict[str, int] = {}
+    in_b = set(b)
+    at_a = [i for i, x in enumerate(a) if x in in_b]  # a line that one of them lacks is no part of it
+    xs = [number.setdefault(a[i], len(number)) for i in at_a]
+    ys = [number[y] for y in b if y in number]
+    found: set[int] = set()
+    todo = [(0, len(xs), 0, len(ys))]
+    while todo:
+        i, k, j, n = todo.pop()
+        while i < k and j < n and xs[i] == ys[j]:
+            found.add(at_a[i])
+            i, j = i + 1, j + 1
+        while i < k and j < n and xs[k - 1] == ys[n - 1]:
+            k, n = k - 1, n - 1
+            found.add(at_a[k])
+        if i == k or j == n:
+            continue
+        if k - i == 1 or (k - i) * (n - j) <= most:
+            found.update(at_a[i + x] for x in traced(xs[i:k], ys[j:n]))
+            continue
+        m = (i + k) // 2
+        front, back = lengths(xs[i:m], ys[j:n]), lengths(xs[m:k][::-1], ys[j:n][::-1])
+        c = j + int((front + back[::-1]).argmax())
+        todo += [(i, m, j, c), (m, k, c, n)]
+    return found
+
+
 def main_text(own: list[tuple[str, bool]], neighbours: list[list[tuple[str, bool]]]) -> str:
-    if any(inside for _, inside in own):
-        return " ".join(t for t, inside in own if inside)
-    texts = [t for t, _ in own]
-    drop: set[int] = set()
+    """The lines that are left, joined; neighbours: the nearest pages of the same host, two at most."""
+    marked = any(inside for _, inside in own)
+    texts = [t for t, inside in own if inside or not marked]
+    with_lines = []
     for other in neighbours:
-        if (theirs := [t for t, _ in other]) != texts:  # the same page again tells nothing
-            drop |= shared(texts, theirs)
+        its_mark = any(inside for _, inside in other)
+        theirs = [t for t, inside in other if inside or not its_mark]
+        if theirs == texts:
+            continue
+        alike = shared(texts, theirs)
+        if not marked or 2 * len(alike) <= len(texts):
+            with_lines.append(alike)
+    if not marked:
+        drop = set().union(*with_lines)
+    else:
+        drop, both = set(), set.intersection(*with_lines) if len(with_lines) == 2 else set()
+        for order in (range(len(texts)), range(len(texts) - 1, -1, -1)):
+            for i in order:
+                if i not in both:
+                    break
+                drop.add(i)
     return " ".join(t for i, t in enumerate(texts) if i not in drop)
 
 
@@ -182,8 +264,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
     A null html is empty, and so is its text. A null url stands on a host of its own kind. Rows that repeat are
-    neighbours of each other and, being equal, tell each other nothing. Very long pages are read whole, an empty
-    table gives no row. Pages are cut into chunks in order of host and path; the last page of a chunk also goes to
+    neighbours of each other and, being equal, tell each other nothing. Very long pages are read whole and aligned in
+    memory linear in their lines; an empty table gives no row. Only page_id, url and html are read. Pages are cut into chunks in order of host and path; the last page of a chunk also goes to
     the next, and the first to the one before, so every page meets both neighbours wherever the cuts lie.
     """
     spark = pages.sparkSession
