@@ -6,8 +6,10 @@ again on further sampled tokens, with branching so that similar sets keep a comm
 compared by brute force on sketches. Runs are repeated until a pair at the threshold is missed with probability
 below 1 - recall. Links found that way only propose: proposed groups are then compared exactly on their sets.
 
-What travels is linear: buckets and groups report one row a member (its links, and the least member of its part),
-never pairs; components are found by star contraction.
+What comes back is linear: buckets and groups report one row a member (its links, and the least member of its part),
+never pairs; components are found by star contraction. Links are counted exactly, so all members of a proposed group
+are compared: one of more than `block` members is dealt out as pairs of blocks, for which each member's set travels
+once for every `block` members of its group.
 """
 
 from __future__ import annotations
@@ -87,7 +89,8 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, runs: int, n: int) -> DataFrame:
-    """doc_id, sig (128 bits of the set), keys (its bucket in each run), sketch (16 bits a coordinate)."""
+    """doc_id, th (hash of the text), sig (128 bits of the set), keys (its bucket in each run), sketch (16 bits a
+    coordinate)."""
     common.prepare(docs.sparkSession)
     salts = common.mix64(np.arange(runs, dtype=np.uint64) + np.uint64(77))
 
@@ -104,12 +107,16 @@ def sketched(docs: DataFrame, runs: int, n: int) -> DataFrame:
                 for k, i in enumerate(full):
                     keys[i], sketch[i] = bucket[k], low[k].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "sig", "keys", "sketch"],
+                [batch.column("doc_id"), batch.column("th"), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["doc_id", "th", "sig", "keys", "sketch"],
             )
 
-    src = common.texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return src.mapInArrow(common.tidied(run), "doc_id long, sig binary, keys array<long>, sketch binary")
+    return identified(docs).mapInArrow(common.tidied(run), "doc_id long, th long, sig binary, keys array<long>, sketch binary")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text and th: rows that repeat a doc_id are told apart by their text's hash."""
+    return common.texts(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
 
 
 def common_sig(s: np.ndarray) -> bytes | None:
@@ -164,21 +171,27 @@ def grouped(batches, key: str, most: int = 1 << 20):
         yield [x for x, _ in held]
 
 
-def parts_of(adjacent: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each row the least id of its connected part."""
-    n = len(ids)
-    root, open_ = np.empty(n, np.int64), np.ones(n, bool)
-    for i in np.argsort(ids, kind="stable"):
-        if not open_[i]:
+def parts_of(near: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ids a (rows) and b (columns; None: the same ids) the least id of its connected part."""
+    same = b is None
+    b = a if same else b
+    root_a, root_b = np.full(len(a), -1, np.int64), np.full(len(b), -1, np.int64)
+    open_a, open_b = np.ones(len(a), bool), np.ones(len(b), bool)
+    if same:
+        open_b, root_b = open_a, root_a
+    ids = a if same else np.concatenate([a, b])
+    for i in np.argsort(ids, kind="stable").tolist():
+        left = i < len(a)
+        if not (open_a[i] if left else open_b[i - len(a)]):
             continue
-        seen, front = np.zeros(n, bool), np.array([i])
-        seen[i] = True
+        front = np.array([i if left else i - len(a)])
         while len(front):
-            near = adjacent[front].any(0) & ~seen
-            seen |= near
-            front = np.flatnonzero(near)
-        root[seen], open_[seen] = ids[i], False
-    return root
+            (open_a if left else open_b)[front] = False
+            (root_a if left else root_b)[front] = ids[i]
+            reached = near[front].any(0) if left else near[:, front].any(1)
+            front = np.flatnonzero(reached & (open_b if left else open_a))
+            left = same or not left
+    return root_a, root_b
 
 
 def alike(sketch: np.ndarray, least: int) -> np.ndarray:
@@ -209,7 +222,7 @@ def proposals(ids: np.ndarray, sketch: np.ndarray, least: int, small: int, bucke
             for k, child in enumerate(children):
                 yield from proposals(ids[child], sketch[child], least, small, bucket, (*path, k))
             return
-    root = parts_of(alike(sketch, least), ids)
+    root = parts_of(alike(sketch, least), ids)[0]
     apart = root != ids
     if apart.any():
         yield ids[apart], root[apart]
@@ -240,11 +253,12 @@ def proposed_links(rows: DataFrame, least: int, small: int) -> DataFrame:
     return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(common.tidied(run), "u long, v long")
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by blocks of the shared elements' incidence matrix."""
-    n = len(sets)
+def overlaps(one: list[np.ndarray], other: list[np.ndarray] | None = None, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each of one with each of the other sets (None: the same), by blocks of the shared
+    elements' incidence matrices; whole numbers, exact in float32 up to 2^24."""
+    sets = one if other is None else [*one, *other]
     flat = np.concatenate(sets)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
     flat, row = flat[order], row[order]
     first = common.runs(flat)
@@ -252,43 +266,54 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     column = np.repeat(np.cumsum(size > 1) - 1, size)
     shared = np.repeat(size > 1, size)
     row, column = row[shared], column[shared]
-    out, width = np.zeros((n, n), np.float64), 4096
+    out = np.zeros((len(one), len(one if other is None else other)), np.float32)
     edges = np.searchsorted(column, np.arange(0, int((size > 1).sum()) + width, width))
     for k in range(len(edges) - 1):
         a, b = edges[k], edges[k + 1]
         if a < b:
-            m = np.zeros((n, width), np.float32)
+            m = np.zeros((len(sets), width), np.float32)
             m[row[a:b], column[a:b] - k * width] = 1
-            out += m @ m.T
+            out += m[: len(one)] @ (m if other is None else m[len(one) :]).T
     return out
 
 
 def verified(groups: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """node, root, links from exact comparison within each group."""
+    """node, root, links from exact comparison within each group: of all its rows, or of one block's with the other's."""
 
     def run(batches):
         rows = {"node": [], "root": [], "links": []}
+        held = 0
         for group in grouped(batches, "g"):
-            n = sum(b.num_rows for b in group)
-            if n < 2:
-                continue
             col = lambda name: np.concatenate([b.column(name).to_numpy() for b in group])  # noqa: E731,B023
-            ids, copies, mine = col("node"), col("copies"), col("mine")
+            # a node's row may repeat in docs
+            ids, first = np.unique(col("node"), return_index=True)
+            if len(ids) < 2:
+                continue
+            copies, mine = col("copies")[first], col("mine")[first]
             cross = bool(group[0].column("cross")[0].as_py())
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for b in group for x in b.column("set")]
+            sets = [sets[i] for i in first.tolist()]
             size = np.array([len(s) for s in sets], np.float64)
-            both = overlaps(sets)
-            near = both * denominator >= (size[:, None] + size[None, :] - both) * numerator
-            np.fill_diagonal(near, False)
-            near &= ids[:, None] != ids[None, :]
-            if cross:
-                near &= mine[:, None] != mine[None, :]
-            rows["node"].append(ids)
-            rows["root"].append(parts_of(near, ids))
-            rows["links"].append(near @ copies)
-            if len(rows["node"]) > 2000:
+            left = mine == mine.min() if cross else np.ones(len(ids), bool)
+            a, b = np.flatnonzero(left), np.flatnonzero(~left) if cross else None
+            both = overlaps([sets[i] for i in a.tolist()], None if b is None else [sets[i] for i in b.tolist()])
+            near = np.empty(both.shape, bool)
+            for k in range(0, len(a), 512):  # the tests in float64, some rows at a time
+                x, y = both[k : k + 512].astype(np.float64), size[a[k : k + 512], None] + size[None, a if b is None else b]
+                near[k : k + 512] = x * denominator >= (y - x) * numerator
+            if b is None:
+                np.fill_diagonal(near, False)
+                root, links = parts_of(near, ids)[0], near @ copies
+            else:
+                root, links = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+                root[a], root[b] = parts_of(near, ids[a], ids[b])
+                links[a], links[b] = near @ copies[b], copies[a] @ near
+            for k, v in zip(rows, (ids, root, links), strict=True):
+                rows[k].append(v)
+            held += len(ids)
+            if held > 20_000:
                 yield as_rows(rows)
-                rows = {k: [] for k in rows}
+                rows, held = {k: [] for k in rows}, 0
         if rows["node"]:
             yield as_rows(rows)
 
@@ -311,32 +336,26 @@ def with_sets(rows: DataFrame, n: int) -> DataFrame:
     return rows.select(*keep, "text").mapInArrow(common.tidied(run), rows.drop("text").schema.add("set", "binary"))
 
 
-def join(docs: DataFrame, similarity: tuple[int, int] = (4, 5), n: int = 5, recall: float = 0.9999,
-         limit: int = 4096, small: int = 256, block: int = 1024) -> DataFrame:
-    """doc_id, class_id, n_links of every row.
-
-    n_links counts the other documents whose set is at least similarity (a fraction) alike, copies included;
-    class_id is the least doc_id reachable over links. Texts without a word (null, empty, blank) and rows
-    without a doc_id link to nothing: their class is their own id. Rows that repeat a doc_id with the same text
-    count as copies. An empty table gives no row.
-    """
+def linked(docs: DataFrame, similarity: tuple[int, int] = (4, 5), n: int = 5, recall: float = 0.9999,
+           limit: int = 4096, small: int = 256, block: int = 4096) -> DataFrame:
+    """doc_id, th, class_id, n_links and stays (whether the row stands for its class) of every row."""
     spark = docs.sparkSession
     s = similarity[0] / similarity[1]
     least = least_agreeing(s)
     base = common.cut(sketched(docs, runs_needed(s, recall, deepest_level(limit, small)), n), "sketches")
     live = base.filter("sig is not null and doc_id is not null")
-    nodes = common.cut(
-        live.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")),
-        "nodes",
+    nodes = live.groupBy("sig").agg(
+        F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
     )
+    # numbered as they are written, once: a doc_id may stand for several texts
+    nodes = common.cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = nodes.select(F.explode("keys").alias("bucket"), "node", "sketch")
     proposed = graph.components(proposed_links(split_hot(rows, limit), least, small))
     member = proposed.unionAll(proposed.select(F.col("root").alias("node"), "root").distinct())
-    member = member.join(nodes.select("node", "copies", "sig"), "node")
+    member = member.join(nodes.select("node", "copies", "first"), "node")
     sizes = member.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    member = common.cut(member.join(sizes, "root"), "members")
-    texts = common.texts(docs, "doc_id").withColumn("node", F.col("doc_id").cast("long")).drop("doc_id")
-    sets = with_sets(texts.join(member, "node").select("node", "copies", "root", "blocks", "text"), n)
+    member = common.cut(member.join(sizes, "root").select("node", "copies", "root", "blocks", "first.doc_id", "first.th"), "members")
+    sets = with_sets(identified(docs).join(member, ["doc_id", "th"]).select("node", "copies", "root", "blocks", "text"), n)
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     sets = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
@@ -344,29 +363,48 @@ def join(docs: DataFrame, similarity: tuple[int, int] = (4, 5), n: int = 5, reca
     found = common.cut(verified(groups, *similarity), "verified")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = graph.components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    known = nodes.select("sig", "node", "copies").join(links, "node", "left").join(classes, "node", "left")
-    out = base.select("doc_id", "sig").join(known, "sig", "left")
+    classes = common.cut(classes.unionAll(classes.select(F.col("root").alias("node"), "root").distinct()), "classes")
+    names = classes.join(nodes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("name"))
+    classes = classes.join(names, "root").select("node", "name")
+    known = nodes.select("sig", "node", "copies", "first").join(links, "node", "left").join(classes, "node", "left")
+    out = base.select("doc_id", "th", "sig").join(known, "sig", "left")
     live = F.col("doc_id").isNotNull() & F.col("node").isNotNull()
+    name = F.coalesce("name", "first")
     return out.select(
         "doc_id",
-        F.when(live, F.coalesce("root", "node")).otherwise(F.col("doc_id")).alias("class_id"),
+        "th",
+        F.when(live, name["doc_id"]).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(live, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.when(live, (name["doc_id"] == F.col("doc_id")) & (name["th"] == F.col("th"))).otherwise(F.lit(True)).alias("stays"),
     )
 
 
-def representatives(docs: DataFrame, **how) -> DataFrame:
-    """One document of each class, the one of least doc_id, with its own columns; of rows repeating a doc_id, one.
+def join(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, class_id, n_links of every row.
 
-    Rows without a doc_id, and rows whose text has no word, all stay.
+    n_links counts the other rows whose set is at least similarity (a fraction) alike, copies included; class_id is the
+    least doc_id reachable over links. Texts without a word (null, empty, blank) and rows without a doc_id link to
+    nothing: their class is their own id. Rows that repeat a doc_id with the same text count as copies; with another
+    text they are documents of their own, in classes of their own (which may be named by the same id). Very long texts
+    are taken whole. An empty table gives no row. Only doc_id and text are read, so other columns may have any name.
     """
-    found = common.cut(join(docs, **how), "near-duplicates")
-    gone = found.filter("class_id != doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left_anti")
-    twice = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id")
+    return linked(docs, **how).select("doc_id", "class_id", "n_links")
+
+
+def representatives(docs: DataFrame, **how) -> DataFrame:
+    """One document of each class, the one of least doc_id (then of least text hash), with its own columns; of rows
+    repeating doc_id and text, one. Rows without a doc_id, and rows whose text has no word, all stay."""
+    found = common.cut(linked(docs, **how), "near-duplicates")
+    wordless = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
+    th = lambda: F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    gone = found.filter("not stays").select("doc_id", "th").distinct()
+    left = docs.join(gone, (docs["doc_id"].cast("long") == gone["doc_id"]) & (th() == gone["th"]), "left_anti")
+    twice = found.filter("doc_id is not null and stays").groupBy("doc_id", "th").count().filter("count > 1").select("doc_id", "th")
     if twice.isEmpty():
         return left
-    same = left["doc_id"].cast("long") == twice["__id"]
-    return left.join(twice, same, "left_anti").unionAll(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    same = (left["doc_id"].cast("long") == twice["doc_id"]) & (F.xxhash64(F.coalesce(left["text"], F.lit(""))) == twice["th"])
+    again = left.join(twice, same, "left_semi")
+    return left.join(twice, same, "left_anti").unionAll(again.filter(wordless)).unionAll(again.filter(~wordless).dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
