@@ -13,8 +13,13 @@ block by block with all others; so the suffixes are first brought together:
    prefixes of neighbours then tell which passages repeat, and the first of each is kept.
 
 Every place of every text is covered by marks, so nothing is sampled away. Marks and bytes travel in packed
-blocks dealt evenly by hash. A mark in very many different contexts is split by passage, so no task grows
-with it. Only the documents are read twice; they move in compressed blocks.
+blocks dealt evenly by hash.
+
+Hot marks, those in so many different contexts that they would fill a tenth of a task, never meet: a first look at
+some of the documents estimates which they are, and all tasks get the list, which has a few entries for each
+partition at most. The passages over a hot mark go each under a hash of its own 100 bytes (128 bits), and of equal
+ones a task sends only the first; the owner of the hash keeps the first of all. So no key grows with the corpus in
+any task. The list only routes: whatever it holds, the same bytes go.
 """
 
 from __future__ import annotations
@@ -31,7 +36,9 @@ from . import common
 GRAM = 32
 NULL_ID = np.int64(-(1 << 63))
 BLOCK = "part int, kind int, block binary"
-DOCS, SPANS, SITES, MARKS = 0, 1, 2, 3
+DOCS, SPANS, SITES, MARKS, PASSAGES = 0, 1, 2, 3, 4
+#: Of how many texts one is looked at for hot marks; contexts to see before a mark is held to be hot.
+LOOK, ENOUGH = 8, 16
 _P = 0x5851F42D4C957F2D
 _powers: dict[str, np.ndarray] = {}
 
@@ -144,6 +151,19 @@ def as_batch(rows):
     )
 
 
+def in_batches(rows, most: int = 32 << 20):
+    """Batches of blocks of about `most` bytes: a partition's output is neither held whole nor put in one batch."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[2])
+        if size >= most:
+            yield as_batch(held)
+            held, size = [], 0
+    if held:
+        yield as_batch(held)
+
+
 def fold(m: dict):
     """Marks sorted by hash and context, first occurrence first. Returns (kept marks, repeats' ids, th, s, e)."""
     _, _, place = doc_index(m["id"], m["th"])
@@ -176,44 +196,102 @@ def text_arrays(batch):
     return texts, data, bounds, hashes, th
 
 
-def mark_blocks(batches, length: int, keys: np.ndarray, flush_at: int = 400_000):
-    """Stage 1: marks and their contexts; contexts equal within the task are folded before they travel."""
-    held, count = [], 0
+def marks_of(batch, length: int):
+    """The batch's texts, bounds, hashes, text hashes and doc ids, and its marks with their contexts."""
+    texts, data, bounds, hashes, th = text_arrays(batch)
+    at, a = anchors(data, bounds, length, hashes)
+    doc = np.searchsorted(bounds, at, "right") - 1
+    s = np.maximum(bounds[doc], at - (length - GRAM))
+    e = np.minimum(bounds[doc + 1], at + length)
+    w = common.mix64(hashes.of(s, e) ^ ((at - s) * 1024 + (e - at)).astype(np.uint64))
+    return bounds, hashes, th, column_ids(batch.column("doc_id")), at, a, doc, s, e, w
+
+
+def hot_marks(narrow: DataFrame, length: int, n: int, hot_from: int | None = None, look: int = LOOK, enough: int = ENOUGH) -> np.ndarray:
+    """Sorted hashes of the marks that probably stand in more than `hot_from` different contexts, by default a tenth of a
+    partition's share of all marks: so they are ten a partition at most, but for errors of the estimate.
+
+    One text in `look` is read, and of its contexts those with a hash divisible by `every`, about a hundred for each
+    hot mark; both choices follow from the content, so copies do not count again.
+    """
+    size = narrow.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if hot_from is None:
+        hot_from = max(1, 2 * size // (length - GRAM + 2) // (10 * n))
+    every = max(1, hot_from // (100 * look))
+
+    def run(batches):
+        for batch in common.slices(batches, 1 << 20):
+            *_, a, _, _, _, w = marks_of(batch, length)
+            keep = w % np.uint64(every) == 0
+            both = np.unique(np.stack([a[keep], w[keep]], 1), axis=0) if keep.any() else np.zeros((0, 2), np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64))], ["a", "w"])
+
+    some = narrow.filter(F.pmod(F.xxhash64("text"), F.lit(look)) == 0)
+    seen = some.mapInArrow(common.tidied(run), "a long, w long").distinct().groupBy("a").count()
+    hot = seen.filter((F.col("count") * (every * look) > hot_from) & (F.col("count") >= enough)).select("a").collect()
+    return np.sort(np.array([r.a for r in hot], np.int64).view(np.uint64))
+
+
+def passages(hot_at, bounds, hashes: Hashes, doc, s, e, th, ids, length: int) -> dict:
+    """All passages over the marks at `hot_at`, each once, in the form of marks: what is before them is empty."""
+    cover = np.zeros(bounds[-1] + 2, np.int32)
+    first, last = s[hot_at], e[hot_at] - length
+    fits = last >= first
+    np.add.at(cover, first[fits], 1)
+    np.add.at(cover, last[fits] + 1, -1)
+    at = np.flatnonzero(np.cumsum(cover) > 0)
+    doc = np.searchsorted(bounds, at, "right") - 1
+    half = at + length // 2
+    w = common.mix64(hashes.of(at, half) * np.uint64(_P) + hashes.of(half, at + length))
+    return {"a": hashes.of(at, at + length), "w": w, "id": ids[doc], "th": th[doc], "pos": (at - bounds[doc]).astype(np.uint32),
+            "left": np.zeros(len(at), np.uint16), "right": np.full(len(at), length, np.uint16)}
+
+
+def mark_blocks(batches, length: int, keys: np.ndarray, hot: np.ndarray, flush_at: int = 400_000):
+    """Stage 1: marks and their contexts, and passages over hot marks; equal ones are folded within the task before they
+    travel."""
+    held, over, count = [], [], 0
 
     def flush():
-        kept, *spans = fold(joined(held))
-        yield from dealt(((kept["a"] & np.uint64(0xFFFFFFFF)) % np.uint64(len(keys))).astype(np.int64), keys, MARKS, **kept)
-        yield from span_blocks(*spans, keys)
+        for kind, rows in ((MARKS, held), (PASSAGES, over)):
+            if m := joined(rows):
+                kept, *spans = fold(m)
+                yield from dealt(((kept["a"] & np.uint64(0xFFFFFFFF)) % np.uint64(len(keys))).astype(np.int64), keys, kind, **kept)
+                yield from span_blocks(*spans, keys)
 
     for batch in common.slices(batches, 1 << 20):
-        _, data, bounds, hashes, th = text_arrays(batch)
-        at, a = anchors(data, bounds, length, hashes)
+        bounds, hashes, th, ids, at, a, doc, s, e, w = marks_of(batch, length)
+        if len(hot) and len(at):
+            place = np.minimum(np.searchsorted(hot, a), len(hot) - 1)
+            is_hot = hot[place] == a
+            if is_hot.any():
+                over.append(passages(np.flatnonzero(is_hot), bounds, hashes, doc, s, e, th, ids, length))
+                count += len(over[-1]["a"])
+                at, a, doc, s, e, w = (x[~is_hot] for x in (at, a, doc, s, e, w))
         if len(at):
-            doc = np.searchsorted(bounds, at, "right") - 1
-            s = np.maximum(bounds[doc], at - (length - GRAM))
-            e = np.minimum(bounds[doc + 1], at + length)
-            w = common.mix64(hashes.of(s, e) ^ ((at - s) * 1024 + (e - at)).astype(np.uint64))
-            ids = column_ids(batch.column("doc_id"))
             held.append({"a": a, "w": w, "id": ids[doc], "th": th[doc], "pos": (at - bounds[doc]).astype(np.uint32),
                          "left": (at - s).astype(np.uint16), "right": (e - at).astype(np.uint16)})
             count += len(at)
         if count >= flush_at:
-            yield as_batch(flush())
-            held, count = [], 0
-    if held:
-        yield as_batch(flush())
+            yield from in_batches(flush())
+            held, over, count = [], [], 0
+    if held or over:
+        yield from in_batches(flush())
 
 
 def blocks_of(batches, *kinds: int):
-    """The task's blocks of the kinds, gathered; blocks of other kinds as they are."""
-    found, other = {k: [] for k in kinds}, []
-    for batch in batches:
-        for p, k, b in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("block"), strict=True):
-            if k in found:
-                found[k].append(common.unpack(b.as_buffer()))
-            else:
-                other.append((p, k, b.as_py()))
-    return found, other
+    """The task's blocks of the kinds, gathered; blocks of other kinds as they are, at once."""
+    found = {k: [] for k in kinds}
+
+    def others():
+        for batch in batches:
+            for p, k, b in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("block"), strict=True):
+                if k in found:
+                    found[k].append(common.unpack(b.as_buffer()))
+                else:
+                    yield p, k, b.as_py()
+
+    return found, others()
 
 
 def joined(blocks: list[dict]) -> dict | None:
@@ -225,24 +303,29 @@ def joined(blocks: list[dict]) -> dict | None:
     return out
 
 
-def site_blocks(batches, keys: np.ndarray, many: int):
-    """Stage 2: marks of one hash together. Marks with several contexts ask for their documents' bytes."""
-    found, other = blocks_of(batches, MARKS)
-    rows = list(other)
-    if m := joined(found[MARKS]):
-        kept, *spans = fold(m)
-        rows += span_blocks(*spans, keys)
-        order = np.argsort(kept["a"], kind="stable")
-        first = common.runs(kept["a"][order])
-        size = np.diff(np.append(first, len(order)))
-        group = np.repeat(size, size)
-        ask = order[group > 1]
-        if len(ask):
-            sites = {k: kept[k][ask] for k in ("a", "id", "th", "pos", "left", "right")}
-            sites["split"] = group[group > 1] > many
-            rows += dealt(home(sites["id"], sites["th"], len(keys)), keys, SITES, **sites)
-    if rows:
-        yield as_batch(rows)
+def site_blocks(batches, keys: np.ndarray):
+    """Stage 2: marks of one hash together. Marks with several contexts ask for their documents' bytes. Of passages over
+    hot marks the first is kept, the others are repeats."""
+
+    def rows():
+        found, other = blocks_of(batches, MARKS, PASSAGES)
+        yield from other
+        if m := joined(found[PASSAGES]):
+            _, *spans = fold(m)
+            yield from span_blocks(*spans, keys)
+        if m := joined(found[MARKS]):
+            kept, *spans = fold(m)
+            yield from span_blocks(*spans, keys)
+            order = np.argsort(kept["a"], kind="stable")
+            first = common.runs(kept["a"][order])
+            size = np.diff(np.append(first, len(order)))
+            ask = order[np.repeat(size, size) > 1]
+            if len(ask):
+                sites = {k: kept[k][ask] for k in ("a", "id", "th", "pos", "left", "right")}
+                del kept, order
+                yield from dealt(home(sites["id"], sites["th"], len(keys)), keys, SITES, **sites)
+
+    yield from in_batches(rows())
 
 
 def doc_blocks(batches, keys: np.ndarray, keep: list[str], block_bytes: int = 12 << 20):
@@ -278,11 +361,15 @@ def opened(block: dict):
 
 def window_blocks(batches, length: int, keys: np.ndarray):
     """Between stages 2 and 3: the bytes that were asked for leave for the mark's part."""
-    found, other = blocks_of(batches, DOCS, SPANS, SITES)
-    rows = list(other)
-    if s := joined(found[SPANS]):
-        rows += span_blocks(s["id"], s["th"], s["s"], s["e"], keys)
-    if sites := joined(found[SITES]):
+
+    def rows():
+        found, other = blocks_of(batches, DOCS, SPANS, SITES)
+        yield from other
+        if s := joined(found[SPANS]):
+            yield from span_blocks(s["id"], s["th"], s["s"], s["e"], keys)
+        sites = joined(found[SITES])
+        if not sites:
+            return
         order = np.lexsort((sites["th"], sites["id"]))
         sites = {k: v[order] for k, v in sites.items()}
         where = {}
@@ -299,7 +386,7 @@ def window_blocks(batches, length: int, keys: np.ndarray):
             at = common.ranges(at[:, 0], n)
             some = {k: v[at] for k, v in sites.items()}
             some["base"] = np.repeat(base, n)
-            return cut_windows(some, data, length, keys)
+            return cut_windows(some, data, keys)
 
         while found[DOCS]:
             block = found[DOCS].pop()
@@ -311,39 +398,25 @@ def window_blocks(batches, length: int, keys: np.ndarray):
                 texts += new
                 size += sum(map(len, new))
             if size >= 6 << 20:
-                rows += flush()
+                yield from flush()
                 texts, spans, size = [], [], 0
         if texts:
-            rows += flush()
-    if rows:
-        yield as_batch(rows)
+            yield from flush()
 
+    yield from in_batches(rows())
 
-def cut_windows(s: dict, data: np.ndarray, length: int, keys: np.ndarray):
-    """Blocks of contexts. Those of a mark in very many contexts are split into their passages, each under its own hash."""
+
+def cut_windows(s: dict, data: np.ndarray, keys: np.ndarray):
+    """Blocks of contexts, for the parts of their marks."""
     left, right = s["left"].astype(np.int64), s["right"].astype(np.int64)
-    pos = s["pos"].astype(np.int64)
-    start, size = pos - left, left + right
-    a, ids, th, base = s["a"], s["id"], s["th"], s["base"]
-    if s["split"].any():
-        b = np.flatnonzero(s["split"])
-        n = np.maximum(size[b] - length + 1, 0)
-        src = np.repeat(b, n)
-        one = common.ranges(start[b], n)
-        hashes = Hashes(data)
-        h = hashes.of(base[src] + one, base[src] + one + length)
-        whole = np.flatnonzero(~s["split"])
-        a = np.concatenate([a[whole], h])
-        ids, th = np.concatenate([ids[whole], ids[src]]), np.concatenate([th[whole], th[src]])
-        base = np.concatenate([base[whole], base[src]])
-        start, size = np.concatenate([start[whole], one]), np.concatenate([size[whole], np.full(len(one), length)])
-    part = ((a >> np.uint64(7)) % np.uint64(len(keys))).astype(np.int64)
+    start, size = s["pos"].astype(np.int64) - left, left + right
+    part = ((s["a"] >> np.uint64(7)) % np.uint64(len(keys))).astype(np.int64)
     order = np.argsort(part, kind="stable")
     first = common.runs(part[order])
     for x, y in common.pieces(first, len(order)):
         at = order[x:y]
-        body = data[common.ranges(base[at] + start[at], size[at])]
-        yield int(keys[part[at[0]]]), SITES, common.pack(a=a[at], id=ids[at], th=th[at], start=start[at].astype(np.uint32), size=size[at].astype(np.uint16), body=body)
+        body = data[common.ranges(s["base"][at] + start[at], size[at])]
+        yield int(keys[part[at[0]]]), SITES, common.pack(a=s["a"][at], id=s["id"][at], th=s["th"][at], start=start[at].astype(np.uint32), size=size[at].astype(np.uint16), body=body)
 
 
 def suffix_array(text: np.ndarray, depth: int = 104) -> np.ndarray:
@@ -432,9 +505,14 @@ def repeated(w: dict, length: int):
 
 def repeat_blocks(batches, length: int, keys: np.ndarray, text_bytes: int = 1 << 18):
     """Stage 3: suffix arrays over the contexts of whole marks, about text_bytes at a time."""
-    found, other = blocks_of(batches, SITES)
-    rows, spans = list(other), []
-    if flat := joined(found[SITES]):
+
+    def rows():
+        found, other = blocks_of(batches, SITES)
+        yield from other
+        flat = joined(found[SITES])
+        if not flat:
+            return
+        spans = []
         order = np.argsort(flat["a"], kind="stable")
         size = flat["size"].astype(np.int64)
         begin = np.cumsum(size) - size
@@ -452,15 +530,17 @@ def repeat_blocks(batches, length: int, keys: np.ndarray, text_bytes: int = 1 <<
                 di, dt, place = doc_index(i, t)
                 d, s, e = merge_spans(place, s, e)
                 spans.append((di[d], dt[d], s, e))
-    if spans:
-        rows += span_blocks(*(np.concatenate(x) for x in zip(*spans, strict=True)), keys)
-    if rows:
-        yield as_batch(rows)
+        if spans:
+            yield from span_blocks(*(np.concatenate(x) for x in zip(*spans, strict=True)), keys)
+
+    yield from in_batches(rows())
 
 
 def spans_by_document(batches):
     """Each block of documents of the part with its documents' merged spans: (block, {place: (s, e)})."""
-    found, _ = blocks_of(batches, DOCS, SPANS)
+    found, other = blocks_of(batches, DOCS, SPANS)
+    for _ in other:
+        raise ValueError("only documents and spans were expected")
     by = {}
     if s := joined(found[SPANS]):
         di, dt, place = doc_index(s["id"], s["th"])
@@ -480,16 +560,17 @@ def kept_bytes(text: bytes, spans) -> bytes:
     return b"".join(text[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(text)], strict=True))
 
 
-def dealt_spans(docs: DataFrame, keep: list[str], length: int, many: int) -> tuple[DataFrame, int]:
+def dealt_spans(docs: DataFrame, keep: list[str], length: int, hot: dict) -> tuple[DataFrame, int]:
     """Blocks of documents and of their spans, meeting in the documents' parts."""
     spark = docs.sparkSession
     common.prepare(spark)
-    n = common.parts(spark, 1)
+    n = common.parts(spark)
     keys = common.dealt_keys(n)
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     narrow = docs.select("doc_id", "text")
-    marks = narrow.mapInArrow(common.tidied(lambda b: mark_blocks(b, length, keys)), BLOCK).repartition(n, "part")
-    sites = marks.mapInArrow(common.tidied(lambda b: site_blocks(b, keys, many)), BLOCK)
+    often = hot_marks(narrow, length, n, **hot)
+    marks = narrow.mapInArrow(common.tidied(lambda b: mark_blocks(b, length, keys, often)), BLOCK).repartition(n, "part")
+    sites = marks.mapInArrow(common.tidied(lambda b: site_blocks(b, keys)), BLOCK)
     bodies = narrow.mapInArrow(common.tidied(lambda b: doc_blocks(b, keys, ["text"])), BLOCK)
     windows = sites.unionAll(bodies).repartition(n, "part").mapInArrow(common.tidied(lambda b: window_blocks(b, length, keys)), BLOCK)
     spans = windows.repartition(n, "part").mapInArrow(common.tidied(lambda b: repeat_blocks(b, length, keys)), BLOCK)
@@ -497,12 +578,13 @@ def dealt_spans(docs: DataFrame, keep: list[str], length: int, many: int) -> tup
     return spans.unionAll(whole).repartition(n, "part")
 
 
-def removal(docs: DataFrame, length: int = 100, many: int = 20_000) -> DataFrame:
+def removal(docs: DataFrame, length: int = 100, **hot) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Null and empty texts have no byte; texts shorter than `length` lose none; very long ones are handled whole.
     Rows with the same id and text are one document and get the same result; rows with one id and different
-    texts are ordered by a hash of the text; a null id comes first. An empty table gives no row.
+    texts are ordered by a hash of the text; a null id comes first. An empty table gives no row. Only doc_id and text
+    are read. hot: how hot marks are found (see hot_marks); it changes no result.
     """
 
     def run(batches):
@@ -520,17 +602,18 @@ def removal(docs: DataFrame, length: int = 100, many: int = 20_000) -> DataFrame
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    blocks = dealt_spans(docs.select("doc_id", "text"), ["doc_id", "text"], length, many)
+    blocks = dealt_spans(docs.select("doc_id", "text"), ["doc_id", "text"], length, hot)
     schema = docs.select("doc_id").schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")):
         schema = schema.add(name, kind)
     return blocks.mapInArrow(common.tidied(run), schema)
 
 
-def without_repeats(docs: DataFrame, length: int = 100, many: int = 20_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 100, **hot) -> DataFrame:
     """The documents with repeated passages cut out of text (and n_chars, where there, counted anew).
 
-    A character that lost only some of its bytes goes as a whole. Documents of which nothing is left are dropped.
+    A character that lost only some of its bytes goes as a whole. Documents of which nothing is left are dropped. Null
+    texts become empty and stay.
     """
     names = docs.columns
     schema = docs.schema
@@ -550,7 +633,7 @@ def without_repeats(docs: DataFrame, length: int = 100, many: int = 20_000) -> D
                 columns["n_chars"] = pa.array([len(new[i]) for i in keep]).cast(columns["n_chars"].type)
             yield from pa.table(columns).combine_chunks().to_batches()
 
-    return dealt_spans(docs, names, length, many).mapInArrow(common.tidied(run), schema)
+    return dealt_spans(docs, names, length, hot).mapInArrow(common.tidied(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
