@@ -6,13 +6,19 @@ fixed pseudo-random order, over again while the target is not reached (at most `
 a copy in that stream is a cumulative demand in words; inverting the integrated schedule turns it into a
 training time, and the documents are range-sorted by it.
 
-Running sums are taken in two levels, so that no task holds a whole source: documents fall into 4096
-ranges of their order's hash, sums run within a range, and a table of the ranges' totals supplies what
-comes before. All sums are of whole numbers, so reruns agree whatever the partitioning.
+A source's weight is its own share at a time, not a share of all sources' tokens then: the sources' totals are
+what the targets fix, and their schedules need not add up to a constant. The position reported for a document is
+that of its first copy.
+
+Running sums are taken in two levels, so that no task holds a whole source: documents fall into ranges of their
+order's hash (4096, more where there are more partitions), sums run within a range, and a table of the ranges'
+totals supplies what comes before. All sums are of whole numbers, so reruns agree whatever the partitioning.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +30,19 @@ STARTS = (1.5, 1.0, 0.5)
 CAP = 3
 
 
+def digits(spark) -> int:
+    """Hexadecimal digits that tell a source's ranges apart: at least 16 ranges for each partition."""
+    return max(3, math.ceil(math.log(16 * common.parts(spark, 1), 16)))
+
+
 def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """Adds __m_source, __m_size in words (null text: 0), the order's hash __m_h and its range __m_cell."""
-    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
+    """Adds __m_source, __m_size in words (null text: 0), the order's hash __m_h and its range __m_cell. Rows without a
+    doc_id are ordered by their text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    order = F.md5(F.concat(name, F.lit(f":{seed}")).cast("binary"))
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
     rows = docs.withColumns({"__m_source": F.col("source"), "__m_id": F.col("doc_id"), "__m_size": size, "__m_h": order})
-    return rows.withColumn("__m_cell", F.substring("__m_h", 1, 3))
+    return rows.withColumn("__m_cell", F.substring("__m_h", 1, digits(docs.sparkSession)))
 
 
 OWN = ("__m_source", "__m_id", "__m_size", "__m_h", "__m_cell")
@@ -77,8 +90,8 @@ def plan(sizes: DataFrame, weights=WEIGHTS, starts=STARTS, cap: int = CAP) -> Da
     )
     per_source = cells.groupBy(F.col("__m_source").alias("source")).agg(F.max("source_size").alias("source_size"))
     t = targets(per_source, weights, starts, cap).withColumnsRenamed({"source_size": "__m_total", "target": "__m_target", "quota": "__m_quota", "start": "__m_start"})
-    facts = cells.join(t, cells.__m_source.eqNullSafe(t.source)).drop("source", "rank", "cell_size", "source_size")
-    return facts.withColumnsRenamed({"__m_source": "__f_source", "__m_cell": "__f_cell"})
+    facts = cells.join(t, cells.__m_source.eqNullSafe(t.source)).drop("source", "rank", "source_size")
+    return facts.withColumnsRenamed({"__m_source": "__f_source", "__m_cell": "__f_cell", "cell_size": "__m_cell_size"})
 
 
 def placed(rows: DataFrame, facts: DataFrame) -> DataFrame:
@@ -115,15 +128,43 @@ def curriculum(docs: DataFrame, **how) -> DataFrame:
     return mix(docs, **how).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def pieces(facts: DataFrame, n: int, cap: int = CAP) -> DataFrame:
+    """facts with __m_e, the copy, and __m_p, a share of training time (one of n) that a range's e-th copies meet. A
+    range lies in one share, or in the two or more that its copies straddle."""
+    f = facts.filter("__m_cell_size > 0 and __m_quota > 0")
+    f = f.withColumn("__m_e", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))).withColumn("__m_first", F.col("__m_before") + F.col("__m_total") * F.col("__m_e"))
+    f = f.filter("__m_first < __m_quota")
+    share = lambda demand: shared_by(position(demand, F.col("__m_quota"), F.col("__m_start")), n)
+    last = F.least(F.col("__m_first") + F.col("__m_cell_size"), F.col("__m_quota"))
+    return f.withColumn("__m_p", F.explode(F.sequence(share(F.col("__m_first")), share(last)))).drop("__m_first", "__m_cell_size")
+
+
+def shared_by(at: Column, n: int) -> Column:
+    return F.least(F.floor(at * n), F.lit(n - 1)).cast("int")
+
+
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, starts=STARTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
-    """The mixed corpus with the documents' own columns: a row for each copy that words are taken from, whole,
-    range-sorted by training time."""
-    names = docs.columns
+    """The mixed corpus with the documents' own columns, whatever their names: a row for each copy that words are taken
+    from, whole, in order of training time from partition to partition and within each.
+
+    Texts are shuffled once. Where a range of a source falls in training time is known from the table of ranges, so rows
+    go straight to the partition of their time; there running sums inside their range give their exact place. Null
+    texts and texts of no word are never taken; a null source is a source like others; rows that repeat are taken one
+    after another; very long texts are taken whole; an empty table gives no row.
+    """
+    n = common.parts(docs.sparkSession, 1)
     sizes = common.cut(sized(docs.select("doc_id", "source", "text"), seed).select("__m_source", "__m_size", "__m_cell"), "mix-sizes")
-    p = placed(sized(docs, seed), plan(sizes, weights, starts, cap)).filter(copy(0) > 0)
-    p = p.withColumn("__m_e", F.explode(F.filter(F.sequence(F.lit(0), F.lit(cap - 1)), lambda e: copy(e) > 0)))
-    at = position(F.col("__m_offset") + F.col("__m_total") * F.col("__m_e"), F.col("__m_quota"), F.col("__m_start"))
-    return p.withColumn("__m_at", at).orderBy("__m_at", "__m_h", "__m_e").select(*names)
+    rows = sized(docs.select(F.struct("*").alias("__m_row"), "doc_id", "source", "text"), seed).select("__m_row", *OWN)
+    f = pieces(plan(sizes, weights, starts, cap), n, cap)
+    p = rows.filter("__m_size > 0").join(f, (rows.__m_cell == f.__f_cell) & rows.__m_source.eqNullSafe(f.__f_source))
+    # of these numbers each goes to the partition of its place, so that partitions stand in order of time
+    key = F.element_at(F.array(*map(F.lit, common.dealt_keys(n).tolist())), F.col("__m_p") + 1).cast("int")
+    p = p.withColumn("__m_key", key).repartition(n, "__m_key")
+    inside = Window.partitionBy("__m_key", "__m_source", "__m_cell", "__m_e").orderBy("__m_h", "__m_id", "__m_size").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("__m_offset", F.col("__m_before") + F.coalesce(F.sum("__m_size").over(inside), F.lit(0)))
+    p = p.withColumn("__m_at", position(F.col("__m_offset") + F.col("__m_total") * F.col("__m_e"), F.col("__m_quota"), F.col("__m_start")))
+    p = p.filter((copy(F.col("__m_e")) > 0) & (shared_by(F.col("__m_at"), n) == F.col("__m_p")))
+    return p.sortWithinPartitions("__m_at", "__m_h", "__m_e").select("__m_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -136,7 +177,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, 'null') || ':mix') AS h
+         md5(coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, ''))) || ':mix') AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),

@@ -132,7 +132,8 @@ def quality(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, the measures, base_failed and kept of every row.
 
     Null and empty texts have no word and fail; very long ones are measured whole; repeated rows are judged
-    alike; an empty table gives no row. The measures are written once, so texts are read once.
+    alike; an empty table gives no row. The measures are written once, so texts are read once. Only doc_id, text and the
+    host's column are read, so other columns may have any name.
     """
     stats = common.cut(measured(docs, "doc_id", host), "quality")
     out = judged(stats, host_verdicts(stats, host), host)
@@ -141,10 +142,13 @@ def quality(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows that are kept, with their own columns. Texts are read twice instead of being shuffled."""
-    verdicts = common.cut(host_verdicts(common.cut(measured(docs, host), "quality"), host), "hosts")
-    names = docs.columns
-    return judged(measured(docs, *names), verdicts, host).filter("kept").select(*names)
+    """The rows that are kept, with their own columns, whatever their names. Texts are read twice instead of being
+    shuffled. Null, empty and blank texts fail and go; a null host is a host like another; rows that repeat are judged
+    alike; very long texts are measured whole; an empty table gives no row.
+    """
+    verdicts = common.cut(host_verdicts(common.cut(measured(docs.select(host, "text"), host), "quality"), host), "hosts")
+    rows = docs.select(F.struct("*").alias("__q_row"), F.col(host).alias("__q_host"), "text")
+    return judged(measured(rows, "__q_row", "__q_host"), verdicts, "__q_host").filter("kept").select("__q_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

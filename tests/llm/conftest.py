@@ -23,4 +23,6 @@ def documents(spark, data):
 
 
 #: Columns whose names the operators use inside.
-CLASH = {"sig": 1, "node": 2, "bucket": 3, "part": 4, "kind": 5, "m_size": 6, "q_n_words": 7, "held_out": 8, "start": 9, "taken": 10, "k": 11}
+CLASH = {"sig": 1, "node": 2, "bucket": 3, "part": 4, "kind": 5, "m_size": 6, "q_n_words": 7, "held_out": 8, "start": 9, "taken": 10, "k": 11,
+         "__text": 12, "__q_n_words": 13, "__q_row": 14, "__q_host": 15, "__m_size": 16, "__m_row": 17, "__m_key": 18, "__id": 19, "th": 20,
+         "first": 21, "stays": 22, "shard": 23, "row": 24, "host": 25, "block": 26, "bad": 27, "class_id": 28}

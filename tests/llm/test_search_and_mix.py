@@ -1,11 +1,12 @@
 """Top-k search against brute force; the mix against its definition."""
 
+import hashlib
 import math
 
 import numpy as np
 import pytest
 
-from orrery.llm import mixture, topk
+from orrery.llm import common, mixture, topk
 
 from .conftest import CLASH
 
@@ -26,8 +27,8 @@ def frame(spark, rows):
 
 @pytest.mark.parametrize("spread", [0.0, 2.0])
 def test_top_k_equals_brute_force(spark, monkeypatch, spread):
-    monkeypatch.setattr(topk, "BUCKET_ROWS", 60)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 8)
+    monkeypatch.setattr(topk, "BUCKET_ROWS", (60, 60))
+    monkeypatch.setattr(topk, "QUERY_ROWS", (8, 8))
     monkeypatch.setattr(topk, "SEEDS", 40)
     r = np.random.default_rng(3)
     base = r.standard_normal((6, 8))
@@ -38,6 +39,22 @@ def test_top_k_equals_brute_force(spark, monkeypatch, spread):
     assert got == brute(rows)
 
 
+def test_vectors_travel_only_to_blocks_that_ask(spark, monkeypatch):
+    """Few long vectors, many short ones: the short ones' buckets are out of every query's reach."""
+    monkeypatch.setattr(topk, "BUCKET_ROWS", (50, 50))
+    monkeypatch.setattr(topk, "QUERY_ROWS", (5, 5))
+    monkeypatch.setattr(topk, "SEEDS", 60)
+    sent = []
+    real = topk.meetings
+    monkeypatch.setattr(topk, "meetings", lambda *a: (sent.append((a[1].select("block").distinct().count(), a[0].count(), real(*a).count())), real(*a))[1])
+    r = np.random.default_rng(9)
+    rows = [(i, (np.abs(r.standard_normal(6)) * (100 if i < 80 else 0.05)).astype(np.float32).tolist()) for i in range(1000)]
+    got = sorted(map(tuple, topk.top_k(frame(spark, [(i, v, 0) for i, v in rows])).collect()))
+    assert got == brute(rows)
+    blocks, n, moved = sent[0]
+    assert blocks > 3 and n == 1000 and moved < n * blocks / 4
+
+
 def test_coordinates_prune_without_loss():
     r = np.random.default_rng(5)
     p = np.rint(r.standard_normal((2000, 8)) * 40).astype(np.int64)
@@ -103,7 +120,7 @@ def corpus(make):
         for k in range(n):
             rows.append((i, " ".join(["w"] * (k % 7)) if k % 11 else None, "en", s))
             i += 1
-    return make([*rows, (5, "again here", "en", "b"), (None, "no id", "en", "b")], **{k: v for k, v in CLASH.items() if k != "taken"})
+    return make([*rows, (5, "again here", "en", "b"), (None, "no id", "en", "b"), (None, "nor this one", "en", "b")], **CLASH)
 
 
 def test_mix(spark, make):
@@ -148,7 +165,42 @@ def test_mixed_documents_are_whole_and_repeated(make):
             assert max(v for (i, _), v in n.items() if i == r.doc_id) == math.ceil(r.taken / r.size)
 
 
+def slow_order(docs):
+    """(doc_id, text) of each copy in order of training time."""
+    target = {r.source: r.target for r in mixture.mix(docs).collect()}
+    names = sorted((s for s in target if s is not None), key=lambda s: s.encode()) + [None] * (None in target)
+    at = []
+    for k, s in enumerate(names):
+        quota, start = math.floor(target[s] + 0.5), mixture.STARTS[k % 3]
+        rows = []
+        for r in docs.collect():
+            if r.source == s:
+                name = f"null{hashlib.md5((r.text or '').encode()).hexdigest()}" if r.doc_id is None else str(r.doc_id)
+                rows.append((hashlib.md5(f"{name}:mix".encode()).hexdigest(), -1 if r.doc_id is None else r.doc_id, len((r.text or "").split()), r.doc_id, r.text))
+        rows.sort()
+        total = sum(r[2] for r in rows)
+        for e in range(3):
+            offset = e * total
+            for h, _, size, i, text in rows:
+                if size and offset < quota:
+                    x = offset / quota
+                    at.append((x * 2 / (start + math.sqrt(max(start * start + (1 - start) * x * 4, 0))), h, e, i, text))
+                offset += size
+    return [(i, text) for _, _, _, i, text in sorted(at, key=lambda a: a[:3])]
+
+
+def test_mixed_documents_stand_in_order_of_time_and_can_be_read_so(spark, make):
+    docs = corpus(make)
+    want = slow_order(docs)
+    out = mixture.mixed_documents(docs)
+    assert [(r.doc_id, r.text) for r in out.collect()] == want
+    back = common.in_place(common.cut(out, "mixed"), "f", "n").orderBy("f", "n").collect()
+    assert [(r.doc_id, r.text) for r in back] == want and back[0].taken == 10
+
+
 def test_mix_of_nothing(make):
+    assert mixture.mixed_documents(make([])).count() == 0
+    assert mixture.mixed_documents(make([(1, None), (2, ""), (None, " \n")])).count() == 0
     assert mixture.mix(make([])).count() == 0
     r = mixture.mix(make([(1, None), (2, "")])).collect()
     assert [(x.size, x.taken, x.target) for x in r] == [(0, 0, 0.0)] * 2

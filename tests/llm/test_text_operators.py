@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from orrery.llm import jaccard, langid, pages, quality, suffix
+from orrery.llm import common, jaccard, langid, pages, quality, suffix
 
 from .conftest import CLASH
 
@@ -107,7 +107,7 @@ def near_corpus():
     return rows + [(9001, None), (9002, ""), (9003, "one two"), (9004, "one two"), (9005, "x"), (9006, prose(9000, 5)), (9007, prose(9000, 5))]
 
 
-@pytest.mark.parametrize("how", [{}, {"limit": 16, "small": 6, "block": 8}])
+@pytest.mark.parametrize("how", [{}, {"limit": 16, "small": 6, "block": 8}, {"block": 3}])
 def test_links_and_classes(make, how):
     rows = near_corpus()
     got = sorted(map(tuple, jaccard.join(make(rows, **CLASH), **how).collect()))
@@ -159,6 +159,37 @@ def test_one_document_of_each_class_stays(make):
     assert jaccard.join(make([])).count() == 0
 
 
+def test_one_id_with_several_texts(make):
+    a, b = prose(60, 1), prose(60, 2)
+    rows = [(1, a), (1, b), (1, b), (2, a + " x"), (3, b + " y"), (4, prose(60, 3)), (4, prose(60, 4))]
+    docs = make(rows, **CLASH)
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(docs).collect())
+    assert got == [(1, 1, 1), (1, 1, 2), (1, 1, 2), (2, 1, 1), (3, 1, 2), (4, 4, 0), (4, 4, 0)]
+    left = sorted((r.doc_id, r.text) for r in jaccard.representatives(docs).collect())
+    assert left == sorted([(1, a), (1, b), (4, prose(60, 3)), (4, prose(60, 4))])
+
+
+@pytest.mark.parametrize("size", [600, 3000])
+def test_recall_in_buckets_that_split(make, size):
+    """Documents made mostly of one passage, in buckets far over `small`, hide pairs at 0.8 and more: all are found."""
+    r = random.Random(size)
+    shared = prose(40, 99).split()
+    rows, pairs = [], []
+    for k in range(size // 2):
+        own = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        one, two = shared + own, shared + own
+        for _ in range(r.randint(1, 2)):
+            two = [*two]
+            two[r.randrange(len(two))] = f"w{r.randrange(10**6)}"
+        grams = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (one, two)]
+        if 5 * len(grams[0] & grams[1]) >= 4 * len(grams[0] | grams[1]):
+            pairs.append(2 * k)
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    got = {x.doc_id: x.class_id for x in jaccard.join(make(rows), limit=512, small=32).collect()}
+    assert len(pairs) > size // 5
+    assert sum(got[i + 1] != i for i in pairs) <= len(pairs) // 100
+
+
 # -------------------------------------------------------------- repeats
 
 
@@ -197,13 +228,33 @@ def repeat_corpus():
     return rows + [(501, "For " * 300), (502, None), (503, ""), (504, "x" * 5000), (505, "For " * 100), (506, rows[3][1]), (-5, rows[7][1]), (507, "y" * 99)]
 
 
-@pytest.mark.parametrize("many", [20_000, 2])
-def test_removal(make, many):
+@pytest.mark.parametrize("hot", [{"hot_from": 10**9}, {"hot_from": 2, "look": 1, "enough": 1}, {"hot_from": 6, "look": 2, "enough": 1}])
+def test_removal(make, hot):
     rows = repeat_corpus()
-    got = sorted(map(tuple, suffix.removal(make(rows, **CLASH), many=many).collect()))
+    got = sorted(map(tuple, suffix.removal(make(rows, **CLASH), **hot).collect()))
     assert got == sorted(slow_removal(rows))
 
 
+def test_hot_marks_do_not_meet(make):
+    """A passage in 400 documents, each time amid other text: its marks are found, and no task gets their contexts."""
+    r = random.Random(5)
+    other = lambda: "".join(r.choice("abcdefgh ") for _ in range(150))
+    line = other() + other()
+    docs = make([(i, other() + line + other()) for i in range(400)] + [(1000 + i, other() * 2) for i in range(50)] * 3)
+    narrow = docs.select("doc_id", "text")
+    hot = suffix.hot_marks(narrow, 100, 16, hot_from=100, look=2)
+    assert len(hot) and suffix.hot_marks(narrow, 100, 16, hot_from=100_000).size == 0
+    keys = common.dealt_keys(16)
+    blocks = narrow.mapInArrow(lambda b: suffix.mark_blocks(b, 100, keys, hot), suffix.BLOCK).collect()
+    marks = [common.unpack(x.block) for x in blocks if x.kind == suffix.MARKS]
+    assert not np.isin(np.concatenate([m["a"] for m in marks]), hot).any()
+    over = [common.unpack(x.block) for x in blocks if x.kind == suffix.PASSAGES]
+    inner = collections.Counter(np.concatenate([m["a"] for m in over]).tolist())
+    assert max(inner.values()) <= docs.rdd.getNumPartitions()  # equal passages leave a task once
+    got = {x.doc_id: x.n_removed for x in suffix.removal(docs, hot_from=100, look=2).collect()}
+    assert got[0] == 0 and all(got[i] >= 300 for i in range(1, 400))
+
+
 def test_repeated_rows_are_one_document(make):
     t = prose(60, 1)
     got = suffix.removal(make([(1, t), (1, t), (2, t), (None, prose(40, 2))])).collect()
@@ -255,6 +306,8 @@ def test_article_text():
         ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", "So x=1 holds"),
         ("<article>One <iframe src=x> Two</article>", "One Two"),
         ("<article>One <svg><title>t</title><svg><text>u</text></svg>v</svg> Two <svg/> Three</article>", "One Two Three"),
+        ("<body class='has-sidebar nav-left'><article class='no-comments banner-top'><p>Whole</p></article>", "Whole"),
+        ("<main id='search'><div class='search-results'><p>Found</p></div><div class='search-box'>Go</div></main>", "Found"),
         ("<article>One <noscript><p>n</p></noscript><template><p>t</p></template> Two <script>never ends", "One Two"),
     ],
 )
@@ -280,9 +333,74 @@ def test_shared_is_a_longest_common_subsequence(a, b):
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-    s = sorted(pages.shared(a, b))
-    rest = iter(b)
-    assert len(s) == t[-1][-1] and all(any(y == a[i] for y in rest) for i in s)
+    for bits in (None, 6):
+        s = sorted(pages.shared(a, b, bits))
+        rest = iter(b)
+        assert len(s) == t[-1][-1] and all(any(y == a[i] for y in rest) for i in s)
+
+
+def test_very_long_pages_align_in_little_memory():
+    r = random.Random(1)
+    a = [f"line {r.randrange(50_000)}" for _ in range(100_000)]
+    b = [x if r.random() < 0.9 else "new" for x in a]
+    import tracemalloc
+
+    tracemalloc.start()
+    found = pages.shared(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) >= sum(x == y for x, y in zip(a, b, strict=True)) and peak < 200 << 20
+
+
+def slow_lcs(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    i, j, out = len(a), len(b), set()
+    while i and j:
+        if t[i][j] == t[i - 1][j]:
+            i -= 1
+        elif t[i][j] == t[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.add(i)
+    return out
+
+
+def test_a_table_of_pages_against_brute_force(spark):
+    """Lines are known from how the pages are made, so nothing of the operator's reading is used."""
+    r = random.Random(8)
+    made = []
+    for k in range(160):
+        host = r.choice(["a.org", "b.com", "c.net"])
+        marked = r.random() < 0.5
+        own = [f"own {k} {i}" for i in range(r.randint(1, 4))]
+        if r.random() < 0.3:
+            own.insert(r.randrange(len(own) + 1), "quoted passage")
+        strip = [f"top of {host}", *own, f"end of {host}"] if r.random() < 0.8 else own
+        page = "".join(f"<p>{x}</p>" for x in strip)
+        html = f"<nav>menu</nav><article>{page}</article><div>beside {k}</div>" if marked else f"<body><div>{page}</div></body>"
+        path = f"/{r.choice('xyz')}/{r.randrange(30)}"
+        made.append((k, host, path, marked, strip, f"https://www.{host}{path}?s={k}", html))
+    want = {}
+    order = sorted(made, key=lambda m: (m[1], m[2], m[0]))
+    for i, (k, host, _, marked, mine, _, _) in enumerate(order):
+        near = [order[j][4] for j in (i - 1, i + 1) if 0 <= j < len(order) and order[j][1] == host]
+        hits = [slow_lcs(mine, other) for other in near if other != mine]
+        if marked:
+            hits = [h for h in hits if 2 * len(h) <= len(mine)]
+            both = hits[0] & hits[1] if len(hits) == 2 else set()
+            keep = [j for j in range(len(mine)) if not (both.issuperset(range(j + 1)) or both.issuperset(range(j, len(mine))))]
+        else:
+            keep = [j for j in range(len(mine)) if not any(j in h for h in hits)]
+        want[k] = " ".join(mine[j] for j in keep)
+    df = spark.createDataFrame([(m[0], m[5], m[6]) for m in made], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(df.repartition(7)).collect()}
+    assert got == want
+    plain = {m[0]: " ".join(m[4]) for m in made}
+    assert sum(got[m[0]] != plain[m[0]] for m in made if m[3]) > 5 and sum(got[m[0]] != plain[m[0]] for m in made) > 60
 
 
 @settings(max_examples=200, deadline=None)
