@@ -25,6 +25,17 @@ def merged(below: Mapping, above: Mapping) -> dict:
     return out
 
 
+#: What the operators assume where settings say nothing.
+DEFAULTS = {
+    "dynamics": {"smooth": False},
+    "collapse": {"threshold": -0.05, "least": 3},
+    "phase_space": {"dim": 3, "tau": 1},
+    "geometry": {"groups": {"shape": ["kurtosis", "skewness", "crest_factor"]}, "exclude": ["cv", "range_ratio", "window_size"], "norm": "zscore"},
+    "pairwise": {"gate": 0.1, "fleet_gate": 0.3, "least_samples": 100, "most_samples": 2000},
+    "alignment": {"window": 64, "stride": 32},
+}
+
+
 class Settings:
     def __init__(self, *layers: Mapping):
         self.values: dict = {}
@@ -50,3 +61,7 @@ class Settings:
                 return default
             at = at[part]
         return at
+
+    def section(self, name: str) -> dict:
+        """A section of the settings over its defaults."""
+        return merged(DEFAULTS.get(name, {}), self.get(name, {}) or {})

@@ -128,34 +128,42 @@ def phase_coherence(y, segments: int = 4) -> dict:
 
 
 def hilbert_stability(y) -> dict:
-    """Steadiness of instantaneous frequency, amplitude and phase."""
+    """Steadiness of instantaneous frequency, amplitude and phase of the analytic signal (of the values as they are)."""
     y = clean(y)
-    keys = [f"inst_freq_{k}" for k in ("mean", "std", "stability", "skewness", "kurtosis", "drift")] + ["inst_amp_cv", "inst_amp_trend", "phase_coherence", "am_fm_ratio"]
+    keys = [f"inst_freq_{k}" for k in ("mean", "std", "stability", "kurtosis", "skewness", "range", "drift")] + ["inst_amp_cv", "inst_amp_trend", "hilbert_phase_coherence", "am_fm_ratio"]
     if len(y) < 10:
         return dict.fromkeys(keys, NAN)
-    a = analytic(y)
-    amp, f = np.abs(a), np.diff(np.unwrap(np.angle(a))) / (2 * np.pi)
-    sk, ku = moments(f)
-    m, s = float(f.mean()), float(f.std())
+    a = analytic(y) + y.mean()
+    amp, step = np.abs(a), np.diff(np.unwrap(np.angle(a)))
+    f = step / (2 * np.pi)
+    m, s, am = float(f.mean()), float(f.std()), float(amp.std())
+    sk, ku = moments(f) if s > 1e-12 else (0.0, 0.0)
     line = lambda v: float(np.polyfit(np.arange(len(v)), v, 1)[0])
-    am = float(amp.std() / amp.mean()) if amp.mean() > 1e-12 else 0.0
-    values = (m, s, float(np.clip(1 - s / max(abs(m), 1e-12), 0, 1)), sk, ku, line(f), am, line(amp), float(np.cos(np.diff(f) * 2 * np.pi).mean()), am / s if s > 1e-12 else 0.0)
+    steady = float(np.clip(1 - s / abs(m), 0, 1)) if abs(m) > 1e-12 else 0.0
+    values = (m, s, steady, ku, sk, float(np.ptp(f)), line(f), am / float(amp.mean()) if amp.mean() > 1e-12 else NAN, line(amp), float(np.cos(step).mean()), am / s if s > 1e-12 else NAN)
     return dict(zip(keys, values, strict=True))
 
 
 def wavelet_stability(y) -> dict:
-    """Energy of thirds of the spectrum, its entropy (nats) and centre, and the drift of rolling energy."""
+    """Energy of thirds of the spectrum (zero frequency included), entropy in nats, concentration, and how the energy of a
+    rolling tenth drifts, varies and bursts."""
     y = clean(y)
-    keys = ("wavelet_low", "wavelet_mid", "wavelet_high", "wavelet_entropy", "wavelet_dominant", "wavelet_energy", "wavelet_energy_slope", "wavelet_energy_std", "wavelet_energy_kurtosis", "wavelet_ratio")
-    if len(y) < 8:
+    keys = [f"wavelet_{k}" for k in ("energy_low", "energy_mid", "energy_high", "energy_ratio", "entropy", "concentration", "dominant_scale", "energy_drift", "temporal_std", "intermittency")]
+    if len(y) < 10:
         return dict.fromkeys(keys, NAN)
-    _, p = periodogram(y)
-    thirds = np.array([t.sum() for t in np.array_split(p, 3)])
-    q = thirds / max(thirds.sum(), 1e-12)
-    w = max(len(y) // 10, 2)
-    e = np.convolve((y - y.mean()) ** 2, np.ones(w) / w, "valid")
+    p = np.abs(np.fft.rfft(y)) ** 2
+    total = float(p.sum())
+    if total < 1e-12:
+        return dict.fromkeys(keys, NAN)
+    n = len(p)
+    part = np.array([p[: n // 3].sum(), p[n // 3 : 2 * n // 3].sum(), p[2 * n // 3 :].sum()])
+    q = part / total
     pos = q[q > 0]
-    return dict(zip(keys, (*map(float, q), float(-(pos * np.log(pos)).sum()), float(q.argmax()), float(thirds.sum()), float(np.polyfit(np.arange(len(e)), e, 1)[0]), float(e.std()), moments(e)[1], float(q[0] / max(q[2], 1e-12))), strict=True))
+    w = max(len(y) // 10, 2)
+    e = np.convolve(y * y, np.ones(w), "valid")
+    drift = float(np.polyfit(np.arange(len(e)), e, 1)[0])
+    values = (*map(float, q), float(part[0] / part[2]) if part[2] > 1e-12 else NAN, float(-(pos * np.log(pos)).sum()), float(q.max()), float(q.argmax()), drift, float(e.std()), moments(e)[1] if e.std() > 1e-12 else 0.0)
+    return dict(zip(keys, values, strict=True))
 
 
 # ---------------------------------------------------------------- memory and complexity
@@ -270,20 +278,25 @@ def optimal_delay(y, most: int = 50, bins: int = 16) -> int:
     return 1
 
 
-def _neighbours(x: np.ndarray, apart: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest other point at least `apart` steps away: distances and indices. The search runs in single precision."""
+def _neighbours(x: np.ndarray, apart: int = 1, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest other point at least `apart` steps away: distances and indices. The search runs in single precision, some
+    rows of the distance matrix at a time, so long series need no more memory."""
     z = ((x - x.mean(0)) / max(float(x.std()), 1e-12)).astype(np.float32)
-    sq = (z * z).sum(1)
-    d = z @ z.T
-    d *= -2
-    d += sq[:, None]
-    d += sq[None]
-    for k in range(min(apart, len(x))):
-        np.fill_diagonal(d[k:], np.inf)
-        np.fill_diagonal(d[:, k:], np.inf)
-    j = d.argmin(1)
-    far = ~np.isfinite(d[np.arange(len(x)), j])
-    return np.where(far, np.inf, np.sqrt(((x - x[j]) ** 2).sum(1))), j
+    sq, n = (z * z).sum(1), len(x)
+    near, j = np.empty(n, np.float32), np.empty(n, np.int64)
+    for a in range(0, n, block):
+        rows = np.arange(a, min(a + block, n))
+        d = z[rows] @ z.T
+        d *= -2
+        d += sq[rows, None]
+        d += sq[None]
+        for k in range(1 - min(apart, n), min(apart, n)):
+            at = rows + k
+            ok = (at >= 0) & (at < n)
+            d[np.flatnonzero(ok), at[ok]] = np.inf
+        j[rows] = d.argmin(1)
+        near[rows] = d[np.arange(len(rows)), j[rows]]
+    return np.where(np.isfinite(near), np.sqrt(((x - x[j]) ** 2).sum(1)), np.inf), j
 
 
 def optimal_dimension(y, tau: int, most: int = 6, ratio: float = 10.0, share: float = 0.05) -> int:
@@ -359,26 +372,27 @@ def kantz(y, dim: int, tau: int, share: float = 0.1, steps: int = 15) -> float:
     return float(np.polyfit(np.arange(steps), curve, 1)[0])
 
 
-def ftle(y, direction: str = "forward", dim: int | None = None, tau: int | None = None, most: int = 2000) -> dict:
-    """Finite-time exponent of the last `most` samples (then reversed, if backward): delay by mutual information, dimension
-    by Cao, Rosenstein divergence; confidence grows with the points used. NULL under 50 embedded points."""
-    y = clean(y)[-most:]
+def ftle(y, direction: str = "forward", dim: int | None = None, tau: int | None = None, most: int | None = None, least: int = 60) -> dict:
+    """Finite-time exponent of a series (reversed, if backward): delay by mutual information, dimension by Cao, Rosenstein
+    divergence; confidence grows with the points used. NULL under `least` samples or 50 embedded points (20 of a series
+    whose `least` is lower). `most`: of longer series only that many last samples."""
+    y = clean(y)[-(most or len(y) or 1) :]
     y = y[::-1] if direction == "backward" else y
     empty = {"ftle": NAN, "ftle_std": NAN, "embedding_dim": NAN, "embedding_tau": NAN, "is_deterministic": NAN, "confidence": 0.0, "n_samples": float(len(y))}
-    if len(y) < 60 or y.std() < 1e-12:
+    if len(y) < least or y.std() < 1e-12:
         return empty
     tau = tau or max(1, min(optimal_delay(y), len(y) // 20))
     c = cao(y, tau) if dim is None else {"dimension": dim, "is_deterministic": True}
     dim = int(np.clip(c["dimension"], 2, 6))
-    if len(y) - (dim - 1) * tau < 50:
+    if len(y) - (dim - 1) * tau < min(50, least - 10):
         return empty
     slope, curve = rosenstein(y, dim, tau)
     return {"ftle": slope, "ftle_std": float(np.nanstd(np.diff(curve))) if len(curve) > 1 else NAN, "embedding_dim": float(dim), "embedding_tau": float(tau), "is_deterministic": float(c["is_deterministic"]), "confidence": min(1.0, (len(y) - (dim - 1) * tau) / 500), "n_samples": float(len(y))}
 
 
-def lyapunov(y, most: int = 2000) -> dict:
+def lyapunov(y, most: int | None = None) -> dict:
     """As ftle, with the dimension by false nearest neighbours."""
-    y = clean(y)[-most:]
+    y = clean(y)[-(most or len(y) or 1) :]
     if len(y) < 30 or y.std() < 1e-12:
         return {"lyapunov": NAN, "embedding_dim": NAN, "embedding_tau": NAN, "confidence": 0.0, "n_samples": float(len(y))}
     tau = max(1, min(optimal_delay(y), len(y) // 20))
@@ -758,6 +772,130 @@ def sensitivity(x: np.ndarray) -> dict:
     return {"influence": m, "sensitivity": s, "entropy": float(-(q * np.log(q)).sum()), "dominant": int(s.argmax())}
 
 
+def jacobians(x: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Per point: real parts (ascending) of the eigenvalues of the local linear map from position to velocity, fitted to
+    the k nearest points, and the speed."""
+    d = x.shape[1]
+    k = k or 2 * d + 1
+    v = np.gradient(x, axis=0)
+    out = np.full((len(x), d), NAN)
+    for i in range(len(x)):
+        j = np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[1 : k + 1]
+        if len(j) > d:
+            m = np.linalg.lstsq(x[j] - x[i], v[j] - v[i], rcond=None)[0]
+            out[i] = np.sort(np.linalg.eigvals(m).real)
+    return out, np.sqrt((v * v).sum(1))
+
+
+def saddle_points(x: np.ndarray, slow: float = 0.1, k: int | None = None) -> dict:
+    """score of each point: how near it is to rest (speed against `slow` times the path's largest), times how evenly its
+    local map both repels and attracts (0 if it does only one). basin_stability: mean of 1 - score over the points before,
+    up to 50; separatrix_distance: to the nearest point scoring over one half. (Own definitions.)"""
+    real, speed = jacobians(x, k)
+    up, down = np.maximum(real, 0).sum(1), np.maximum(-real, 0).sum(1)
+    both = 2 * np.minimum(up, down) / np.where(up + down > 0, up + down, 1)
+    rest = np.exp(-speed / max(slow * float(np.nanmax(speed)), 1e-12)) if len(x) else speed
+    score = both * rest
+    w = max(1, min(50, len(x) // 4))
+    calm = np.concatenate([[0.0], np.cumsum(1 - np.nan_to_num(score))])
+    first = np.maximum(np.arange(len(x)) - w + 1, 0)
+    basin = (calm[1:] - calm[first]) / (np.arange(len(x)) - first + 1)
+    at = np.flatnonzero(score > 0.5)
+    apart = np.sqrt(((x[:, None] - x[None, at]) ** 2).sum(2)).min(1) if len(at) else np.full(len(x), NAN)
+    kind = np.where(real[:, -1] < 0, 0.0, np.where(real[:, 0] > 0, 2.0, 1.0))  # attracts, both, repels
+    return {"score": score, "basin_stability": basin, "separatrix_distance": apart, "kind": kind, "saddles": at}
+
+
+def saddle_summary(x: np.ndarray) -> dict:
+    keys = ("saddle_score_mean", "saddle_score_max", "saddle_score_current", "n_saddle_points", "saddle_fraction", "basin_stability_mean", "basin_stability_current", "separatrix_distance_current", "current_kind")
+    if len(x) < x.shape[1] + 5:
+        return dict.fromkeys(keys, NAN)
+    r = saddle_points(x)
+    s = r["score"]
+    return dict(zip(keys, (float(np.nanmean(s)), float(np.nanmax(s)), float(s[-1]), float(len(r["saddles"])), len(r["saddles"]) / len(s), float(r["basin_stability"].mean()), float(r["basin_stability"][-1]), float(r["separatrix_distance"][-1]), float(r["kind"][-1])), strict=True))
+
+
+def saddle(y) -> dict:
+    """saddle_summary of a series embedded by its own delay and dimension; 100 samples and 50 points at least."""
+    y = clean(y)
+    none = saddle_summary(np.zeros((0, 2)))
+    if len(y) < 100 or y.std() < 1e-12:
+        return none | {"embedding_dim": NAN, "embedding_tau": NAN}
+    tau = max(1, min(optimal_delay(y), len(y) // 10))
+    dim = max(2, optimal_dimension(y, tau))
+    x = embed(y, dim, tau)
+    return (saddle_summary(x) if len(x) >= 50 else none) | {"embedding_dim": float(dim), "embedding_tau": float(tau)}
+
+
+def stretch(point: np.ndarray, at: np.ndarray, after: np.ndarray, k: int = 10) -> float:
+    """Growth rate at a place: log of the largest singular value of the linear map that takes the k nearest path points to
+    their successors, both about their means; 0 with fewer than three."""
+    j = np.argsort(((at - point) ** 2).sum(1), kind="stable")[:k]
+    if len(j) < 3:
+        return 0.0
+    a, b = at[j] - at[j].mean(0), after[j] - after[j].mean(0)
+    if np.sqrt((a * a).sum()) < 1e-12:
+        return 0.0
+    m = np.linalg.lstsq(a, b, rcond=None)[0]
+    return 0.5 * math.log(max(float(np.linalg.eigvalsh(m.T @ m)[-1]), 1e-12))
+
+
+def local_grid(a: np.ndarray, b: np.ndarray, along: int = 20, extent: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """Places between and around two centres, along their axis and, in two or more dimensions, across it; and the axis."""
+    mid, axis = (a + b) / 2, b - a
+    size = float(np.sqrt(axis @ axis))
+    if size < 1e-10:
+        return mid[None], np.zeros(len(a))
+    unit = axis / size
+    t = np.linspace(-0.5 * extent, 0.5 * extent, along)
+    if len(a) < 2:
+        return mid + t[:, None] * size * unit, unit
+    across = np.zeros(len(a))
+    across[0 if abs(unit[0]) < 0.9 else 1] = 1
+    across -= (across @ unit) * unit
+    across /= np.sqrt(across @ across)
+    s = np.linspace(-0.3, 0.3, max(3, along // 4))
+    return (mid + (t[:, None, None] * unit + s[None, :, None] * across) * size).reshape(-1, len(a)), unit
+
+
+def field_between(a: np.ndarray, b: np.ndarray, at: np.ndarray, after: np.ndarray) -> dict:
+    """Growth over the grid between two centres: the ridge, its width at half height along the axis, the share of the grid
+    under three tenths of it (the corridor), and the mean."""
+    grid, unit = local_grid(a, b)
+    f = np.array([stretch(p, at, after) for p in grid])
+    top = float(f.max())
+    high = (grid @ unit)[f >= top / 2]
+    return {"ridge_strength": top, "ridge_width": float(np.ptp(high)) if len(high) > 1 else 0.0, "corridor_width": float((f < 0.3 * top).mean()), "mean_ftle": float(f.mean()), "n_grid": float(len(grid))}
+
+
+def basin_depth(center: np.ndarray, at: np.ndarray, after: np.ndarray, rays: int = 8) -> dict:
+    """Mean growth on three circles about a centre (in the first two dimensions), their radius the lower quartile of the
+    paths' distances from it; and whether it is lower inside than outside (escape)."""
+    d = np.sqrt(((at - center) ** 2).sum(1))
+    radius = float(np.percentile(d, 25)) if len(d) else 1.0
+    turn = np.linspace(0, 2 * np.pi, rays, endpoint=False)
+    f = []
+    for r in (0.5, 1.0, 1.5):
+        p = np.tile(center, (rays, 1))
+        p[:, 0] += r * radius * np.cos(turn)
+        if len(center) > 1:
+            p[:, 1] += r * radius * np.sin(turn)
+        f.append([stretch(x, at, after) for x in p])
+    f = np.array(f)
+    real = f[f != 0]
+    return {"basin_depth": float(real.mean()) if len(real) else NAN, "basin_radius": radius, "escape_rate": float(f[2].mean() - f[0].mean())}
+
+
+def student_quantile(p: float, df: int) -> float:
+    """Quantile of Student's t by bisection on its distribution function."""
+    lo, hi = 0.0, 1000.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        below = 1 - 0.5 * beta_cdf(df / (df + mid * mid), df / 2, 0.5)
+        lo, hi = (mid, hi) if below < p else (lo, mid)
+    return (lo + hi) / 2
+
+
 # ---------------------------------------------------------------- views, fingerprints, copulas
 
 

@@ -13,9 +13,17 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import windows as W
 
 CLOUD = ("cohort", "k")
+#: The usual groups of features, and what stands in where none of them is there.
+GROUPS = {
+    "shape": ("kurtosis", "skewness", "crest_factor"),
+    "complexity": ("permutation_entropy", "hurst", "acf_lag1"),
+    "spectral": ("spectral_entropy", "spectral_centroid", "band_low_rel", "band_mid_rel", "band_high_rel"),
+}
+FALLBACK = ("kurtosis", "skewness", "crest_factor")
 SMALL = 1e-10
 
 
@@ -27,6 +35,25 @@ def squared(c: Column) -> Column:
     return c * c
 
 
+def feature_groups(columns, groups: dict | None = None, least: int = 2) -> dict[str, list[str]]:
+    """Groups of which at least `least` features are among the columns; if there is none, one group `full` of the fallback
+    features or else of the first three columns. Decided when the plan is built."""
+    columns = list(columns)
+    found = {name: have for name, fs in (groups or GROUPS).items() if len(have := [f for f in fs if f in columns]) >= least}
+    if not found:
+        some = [f for f in FALLBACK if f in columns]
+        some = some if len(some) >= least else columns[:3]
+        found = {"full": some} if len(some) >= least else {}
+    return found
+
+
+def group_vector(cloud: DataFrame, groups: dict[str, list[str]], keys: tuple[str, ...] = CLOUD) -> DataFrame:
+    """Spread of the whole cloud, and the centroid of each group of features: state_<group>_<feature>."""
+    every = list(dict.fromkeys(f for fs in groups.values() for f in fs))
+    c = centroid(cloud, every, keys)
+    return c.select(*keys, "n_signals", "mean_distance", "max_distance", "std_distance", *(F.col(f"state_{f}").alias(f"state_{g}_{f}") for g, fs in groups.items() for f in fs))
+
+
 def centroid(cloud: DataFrame, features: list[str], keys: tuple[str, ...] = CLOUD, weight: str | None = None) -> DataFrame:
     """Mean of each feature over rows where it is there (weighted if asked), and mean, greatest and population deviation of
     the distances of complete rows."""
@@ -146,8 +173,8 @@ def dominance(loadings: DataFrame, order: str = "k") -> DataFrame:
 
 
 def jackknife_dim(cloud: DataFrame, features: list[str], keys: tuple[str, ...] = CLOUD) -> DataFrame:
-    """Mean and jackknife error of the effective dimension over leave-one-out clouds of raw rows, from the group's sums
-    less each row's share; four rows at least."""
+    """Mean, jackknife error and 95 % interval (Student's t) of the effective dimension over leave-one-out clouds of raw
+    rows, from the group's sums less each row's share; four rows at least."""
     w = Window.partitionBy(*keys)
     n = F.count("*").over(w)
     c = cloud.withColumn("n", n)
@@ -158,11 +185,43 @@ def jackknife_dim(cloud: DataFrame, features: list[str], keys: tuple[str, ...] =
     trace = add(F.col(f"v_{f}_{f}") for f in features)
     norm = add((1 if a == b else 2) * squared(F.col(f"v_{a}_{b}")) for a, b in pairs)
     c = c.withColumn("dim", trace * trace / F.nullif(norm, F.lit(0.0)))
-    return c.groupBy(*keys).agg(F.avg("dim").alias("eff_dim_mean"), F.sqrt((F.count("*") - 1) * F.var_pop("dim")).alias("eff_dim_std"))
-
-
-def dynamics(series: DataFrame, value: str = "effective_dim", keys: tuple[str, ...] = ("cohort",), coord: str = "signal_0_end") -> DataFrame:
-    """Velocity, acceleration, jerk (gradients on the coordinate), curvature and speed of a windowed value."""
+    r = c.groupBy(*keys).agg(F.avg("dim").alias("eff_dim_mean"), F.sqrt((F.count("*") - 1) * F.var_pop("dim")).alias("eff_dim_std"), F.count("*").alias("n"))
+    half = F.col("eff_dim_std") * student(F.col("n") - 1)
+    return r.select(*keys, "eff_dim_mean", "eff_dim_std", (F.col("eff_dim_mean") - half).alias("eff_dim_lower"), (F.col("eff_dim_mean") + half).alias("eff_dim_upper"))
+
+
+def student(df: Column, p: float = 0.975, exact: int = 60) -> Column:
+    """Quantile of Student's t: computed for up to `exact` degrees of freedom, beyond by the usual expansion."""
+    z = K.student_quantile(p, 10**7)
+    table = F.array(*(F.lit(K.student_quantile(p, n)) for n in range(1, exact + 1)))
+    df = df.cast("double")
+    far = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df * df) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df * df * df)
+    return F.when(df <= exact, F.try_element_at(table, df.cast("int"))).otherwise(far)
+
+
+def continuous_axes(spectrum: DataFrame, axes: tuple[str, ...] = ("pc_1", "pc_2", "pc_3"), key: str = "cohort", order: str = "k") -> DataFrame:
+    """The leading axis of each window turned so that it does not reverse against the window before: its sign is the
+    running product of the signs of successive products. Adds turned (whether it was)."""
+    w = Window.partitionBy(key).orderBy(order)
+    dot = add(F.col(a) * F.lag(a).over(w) for a in axes)
+    s = spectrum.withColumn("__n", F.coalesce((dot < 0).cast("int"), F.lit(0))).withColumn("__s", 1 - 2 * (F.sum("__n").over(w) % 2))
+    return s.withColumns({a: F.col(a) * F.col("__s") for a in axes} | {"turned": F.col("__s") < 0}).drop("__n", "__s")
+
+
+def phase_space(series: DataFrame, value: str, dim: int = 3, tau: int = 1, keys: tuple[str, ...] = ("cohort",), order: str = "k") -> DataFrame:
+    """Delay coordinates: x_0 .. x_<dim-1>, the value 0, tau, 2 tau ... rows on; points without all of them are left out."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    p = series.select(*keys, order, *((F.lead(value, j * tau).over(w) if j else F.col(value)).alias(f"x_{j}") for j in range(dim)))
+    return p.filter(F.col(f"x_{dim - 1}").isNotNull())
+
+
+def dynamics(series: DataFrame, value: str = "effective_dim", keys: tuple[str, ...] = ("cohort",), coord: str = "signal_0_end", smooth: bool = False) -> DataFrame:
+    """Velocity, acceleration, jerk (gradients on the coordinate), curvature and speed of a windowed value; smooth: of its
+    three-point mean, what lies beyond the ends counting as 0."""
+    if smooth:
+        w = Window.partitionBy(*keys).orderBy(coord)
+        side = lambda f: F.coalesce(f(value).over(w), F.lit(0.0))
+        series = series.withColumn(value, (side(F.lag) + F.col(value) + side(F.lead)) / 3)
     s = series.withColumn("velocity", W.gradient(value, coord, keys))
     s = s.withColumn("acceleration", W.gradient("velocity", coord, keys))
     s = s.withColumn("jerk", W.gradient("acceleration", coord, keys))

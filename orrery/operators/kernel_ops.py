@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels as K
+from ..functions import windows as W
 from ..session import workers_import
 from . import dynamics as D
 
@@ -44,19 +45,52 @@ def per_series(obs: DataFrame, f: Callable[[np.ndarray], dict], outputs: list[st
     return obs.groupBy(*SERIES).applyInArrow(run, _schema([*SERIES], outputs))
 
 
-def per_window(obs: DataFrame, f: Callable[[np.ndarray], dict], outputs: list[str], window: int, stride: int) -> DataFrame:
-    """f over hop windows; all of a series' windows in one call. Short series give one window."""
+CHUNK = 4096
+
+
+def per_window(obs: DataFrame, f: Callable[[np.ndarray], dict], outputs: list[str], window: int, stride: int, chunk: int = CHUNK) -> DataFrame:
+    """f over hop windows; `chunk` of a series' windows in one call, which gets the samples of these windows alone, so a
+    series may be of any length. Null and NaN values do not count as samples. Short series give one window."""
     workers_import(obs.sparkSession)
     numbers = ["k", "signal_0_start", "signal_0_end", *outputs]
+    rows = W.indexed(obs)
+    # chunk c holds windows c * chunk and on: rows from c * chunk * stride, as long as its windows reach
+    jump, reach = chunk * stride, (chunk - 1) * stride + window
+    windows = F.greatest(F.floor((F.col("n") - window) / stride) + 1, F.lit(1))
+    first = F.greatest(F.ceil((F.col("r") - reach + 1) / jump), F.lit(0))
+    last = F.least(F.floor(F.col("r") / jump), F.floor((windows - 1) / chunk))
+    rows = rows.withColumns({"__a": first.cast("int"), "__b": last.cast("int")}).filter("__a <= __b").withColumn("chunk", F.explode(F.sequence("__a", "__b")))
+    rows = rows.select(*SERIES, "chunk", "r", "n", "signal_0", "value")
 
     def run(t: pa.Table) -> pa.Table:
-        y, c = _ordered(t, "signal_0", "value", "signal_0")
-        w, rows = min(window, len(y)), []
+        y, c = _ordered(t, "r", "value", "signal_0")
+        key = {"cohort": t.column("cohort")[0].as_py(), "signal_id": t.column("signal_id")[0].as_py()}
+        w, at, rows = min(window, t.column("n")[0].as_py()), t.column("chunk")[0].as_py() * chunk, []
         for k, end in enumerate(range(w - 1, len(y), stride)):
-            rows.append({"cohort": t.column("cohort")[0].as_py(), "signal_id": t.column("signal_id")[0].as_py(), "k": k, "signal_0_start": c[end - w + 1], "signal_0_end": c[end]} | f(y[end - w + 1 : end + 1]))
+            if k < chunk:
+                rows.append(key | {"k": at + k, "signal_0_start": c[end - w + 1], "signal_0_end": c[end]} | f(y[end - w + 1 : end + 1]))
         return _table(rows, [*SERIES], numbers)
 
-    return obs.groupBy(*SERIES).applyInArrow(run, _schema([*SERIES], numbers))
+    return rows.groupBy(*SERIES, "chunk").applyInArrow(run, _schema([*SERIES], numbers))
+
+
+def rolling(obs: DataFrame, engine: Callable[[np.ndarray], dict], outputs: list[str], window: int) -> DataFrame:
+    """An engine over the last `window` samples of every sample that has them: signal_0 and the outputs."""
+    return per_window(obs.filter(F.col("value").isNotNull()), engine, outputs, window, 1).withColumnRenamed("signal_0_end", "signal_0").select(*SERIES, "signal_0", *outputs)
+
+
+def rolling_named(name: str) -> Callable[[DataFrame, int], DataFrame]:
+    """The rolling form of a registered engine."""
+
+    def run(obs: DataFrame, window: int) -> DataFrame:
+        from . import registry as R
+
+        return rolling(obs, R.REGISTRY[name].run, list(R.REGISTRY[name].outputs), window)
+
+    return run
+
+
+rolling_statistics, rolling_memory, rolling_complexity, rolling_spectral, rolling_trend = map(rolling_named, ("statistics", "memory", "complexity", "spectral", "trend"))
 
 
 FTLE = ["ftle", "ftle_std", "embedding_dim", "embedding_tau", "is_deterministic", "confidence", "n_samples"]
@@ -108,8 +142,64 @@ def ftle_rolling(obs: DataFrame, window: int = 200, stride: int = 50) -> DataFra
     return r.withColumn("ftle_acceleration", F.coalesce(F.col("ftle_velocity") - F.lag("ftle_velocity").over(o), F.lit(0.0)))
 
 
+LYAPUNOV = ["lyapunov", "embedding_dim", "embedding_tau", "confidence", "n_samples"]
+
+
 def lyapunov(obs: DataFrame) -> DataFrame:
-    return per_series(obs, K.lyapunov, ["lyapunov", "embedding_dim", "embedding_tau", "confidence", "n_samples"])
+    return per_series(obs, K.lyapunov, LYAPUNOV)
+
+
+def lyapunov_rolling(obs: DataFrame, window: int = 500, stride: int = 50) -> DataFrame:
+    return per_window(obs, K.lyapunov, LYAPUNOV, window, stride)
+
+
+def lyapunov_trend(rolled: DataFrame, least: int = 4) -> DataFrame:
+    """Slope and fit of a series' rolling exponents on the window's number; NULL under `least` windows."""
+    ok = F.count("lyapunov") >= least
+    return rolled.groupBy(*SERIES).agg(F.when(ok, F.regr_slope("lyapunov", "k")).alias("lyapunov_slope"), F.when(ok, F.regr_r2("lyapunov", "k")).alias("lyapunov_r2"), F.count("lyapunov").alias("n_windows"))
+
+
+def cohort_ftle(series: DataFrame, value: str = "effective_dim", order: str = "signal_0_end", least: int = 30) -> DataFrame:
+    """Exponents of each cohort's windowed value, forward and backward; cohorts of fewer than `least` windows say so."""
+    workers_import(series.sparkSession)
+
+    def run(t: pa.Table) -> pa.Table:
+        (y,) = _ordered(t, order, value)
+        rows = [{"cohort": t.column("cohort")[0].as_py(), "direction": d} | K.ftle(y, d, least=least) for d in ("forward", "backward")]
+        return _table(rows, ["cohort", "direction"], FTLE)
+
+    r = series.select("cohort", order, value).groupBy("cohort").applyInArrow(run, _schema(["cohort", "direction"], FTLE))
+    kind = F.when(F.col("n_samples") < least, "INSUFFICIENT_DATA").otherwise(D.stability_class(F.col("ftle")))
+    return r.withColumn("stability", kind)
+
+
+SADDLE = list(K.saddle_summary(np.zeros((0, 2))))
+
+
+def saddles(obs: DataFrame) -> DataFrame:
+    """Saddle measures of every series in its own embedding."""
+    return per_series(obs, K.saddle, [*SADDLE, "embedding_dim", "embedding_tau"])
+
+
+def saddles_rolling(obs: DataFrame, window: int = 200, stride: int = 20) -> DataFrame:
+    return per_window(obs, K.saddle, ["saddle_score_current", "basin_stability_current"], window, stride)
+
+
+def path_saddles(path: DataFrame, columns: list[str], key: str = "cohort", order: str = "t") -> DataFrame:
+    """Score, basin stability and distance to the separatrix of every point of a path through several columns."""
+    workers_import(path.sparkSession)
+    out = ["at", "score", "basin_stability", "separatrix_distance", "kind"]
+
+    def run(t: pa.Table) -> pa.Table:
+        x, at = np.column_stack(_ordered(t, order, *columns)), _ordered(t, order, order)[0]
+        ok = np.isfinite(x).all(1)
+        x, at = x[ok], at[ok]
+        if len(x) < len(columns) + 5:
+            return _table([], [key], out)
+        r = K.saddle_points(x)
+        return _table([{key: t.column(key)[0].as_py(), "at": at[i]} | {n: r[n][i] for n in out[1:]} for i in range(len(x))], [key], out)
+
+    return path.groupBy(key).applyInArrow(run, _schema([key], out))
 
 
 def cohort_geometry(cloud: DataFrame, features: list[str], engine: str = "all", norm: str = "zscore", keys: tuple[str, ...] = ("cohort", "k")) -> DataFrame:
@@ -175,13 +265,14 @@ def persistent_homology(path: DataFrame, columns: list[str], window: int = 20, s
 PAIR_OUT = ["n_samples", "granger_f_ab", "granger_p_ab", "granger_f_ba", "granger_p_ba", "dtw", "adf_stat", "adf_pvalue", "is_cointegrated", "half_life"]
 
 
-def information_flow(pairs: DataFrame, least: int = 100, most: int = 2000) -> DataFrame:
-    """The costly pair numbers of (cohort, signal_a, signal_b, t, x, y): Granger both ways, warping, cointegration."""
+def information_flow(pairs: DataFrame, least: int = 100) -> DataFrame:
+    """The costly pair numbers of (cohort, signal_a, signal_b, t, x, y): Granger both ways, warping, cointegration, over all
+    samples of a pair (cut series before, as the stage does, to bound the warping, which is quadratic)."""
     workers_import(pairs.sparkSession)
     keys = ["cohort", "signal_a", "signal_b"]
 
     def run(t: pa.Table) -> pa.Table:
-        x, y = (v[-most:] for v in _ordered(t, "t", "x", "y"))
+        x, y = _ordered(t, "t", "x", "y")
         r = {k: t.column(k)[0].as_py() for k in keys} | {"n_samples": len(x)}
         if len(x) >= least:
             ab, ba = K.granger(x, y), K.granger(y, x)
@@ -196,13 +287,14 @@ def information_flow(pairs: DataFrame, least: int = 100, most: int = 2000) -> Da
     return pairs.groupBy(*keys).applyInArrow(run, _schema(keys, PAIR_OUT))
 
 
+HILBERT, WAVELET = list(K.hilbert_stability(np.zeros(3))), list(K.wavelet_stability(np.zeros(3)))
+
+
 def signal_stability(obs: DataFrame, window: int = 30, stride: int = 5) -> DataFrame:
-    """Hilbert and spectral steadiness of every window, then mean, least, greatest and deviation over a cohort's signals."""
-    h = list(K.hilbert_stability(np.zeros(3)))
-    v = list(K.wavelet_stability(np.zeros(3)))
-    w = per_window(obs, lambda y: K.hilbert_stability(y) | K.wavelet_stability(y), list(dict.fromkeys([*h, *v])), window, stride)
-    names = ["inst_freq_stability", "inst_amp_cv", "wavelet_entropy", "wavelet_energy"]
-    aggs = [f(n).alias(f"{n}_{k}") for n in names for k, f in (("mean", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_pop))]
+    """Hilbert and spectral steadiness of every window, then mean, deviation, least and greatest over a cohort's signals;
+    undefined values are left out of them."""
+    w = per_window(obs, lambda y: K.hilbert_stability(y) | K.wavelet_stability(y), [*HILBERT, *WAVELET], window, stride)
+    aggs = [f(n).alias(f"{n}_{k}") for n in (*HILBERT, *WAVELET) for k, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
     return w.groupBy("cohort", "k").agg(F.count("*").alias("n_signals"), *aggs)
 
 
@@ -266,6 +358,84 @@ def sensitivity(path: DataFrame, columns: list[str], key: str = "cohort", order:
     return path.groupBy(key).applyInArrow(run, _schema([key, "variable"], ["sensitivity", "rank", "entropy"]))
 
 
+def influence(path: DataFrame, columns: list[str], key: str = "cohort", order: str = "t") -> DataFrame:
+    """How a standardised step of one column weighs in the next step of another: a row for each ordered pair."""
+    workers_import(path.sparkSession)
+
+    def run(t: pa.Table) -> pa.Table:
+        r = K.sensitivity(np.column_stack(_ordered(t, order, *columns)))
+        rows = [{key: t.column(key)[0].as_py(), "source": a, "target": b, "influence": r["influence"][i, j]} for i, a in enumerate(columns) for j, b in enumerate(columns)] if r else []
+        return _table(rows, [key, "source", "target"], ["influence"])
+
+    return path.groupBy(key).applyInArrow(run, _schema([key, "source", "target"], ["influence"]))
+
+
+def sensitivity_rolling(path: DataFrame, columns: list[str], window: int = 100, stride: int = 10, key: str = "cohort", order: str = "t") -> DataFrame:
+    """Sensitivities of hop windows of a path, the dominant column, and whether it is another than in the window before."""
+    workers_import(path.sparkSession)
+    out = ["k", "at", "entropy", *(f"sensitivity_{c}" for c in columns)]
+
+    def run(t: pa.Table) -> pa.Table:
+        x, at, rows = np.column_stack(_ordered(t, order, *columns)), _ordered(t, order, order)[0], []
+        for k, end in enumerate(range(min(window, len(x)) - 1, len(x), stride)):
+            if r := K.sensitivity(x[max(0, end - window + 1) : end + 1]):
+                rows.append({key: t.column(key)[0].as_py(), "dominant": columns[r["dominant"]], "k": k, "at": at[end], "entropy": r["entropy"]} | {f"sensitivity_{c}": v for c, v in zip(columns, r["sensitivity"], strict=True)})
+        return _table(rows, [key, "dominant"], out)
+
+    r = path.groupBy(key).applyInArrow(run, _schema([key, "dominant"], out))
+    before = F.lag("dominant").over(Window.partitionBy(key).orderBy("k"))
+    return r.withColumn("transition", F.coalesce(F.col("dominant") != before, F.lit(False)))
+
+
+def neighbour_pairs(path: DataFrame, columns: list[str], nearest: int = 3, key: str = "cohort") -> DataFrame:
+    """Unordered pairs of paths of which one is among the `nearest` to the other, by the distance of their centres."""
+    c = path.groupBy(key).agg(*(F.avg(x).alias(x) for x in columns))
+    side = lambda p: c.select(F.col(key).alias(f"{key}_{p}"), *(F.col(x).alias(f"{p}_{x}") for x in columns))
+    d2 = sum(((F.col(f"a_{x}") - F.col(f"b_{x}")) * (F.col(f"a_{x}") - F.col(f"b_{x}")) for x in columns), F.lit(0.0))
+    j = side("a").join(side("b"), F.col(f"{key}_a") != F.col(f"{key}_b")).withColumn("centre_distance", F.sqrt(d2))
+    near = j.withColumn("__r", F.row_number().over(Window.partitionBy(f"{key}_a").orderBy("centre_distance", f"{key}_b"))).filter(F.col("__r") <= nearest)
+    lo, hi = F.least(f"{key}_a", f"{key}_b"), F.greatest(f"{key}_a", f"{key}_b")
+    return near.select(lo.alias("lo"), hi.alias("hi"), "centre_distance").distinct().withColumnsRenamed({"lo": f"{key}_a", "hi": f"{key}_b"})
+
+
+def field_pairs(path: DataFrame, columns: list[str], nearest: int = 3, key: str = "cohort", order: str = "t") -> DataFrame:
+    """Growth field on a local grid between neighbouring paths, from the points of the two: ridge, corridor, mean."""
+    workers_import(path.sparkSession)
+    out, ends = list(K.field_between(np.zeros(2), np.ones(2), np.zeros((0, 2)), np.zeros((0, 2)))), [f"{key}_a", f"{key}_b"]
+    pairs = neighbour_pairs(path, columns, nearest, key)
+    both = pairs.withColumn(key, F.explode(F.array(*ends))).join(path.select(key, F.col(order).cast("double").alias(order), *columns), key)
+
+    def run(t: pa.Table) -> pa.Table:
+        names, when = np.array(t.column(key).to_pylist(), object), t.column(order).to_numpy()
+        x = np.column_stack([t.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])
+        centres, at, after = [], [], []
+        for e in ends:
+            mine = np.flatnonzero(names == t.column(e)[0].as_py())
+            p = x[mine[np.argsort(when[mine], kind="stable")]]
+            p = p[np.isfinite(p).all(1)]
+            centres.append(p.mean(0) if len(p) else np.full(len(columns), np.nan))
+            at.append(p[:-1])
+            after.append(p[1:])
+        r = {e: t.column(e)[0].as_py() for e in ends} | {"centre_distance": t.column("centre_distance")[0].as_py()}
+        return _table([r | K.field_between(*centres, np.concatenate(at), np.concatenate(after))], ends, ["centre_distance", *out])
+
+    return both.groupBy(*ends).applyInArrow(run, _schema(ends, ["centre_distance", *out]))
+
+
+def basins(path: DataFrame, columns: list[str], key: str = "cohort", order: str = "t") -> DataFrame:
+    """Depth, radius and escape rate of the basin about each path's centre, from its own points."""
+    workers_import(path.sparkSession)
+    out = ["basin_depth", "basin_radius", "escape_rate"]
+
+    def run(t: pa.Table) -> pa.Table:
+        x = np.column_stack(_ordered(t, order, *columns))
+        x = x[np.isfinite(x).all(1)]
+        r = K.basin_depth(x.mean(0), x[:-1], x[1:]) if len(x) > 3 else {}
+        return _table([{key: t.column(key)[0].as_py()} | r], [key], out)
+
+    return path.groupBy(key).applyInArrow(run, _schema([key], out))
+
+
 VIEWS = ["fourier_dominant_freq", "fourier_flatness", "envelope_mean", "envelope_trend", "envelope_cv", "wavelet_dominant_scale", "wavelet_entropy", "wavelet_ratio"]
 
 

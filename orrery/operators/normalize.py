@@ -119,7 +119,9 @@ def fingerprint(features: DataFrame, names: list[str], pairs: list[tuple[str, st
     """
     have = set(features.columns)
     f = features.withColumns({n: F.lit(None).cast("double") for n in names if n not in have})
-    r = lambda x, y: F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    # over the windows that have both
+    sd = lambda x, y: F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x)))
+    r = lambda x, y: F.covar_pop(x, y) / F.nullif(sd(x, y) * sd(y, x), F.lit(0.0))
     aggs = [F.count("*").alias("n_windows"), *(F.avg(n).alias(f"mean_{n}") for n in names), *(F.stddev_samp(n).alias(f"std_{n}") for n in names), *(r(x, y).alias(f"corr_{x}_{y}") for x, y in pairs)]
     out = f.groupBy(*SERIES).agg(*aggs)
     volatility = sum((F.coalesce(f"std_{n}", F.lit(0.0)) for n in names), F.lit(0.0)) / len(names)

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import kernels as K
+from ..session import workers_import
 
 PAIR = ("cohort", "signal_a", "signal_b")
 
 
-def aligned(obs: DataFrame) -> DataFrame:
-    """Samples of unordered pairs of a cohort's signals at equal coordinates: x, y, t."""
+def aligned(obs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Samples of unordered pairs of a cohort's signals at equal coordinates: x, y, t. only: (cohort, signal_a, signal_b) of
+    the pairs that matter, so that others are never made."""
     a = obs.select("cohort", F.col("signal_0").alias("t"), F.col("signal_id").alias("signal_a"), F.col("value").alias("x"))
     b = obs.select("cohort", F.col("signal_0").alias("t"), F.col("signal_id").alias("signal_b"), F.col("value").alias("y"))
-    return a.join(b, ["cohort", "t"]).filter("signal_a < signal_b").select(*PAIR, "t", "x", "y")
+    if only is None:
+        return a.join(b, ["cohort", "t"]).filter("signal_a < signal_b").select(*PAIR, "t", "x", "y")
+    return a.join(only.select(*PAIR).distinct(), ["cohort", "signal_a"]).join(b, ["cohort", "signal_b", "t"]).select(*PAIR, "t", "x", "y")
 
 
 def binned(pairs: DataFrame, columns: tuple[str, ...], bins: int, shared: bool = False) -> DataFrame:
@@ -39,7 +48,8 @@ def mutual_information(pairs: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def transfer_entropy(pairs: DataFrame, bins: int = 8) -> DataFrame:
-    """Bits that one signal's past adds on the other's next value, both ways, lag 1."""
+    """Bits that one signal's past adds on the other's next value, both ways, lag 1; also over the entropy of the other's
+    values."""
     b = binned(pairs, ("x", "y"), bins)
     w = Window.partitionBy(*PAIR).orderBy("t")
 
@@ -47,8 +57,10 @@ def transfer_entropy(pairs: DataFrame, bins: int = 8) -> DataFrame:
         t = b.withColumn("nxt", F.lead(f"b_{target}").over(w)).filter("nxt is not null").select(*PAIR, "nxt", F.col(f"b_{target}").alias("now"), F.col(f"b_{source}").alias("src"))
         c = t.groupBy(*PAIR, "nxt", "now", "src").agg(F.count("*").alias("m"))
         part = lambda *k: F.sum("m").over(Window.partitionBy(*PAIR, *k))
-        c = c.withColumns({"n": part(), "ns": part("now", "src"), "nn": part("nxt", "now"), "no": part("now")})
-        return c.groupBy(*PAIR).agg(F.sum(F.col("m") / F.col("n") * F.log2(F.col("m") * F.col("no") / (F.col("ns") * F.col("nn")))).alias(name))
+        c = c.withColumns({"n": part(), "ns": part("now", "src"), "nn": part("nxt", "now"), "no": part("now"), "nx": part("nxt")})
+        te = F.sum(F.col("m") / F.col("n") * F.log2(F.col("m") * F.col("no") / (F.col("ns") * F.col("nn"))))
+        h = -F.sum(F.col("m") / F.col("n") * F.log2(F.col("nx") / F.col("n")))
+        return c.groupBy(*PAIR).agg(te.alias(name), (te / F.nullif(h, F.lit(0.0))).alias(f"{name}_norm"))
 
     return one("x", "y", "te_a_to_b").join(one("y", "x", "te_b_to_a"), list(PAIR))
 
@@ -64,7 +76,7 @@ def divergence(pairs: DataFrame, bins: int = 10, floor: float = 1e-10) -> DataFr
     return h.groupBy(*PAIR).agg(F.sum(p * F.ln(p / q)).alias("kl_ab"), F.sum(q * F.ln(q / p)).alias("kl_ba"), F.sum(0.5 * p * F.ln(p / m) + 0.5 * q * F.ln(q / m)).alias("js"))
 
 
-def cross_correlation(pairs: DataFrame, reach: int = 20) -> DataFrame:
+def cross_correlation(pairs: DataFrame, reach: int = 50) -> DataFrame:
     """Greatest |correlation| over shifts within reach, its shift, and how alike both sides are."""
     w = Window.partitionBy(*PAIR)
     c = pairs.withColumn("r", F.row_number().over(w.orderBy("t"))).withColumn("n", F.count("*").over(w))
@@ -84,17 +96,21 @@ def ranked(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("u", F.row_number().over(w.orderBy("x", "t")) / n).withColumn("v", F.row_number().over(w.orderBy("y", "t")) / n)
 
 
-def rank_correlation(pairs: DataFrame, most: int = 1000) -> DataFrame:
-    """Spearman and Kendall. Kendall compares at most `most` samples of a pair, taken evenly along the coordinate."""
+def rank_correlation(pairs: DataFrame) -> DataFrame:
+    """Spearman, and Kendall by counting inversions of the ranks: n log n steps a pair, on all samples."""
+    workers_import(pairs.sparkSession)
     r = ranked(pairs)
-    w = Window.partitionBy(*PAIR).orderBy("t")
     s = r.groupBy(*PAIR).agg((F.covar_pop("u", "v") / F.nullif(F.stddev_pop("u") * F.stddev_pop("v"), F.lit(0.0))).alias("spearman"))
-    k = r.withColumn("r", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*PAIR)))
-    k = k.filter((F.col("n") <= most) | (F.floor(F.col("r") * most / F.col("n")) > F.floor((F.col("r") - 1) * most / F.col("n"))))
-    side = lambda p: k.select(*PAIR, F.col("u").alias(f"u{p}"), F.col("v").alias(f"v{p}"), F.col("r").alias(f"r{p}"))
-    p = side(1).join(side(2), list(PAIR)).filter("r1 < r2")
-    tau = p.groupBy(*PAIR).agg(F.avg(F.signum((F.col("u1") - F.col("u2")) * (F.col("v1") - F.col("v2")))).alias("kendall"))
-    return s.join(tau, list(PAIR))
+    schema = T.StructType([*(T.StructField(k, T.StringType()) for k in PAIR), T.StructField("kendall", T.DoubleType())])
+
+    def tau(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("u").to_numpy(), kind="stable")
+        place = np.argsort(np.argsort(t.column("v").to_numpy(), kind="stable"), kind="stable")[order]
+        n = len(place)
+        value = 1 - 4 * K.inversions(place) / (n * (n - 1)) if n > 1 else None
+        return pa.table([pa.array([t.column(k)[0].as_py()], pa.string()) for k in PAIR] + [pa.array([value], pa.float64())], names=[*PAIR, "kendall"])
+
+    return s.join(r.select(*PAIR, "u", "v").groupBy(*PAIR).applyInArrow(tau, schema), list(PAIR))
 
 
 def tails(pairs: DataFrame, q: float = 0.1) -> DataFrame:

@@ -76,14 +76,26 @@ def tail(obs: DataFrame, most: int = 2000) -> DataFrame:
     return obs.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).drop("__r")
 
 
-STAGE_NEEDS = {
-    "typology_windows": (), "breaks": (), "signal_vector": ("typology_windows",), "cohort_vector": ("signal_vector",), "cohort_geometry": ("signal_vector", "cohort_vector"),
-    "signal_geometry": ("signal_vector", "cohort_vector"), "cohort_pairwise": ("signal_vector", "cohort_geometry"), "geometry_dynamics": ("cohort_geometry",), "ftle": (), "lyapunov": (),
-    "thermodynamics": ("geometry_dynamics",), "velocity_field": (), "ftle_rolling": (), "ridge_proximity": ("ftle_rolling", "velocity_field"), "cohort_information_flow": ("cohort_pairwise",),
-    "system_vector": ("cohort_vector",), "system_geometry": ("cohort_vector",), "system_pairwise": ("cohort_vector",), "trajectory_signatures": ("geometry_dynamics",), "trajectory_match": ("trajectory_signatures",),
-}
+def ready(done: set[str], needs: dict[str, tuple[str, ...]]) -> list[str]:
+    """Stages that are not done and whose needs are. needs: of each stage, the stages it reads."""
+    return [s for s, before in needs.items() if s not in done and done.issuperset(before)]
 
 
-def ready(done: set[str]) -> list[str]:
-    """Stages that are not done and whose needs are."""
-    return [s for s, needs in STAGE_NEEDS.items() if s not in done and done.issuperset(needs)]
+def missing(stage: str, done: set[str], needs: dict[str, tuple[str, ...]]) -> list[str]:
+    """What has to be made before a stage can be, in order."""
+    out: list[str] = []
+
+    def visit(s: str) -> None:
+        for before in needs.get(s, ()):
+            if before not in done and before not in out:
+                visit(before)
+                out.append(before)
+
+    visit(stage)
+    return out
+
+
+def status(done: set[str], needs: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    """done, ready or waiting, by stage."""
+    can = set(ready(done, needs))
+    return {s: "done" if s in done else "ready" if s in can else "waiting" for s in needs}

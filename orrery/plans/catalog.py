@@ -21,6 +21,18 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def templates() -> list[str]:
+    """Names of the queries that have SQL."""
+    return sorted(SQL)
+
+
+def template(name: str) -> str:
+    """SQL of a query, to run over tables of the same names elsewhere."""
+    if name not in SQL:
+        raise KeyError(f"no SQL for {name}")
+    return SQL[name]
+
+
 def rounded(df: DataFrame, keys: tuple[str, ...] = ("cohort", "signal_id", "k"), digits: int = 6) -> DataFrame:
     """Every column but the keys as DOUBLE, rounded."""
     return df.select(*keys, *(F.round(F.col(c).cast("double"), digits).alias(c) for c in df.columns if c not in keys))

@@ -98,12 +98,13 @@ def traj_match(spark, sf):
 
 
 _MET = "metrics AS (SELECT cohort, k AS t, effective_dim, total_variance FROM ee), lg AS (SELECT cohort, metric, t, value FROM (UNPIVOT metrics ON effective_dim, total_variance INTO NAME metric VALUE value))"
-_CURVE = ["mean", "std", "min", "max", "range", "first", "last", "delta", "slope", "r2", "early", "late", "el_delta", "vel_mean", "vel_std", "vel_min", "vel_max", "vel_last", "acc_mean", "acc_std", "acc_min", "acc_max", "acc_last"]
+_CURVE = ["mean", "std", "min", "max", "range", "first", "last", "delta", "slope", "r2", "early", "late", "el_delta", "vel_mean", "vel_std", "vel_min", "vel_max", "vel_last", "acc_mean", "acc_std", "acc_min", "acc_max", "acc_last", "mid", "spike_ratio", "vel_late", "curvature_mean"]
 
 
 @query("curve_features", BASE + dim_sql(SHAPE) + ", " + _MET + """, a AS (SELECT *, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY cohort, metric) AS n, value - lag(value) OVER w AS vel FROM lg WINDOW w AS (PARTITION BY cohort, metric ORDER BY t)), b AS (SELECT *, vel - lag(vel) OVER (PARTITION BY cohort, metric ORDER BY t) AS acc FROM a),
 q AS (SELECT cohort, metric, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, max(value) - min(value) AS range, arg_min(value, r) AS first, arg_max(value, r) AS last, arg_max(value, r) - arg_min(value, r) AS delta, regr_slope(value, r) AS slope, CASE WHEN stddev_pop(value) < 1e-12 THEN 0 ELSE regr_r2(value, r) END AS r2,
-avg(value) FILTER (r < greatest(n // 3, 1)) AS early, avg(value) FILTER (r >= n - greatest(n // 3, 1)) AS late, avg(value) FILTER (r >= n - greatest(n // 3, 1)) - avg(value) FILTER (r < greatest(n // 3, 1)) AS el_delta, avg(vel) AS vel_mean, stddev_pop(vel) AS vel_std, min(vel) AS vel_min, max(vel) AS vel_max, arg_max(vel, r) AS vel_last, avg(acc) AS acc_mean, stddev_pop(acc) AS acc_std, min(acc) AS acc_min, max(acc) AS acc_max, arg_max(acc, r) AS acc_last FROM b GROUP BY cohort, metric) SELECT cohort, metric, n, """ + r6(*_CURVE) + " FROM q")
+avg(value) FILTER (r < greatest(n // 3, 1)) AS early, avg(value) FILTER (r >= n - greatest(n // 3, 1)) AS late, avg(value) FILTER (r >= n - greatest(n // 3, 1)) - avg(value) FILTER (r < greatest(n // 3, 1)) AS el_delta, avg(vel) AS vel_mean, stddev_pop(vel) AS vel_std, min(vel) AS vel_min, max(vel) AS vel_max, arg_max(vel, r) AS vel_last, avg(acc) AS acc_mean, stddev_pop(acc) AS acc_std, min(acc) AS acc_min, max(acc) AS acc_max, arg_max(acc, r) AS acc_last, avg(value) FILTER (r >= greatest(n // 3, 1) AND r < 2 * greatest(n // 3, 1)) AS mid,
+max(value) / avg(value) FILTER (r < greatest(n // 3, 1)) AS spike_ratio, avg(vel) FILTER (r >= n - greatest((n - 1) // 3, 1)) AS vel_late, avg(abs(acc) / (1 + vel * vel) ** 1.5) AS curvature_mean FROM b GROUP BY cohort, metric) SELECT cohort, metric, n, """ + r6(*_CURVE) + " FROM q")
 def curve_features(spark, sf):
     d = G.effective_dim(cloud(spark, sf), SHAPE).select("cohort", F.col("k").alias("t"), "effective_dim", "total_variance")
     return rounded(X.curve(d.unpivot(["cohort", "t"], ["effective_dim", "total_variance"], "metric", "value")), ("cohort", "metric", "n"))
@@ -131,10 +132,10 @@ def cross_axis(spark, sf):
     return rounded(X.cross_axis(d), ("cohort", "n_collapsing"))
 
 
-@query("subwindow_dispersion", BASE + _TWO + ", pw AS (SELECT cohort, k, stddev_pop(effective_dim) AS s, max(effective_dim) - min(effective_dim) AS g, avg((total_variance * 30 > 100)::INT) AS d FROM gm GROUP BY ALL) SELECT cohort, round(avg(s), 6) AS sub_std_mean, round(max(g), 6) AS sub_range_max, round(avg(d), 6) AS degenerate_share, round(arg_max(g, k), 6) AS sub_range_last FROM pw GROUP BY cohort")
+@query("subwindow_dispersion", BASE + _TWO + ", pw AS (SELECT cohort, k, stddev_pop(effective_dim) AS s, max(effective_dim) - min(effective_dim) AS g, avg((total_variance > 3.4)::INT) AS d FROM gm GROUP BY ALL) SELECT cohort, round(avg(s), 6) AS sub_std_mean, round(max(g), 6) AS sub_range_max, round(avg(d), 6) AS degenerate_share, round(arg_max(g, k), 6) AS sub_range_last FROM pw GROUP BY cohort")
 def subwindow_dispersion(spark, sf):
-    g = geometry(spark, sf).withColumn("condition_number", F.col("total_variance") * 30)
-    return rounded(X.subwindow_dispersion(g, ("cohort", "k")), ("cohort",))
+    g = geometry(spark, sf).withColumn("condition_number", F.col("total_variance"))
+    return rounded(X.subwindow_dispersion(g, ("cohort", "k"), degenerate=3.4), ("cohort",))
 
 
 @query("sensor_rolling", S.indexed() + " SELECT cohort, signal_id, signal_0, round(avg(value) OVER w, 7) AS roll_mean, round(coalesce(stddev_samp(value) OVER w, 0), 6) AS roll_std, round(value - first_value(value) OVER w, 6) AS roll_delta, CASE WHEN count(*) OVER w < 2 THEN 0 ELSE round(regr_slope(value, r) OVER w, 6) END AS roll_slope FROM r WINDOW w AS (PARTITION BY cohort, signal_id ORDER BY signal_0 ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)")
@@ -171,10 +172,10 @@ def union_diagonal(spark, sf):
     return O.union_diagonal(o.groupBy("cohort", "signal_id").agg(F.count("*").alias("n")), o.groupBy("cohort", "signal_id").agg(F.max("value").alias("top")))
 
 
-@query("semi_active", S.obs() + " SELECT cohort, signal_id, signal_0, value FROM obs WHERE signal_id IN (SELECT signal_id FROM obs GROUP BY signal_id HAVING avg(value) > 249)")
+@query("semi_active", S.obs() + " SELECT cohort, signal_id, signal_0, value FROM obs WHERE signal_id IN (SELECT signal_id FROM obs GROUP BY signal_id HAVING avg(value) > 50)")
 def semi_active(spark, sf):
     o = O.obs_events(spark, sf)
-    return V.active_only(o, o.groupBy("signal_id").agg(F.avg("value").alias("m")).filter("m > 249").select("signal_id")).select("cohort", "signal_id", "signal_0", "value")
+    return V.active_only(o, o.groupBy("signal_id").agg(F.avg("value").alias("m")).filter("m > 50").select("signal_id")).select("cohort", "signal_id", "signal_0", "value")
 
 
 @query("anti_constant", S.obs("lineitem") + ", t AS (SELECT signal_id, stddev_pop(value) AS sd FROM obs GROUP BY signal_id) SELECT cohort, signal_id, count(*) AS n FROM obs WHERE signal_id NOT IN (SELECT signal_id FROM t WHERE sd <= 0.05) GROUP BY ALL")

@@ -6,6 +6,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import windows as W
 from ..operators import dynamics as D
 from ..operators import engines as E
@@ -184,8 +185,10 @@ def _jack():
     pairs = list(itertools.combinations_with_replacement(fs, 2))
     s = ", jk AS (SELECT *, count(*) OVER p AS n, " + ", ".join(f"sum({f}) OVER p - {f} AS s_{f}" for f in fs) + ", " + ", ".join(f"sum({a} * {b}) OVER p - {a} * {b} AS p_{a}_{b}" for a, b in pairs) + " FROM fv WINDOW p AS (PARTITION BY cohort, k))"
     s += ", jv AS (SELECT cohort, k, n, " + ", ".join(f"(p_{a}_{b} - s_{a} * s_{b} / (n - 1)) / (n - 2) AS v_{a}_{b}" for a, b in pairs) + " FROM jk WHERE n >= 4)"
+    quantiles = ", ".join(f"({n}, {K.student_quantile(0.975, n)!r}::DOUBLE)" for n in range(3, 31))
     tr, nm = " + ".join(f"v_{f}_{f}" for f in fs), " + ".join(("" if a == b else "2 * ") + f"v_{a}_{b} ** 2" for a, b in pairs)
-    return s + f", jd AS (SELECT cohort, k, ({tr}) ** 2 / nullif({nm}, 0) AS dim FROM jv) SELECT cohort, k, round(avg(dim), 6) AS eff_dim_mean, round(sqrt((count(*) - 1) * var_pop(dim)), 6) AS eff_dim_std FROM jd GROUP BY cohort, k"
+    s += f", jd AS (SELECT cohort, k, ({tr}) ** 2 / nullif({nm}, 0) AS dim FROM jv), js AS (SELECT cohort, k, avg(dim) AS m, sqrt((count(*) - 1) * var_pop(dim)) AS s, count(*) - 1 AS df FROM jd GROUP BY cohort, k)"
+    return s + f" SELECT cohort, k, round(m, 6) AS eff_dim_mean, round(s, 6) AS eff_dim_std, round(m - tq.t * s, 6) AS eff_dim_lower, round(m + tq.t * s, 6) AS eff_dim_upper FROM js LEFT JOIN (VALUES {quantiles}) AS tq(df, t) ON tq.df = js.df"
 
 
 @query("jackknife_dim", BASE + _jack())
@@ -193,6 +196,29 @@ def jackknife_dim(spark, sf):
     return rounded(G.jackknife_dim(cloud(spark, sf), SHAPE), CK)
 
 
+@query("axis_continuity", BASE + _EIG + """, ax AS (SELECT cohort, k, s * v1 / vn AS a, s * v2 / vn AS b, s * v3 / vn AS c FROM sg), ad AS (SELECT *, coalesce((a * lag(a) OVER z + b * lag(b) OVER z + c * lag(c) OVER z < 0)::INT, 0) AS n FROM ax WINDOW z AS (PARTITION BY cohort ORDER BY k)),
+as_ AS (SELECT *, 1 - 2 * (sum(n) OVER (PARTITION BY cohort ORDER BY k) % 2) AS s FROM ad) SELECT cohort, k, round(s * a, 5) AS pc_1, round(s * b, 5) AS pc_2, round(s * c, 5) AS pc_3, s < 0 AS turned FROM as_""")
+def axis_continuity(spark, sf):
+    """The leading axis carried from window to window without reversals."""
+    a = G.continuous_axes(G.eigen3(cloud(spark, sf), SHAPE))
+    return a.select(*CK, *(F.round(c, 5).alias(c) for c in ("pc_1", "pc_2", "pc_3")), "turned")
+
+
+@query("phase_space", BASE + dim_sql(SHAPE) + ", px AS (SELECT cohort, k, effective_dim AS x_0, lead(effective_dim, 2) OVER z AS x_1, lead(effective_dim, 4) OVER z AS x_2 FROM ee WINDOW z AS (PARTITION BY cohort ORDER BY k)) SELECT cohort, k, round(x_0, 6) AS x_0, round(x_1, 6) AS x_1, round(x_2, 6) AS x_2 FROM px WHERE x_2 IS NOT NULL")
+def phase_space(spark, sf):
+    return rounded(G.phase_space(G.effective_dim(cloud(spark, sf), SHAPE), "effective_dim", 3, 2), CK)
+
+
+_SMO = dim_sql(SHAPE) + ", s0 AS (SELECT cohort, (31 + 16 * k)::DOUBLE AS signal_0_end, effective_dim AS e, k FROM ee), sr AS (SELECT cohort, signal_0_end, k, (coalesce(lag(e) OVER z, 0) + e + coalesce(lead(e) OVER z, 0)) / 3 AS effective_dim FROM s0 WINDOW z AS (PARTITION BY cohort ORDER BY signal_0_end))"
+_SMO += "".join(grad_sql(n, src, y, "signal_0_end", "cohort", out) for n, src, y, out in (("g1", "sr", "effective_dim", "velocity"), ("g2", "g1", "velocity", "acceleration"), ("g3", "g2", "acceleration", "jerk")))
+
+
+@query("geometry_dynamics_smoothed", BASE + _SMO + " SELECT cohort, signal_0_end, round(effective_dim, 6) AS effective_dim, round(velocity, 6) AS velocity, round(acceleration, 6) AS acceleration, round(jerk, 6) AS jerk FROM g3")
+def geometry_dynamics_smoothed(spark, sf):
+    d = G.dynamics(dims(spark, sf), smooth=True)
+    return rounded(d.select("cohort", "signal_0_end", "effective_dim", "velocity", "acceleration", "jerk"), ("cohort", "signal_0_end"))
+
+
 @query("effective_dim_trend", BASE + dim_sql(SHAPE) + " SELECT cohort, round(regr_slope(effective_dim, k), 6) AS trend_slope, round(regr_r2(effective_dim, k), 6) AS trend_r2, count(*) AS n_windows FROM ee GROUP BY cohort")
 def effective_dim_trend(spark, sf):
     return dims(spark, sf).groupBy("cohort").agg(F.round(F.regr_slope("effective_dim", "k"), 6).alias("trend_slope"), F.round(F.regr_r2("effective_dim", "k"), 6).alias("trend_r2"), F.count("*").alias("n_windows"))
@@ -263,10 +289,10 @@ def mutual_info(spark, sf):
 
 
 def _te(s, t, name):
-    return f", c_{name} AS (SELECT {PK}, nx, nw, sr, count(*) AS m FROM (SELECT {PK}, lead(q{t}) OVER (PARTITION BY {PK} ORDER BY t) AS nx, q{t} AS nw, q{s} AS sr FROM bn) WHERE nx IS NOT NULL GROUP BY ALL), e_{name} AS (SELECT {PK}, sum(m * log2(m * no / (ns * nn))) / sum(m) AS {name} FROM (SELECT *, sum(m) OVER (PARTITION BY {PK}, nw, sr) AS ns, sum(m) OVER (PARTITION BY {PK}, nx, nw) AS nn, sum(m) OVER (PARTITION BY {PK}, nw) AS no FROM c_{name}) GROUP BY {PK})"
+    return f", c_{name} AS (SELECT {PK}, nx, nw, sr, count(*) AS m FROM (SELECT {PK}, lead(q{t}) OVER (PARTITION BY {PK} ORDER BY t) AS nx, q{t} AS nw, q{s} AS sr FROM bn) WHERE nx IS NOT NULL GROUP BY ALL), e_{name} AS (SELECT {PK}, sum(m * log2(m * no / (ns * nn))) / sum(m) AS {name}, sum(m * log2(m * no / (ns * nn))) / sum(-m * log2(nxs / tot)) AS {name}_norm FROM (SELECT *, sum(m) OVER (PARTITION BY {PK}, nx) AS nxs, sum(m) OVER (PARTITION BY {PK}) AS tot, sum(m) OVER (PARTITION BY {PK}, nw, sr) AS ns, sum(m) OVER (PARTITION BY {PK}, nx, nw) AS nn, sum(m) OVER (PARTITION BY {PK}, nw) AS no FROM c_{name}) GROUP BY {PK})"
 
 
-@query("transfer_entropy", PR + bins_sql(8) + _te("x", "y", "te_a_to_b") + _te("y", "x", "te_b_to_a") + f" SELECT {PK}, round(te_a_to_b, 6) AS te_a_to_b, round(te_b_to_a, 6) AS te_b_to_a FROM e_te_a_to_b JOIN e_te_b_to_a USING ({PK})")
+@query("transfer_entropy", PR + bins_sql(8) + _te("x", "y", "te_a_to_b") + _te("y", "x", "te_b_to_a") + f" SELECT {PK}, round(te_a_to_b, 6) AS te_a_to_b, round(te_b_to_a, 6) AS te_b_to_a, round(te_a_to_b_norm, 6) AS te_a_to_b_norm, round(te_b_to_a_norm, 6) AS te_b_to_a_norm FROM e_te_a_to_b JOIN e_te_b_to_a USING ({PK})")
 def transfer_entropy(spark, sf):
     return rounded(P.transfer_entropy(pairs(spark, sf)), PAIR)
 
@@ -278,7 +304,7 @@ def kl_js(spark, sf):
 
 
 @query("cross_corr", PR + f""", zz AS (SELECT *, row_number() OVER (p ORDER BY t) AS r, count(*) OVER p AS n, (x - avg(x) OVER p) / stddev_pop(x) OVER p AS zx, (y - avg(y) OVER p) / stddev_pop(y) OVER p AS zy FROM pr WINDOW p AS (PARTITION BY {PK})),
-xc AS (SELECT a.cohort, a.signal_a, a.signal_b, b.r - a.r AS lag, sum(a.zx * b.zy) / any_value(a.n) AS xc FROM zz a JOIN zz b ON a.cohort = b.cohort AND a.signal_a = b.signal_a AND a.signal_b = b.signal_b AND b.r BETWEEN a.r - 20 AND a.r + 20 GROUP BY ALL)
+xc AS (SELECT a.cohort, a.signal_a, a.signal_b, b.r - a.r AS lag, sum(a.zx * b.zy) / any_value(a.n) AS xc FROM zz a JOIN zz b ON a.cohort = b.cohort AND a.signal_a = b.signal_a AND a.signal_b = b.signal_b AND b.r BETWEEN a.r - 50 AND a.r + 50 GROUP BY ALL)
 SELECT {PK}, round(arg_max(xc, (round(abs(xc), 12), -abs(lag), lag)), 6) AS max_xcorr, arg_max(lag, (round(abs(xc), 12), -abs(lag), lag))::INT AS lag_at_max, round(least(sum(abs(xc)) FILTER (lag > 0), sum(abs(xc)) FILTER (lag < 0)) / greatest(sum(abs(xc)) FILTER (lag > 0), sum(abs(xc)) FILTER (lag < 0)), 6) AS xcorr_symmetry FROM xc GROUP BY {PK}""")
 def cross_corr(spark, sf):
     c = P.cross_correlation(pairs(spark, sf))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
-from ..operators import dynamics as D
 from ..operators import engines as E
 from ..operators import features as X
 from ..operators import geometry as G
@@ -75,13 +74,19 @@ def pair_state_flags(spark, sf):
     return j.select(*CK, "signal_a", "signal_b", ((F.col("da") < F.col("ma")) & (F.col("db") < F.col("mb"))).alias("both_close_to_state"), ((F.col("da") > F.col("ma")) & (F.col("db") > F.col("mb"))).alias("both_far_from_state"), F.round(F.abs(F.col("da") - F.col("db")), 6).alias("state_distance_diff"))
 
 
-@query("csd_kendall", S.hops(50, 10) + ", v AS (SELECT cohort, signal_id, k, var_pop(value) AS va FROM c GROUP BY cohort, signal_id, k) SELECT a.cohort, a.signal_id, round(avg(sign(b.va - a.va)), 6) AS variance_tau FROM v a JOIN v b ON a.cohort = b.cohort AND a.signal_id = b.signal_id AND a.k < b.k GROUP BY ALL")
+@query("csd_kendall", S.hops(50, 10) + """, l AS (SELECT *, lag(d) OVER (PARTITION BY cohort, signal_id, k ORDER BY i) AS d0 FROM c), v AS (SELECT cohort, signal_id, k, var_pop(value) AS va, sum(d * d0) / nullif(sum(d * d), 0) AS ac FROM l GROUP BY cohort, signal_id, k)
+SELECT a.cohort, a.signal_id, round(avg(sign(b.va - a.va)), 6) AS variance_tau, round(avg(sign(b.ac - a.ac)), 6) AS autocorrelation_tau FROM v a JOIN v b ON a.cohort = b.cohort AND a.signal_id = b.signal_id AND a.k < b.k GROUP BY ALL""")
 def csd_kendall(spark, sf):
-    """Trend of windowed variance by Kendall's tau."""
-    v = W.hop(W.indexed(O.obs_events(spark, sf)), 50, 10).groupBy(*E.KEYS).agg(F.var_pop("value").alias("va"))
-    side = lambda p: v.select("cohort", "signal_id", F.col("k").alias(f"k{p}"), F.col("va").alias(f"v{p}"))
+    """Trends of windowed variance and lag-1 autocorrelation by Kendall's tau."""
+    h = W.hop(W.indexed(O.obs_events(spark, sf)), 50, 10)
+    inside = Window.partitionBy(*E.KEYS)
+    h = h.withColumn("c", F.col("value") - F.avg("value").over(inside))
+    h = h.withColumn("c0", F.lag("c").over(inside.orderBy("i")))
+    v = h.groupBy(*E.KEYS).agg(F.var_pop("value").alias("va"), (F.sum(F.col("c") * F.col("c0")) / F.nullif(F.sum(F.col("c") * F.col("c")), F.lit(0.0))).alias("ac"))
+    side = lambda p: v.select("cohort", "signal_id", *(F.col(c).alias(f"{c}{p}") for c in ("k", "va", "ac")))
     j = side("a").join(side("b"), ["cohort", "signal_id"]).filter("ka < kb")
-    return j.groupBy("cohort", "signal_id").agg(F.round(F.avg(F.signum(F.col("vb") - F.col("va"))), 6).alias("variance_tau"))
+    tau = lambda c: F.round(F.avg(F.signum(F.col(f"{c}b") - F.col(f"{c}a"))), 6)
+    return j.groupBy("cohort", "signal_id").agg(tau("va").alias("variance_tau"), tau("ac").alias("autocorrelation_tau"))
 
 
 @query("train_normalised", BASE + dim_sql(SHAPE) + ", tr0 AS (SELECT avg(effective_dim) AS m, stddev_pop(effective_dim) AS s FROM ee WHERE k < 8) SELECT cohort, k, round((effective_dim - m) / s, 6) AS effective_dim FROM ee, tr0")
@@ -106,4 +111,11 @@ def correlation_edges(spark, sf):
     return rounded(c.select(*CK, F.col("r_kurtosis_skewness").alias("kurtosis_skewness"), F.col("r_kurtosis_crest_factor").alias("kurtosis_crest"), F.col("r_skewness_crest_factor").alias("skewness_crest")), CK)
 
 
-__all__ = ["two_sided", "D"]
+@query("rul_attach", BASE + dim_sql(SHAPE) + ", m AS (SELECT *, max(k) OVER (PARTITION BY cohort) - k AS l FROM ee) SELECT cohort, k, CASE WHEN cohort < 'd' THEN 'train' ELSE 'test' END AS split, round(least(CASE WHEN cohort < 'd' THEN l ELSE 20 - k END, 10), 6)::DOUBLE AS rul, round(effective_dim, 6) AS effective_dim FROM m")
+def rul_attach(spark, sf):
+    """Steps left: of training units to their last window, of others to an end given beside them; both in one table."""
+    d = G.effective_dim(cloud(spark, sf), SHAPE).select(*CK, "effective_dim")
+    train, test = d.filter("cohort < 'd'"), d.filter("cohort >= 'd'")
+    life = test.select("cohort").distinct().withColumn("end", F.lit(20))
+    both = X.split_union(X.with_rul(train, order="k", most=10), X.with_rul(test, order="k", most=10, life=life))
+    return both.select("cohort", "k", "split", F.round(F.col("rul").cast("double"), 6).alias("rul"), F.round("effective_dim", 6).alias("effective_dim"))

@@ -131,25 +131,54 @@ def break_interpolation(spark, sf):
     return B.interpolated(holes).select("cohort", "signal_id", "signal_0", F.round("value", 6).alias("value"))
 
 
-@query("break_cusum")
+def _cusum(sensitivity: float) -> str:
+    """cs: the alarm sums sample by sample, score where they alarm."""
+    return f""", xs AS (SELECT cohort, signal_id, r, value, noise FROM nf), cs AS (SELECT cohort, signal_id, r, value * 0.95::DOUBLE + value * 0.05::DOUBLE AS m, 0::DOUBLE AS up, 0::DOUBLE AS down, NULL::DOUBLE AS score FROM xs WHERE r = 0
+UNION ALL SELECT cohort, signal_id, r, CASE WHEN hit THEN value ELSE m * 0.95::DOUBLE + value * 0.05::DOUBLE END, CASE WHEN hit THEN 0 ELSE up END, CASE WHEN hit THEN 0 ELSE down END, CASE WHEN hit THEN greatest(up, down) END
+FROM (SELECT *, greatest(up, down) > {4 / sensitivity!r}::DOUBLE AS hit FROM (SELECT x.cohort, x.signal_id, x.r, x.value, s.m, greatest(0, s.up + (x.value - s.m) / x.noise - 0.5::DOUBLE) AS up, greatest(0, s.down - (x.value - s.m) / x.noise - 0.5::DOUBLE) AS down FROM cs s JOIN xs x ON x.cohort = s.cohort AND x.signal_id = s.signal_id AND x.r = s.r + 1)))"""
+
+
+_RECURSIVE = "WITH RECURSIVE" + EV.removeprefix("WITH") + _NOISE
+
+
+@query("break_cusum", _RECURSIVE + _cusum(1.0) + " SELECT cohort, signal_id, r, round(score, 6) AS score FROM cs WHERE score IS NOT NULL")
 def break_cusum(spark, sf):
     a = B.cusum_alarms(B.noise_floor(B.prepared(O.obs_events(spark, sf))))
     return a.select("cohort", "signal_id", "r", F.round("score", 6).alias("score"))
 
 
-@query("breaks_full")
+def _breaks(s: float) -> str:
+    """bk: the breaks; candidates of the three detectors are merged one after another."""
+    limit = f"{5 / s!r}::DOUBLE"
+    return _RECURSIVE + _cusum(s) + f""", sp0 AS (SELECT *, list_aggregate(ar, 'median') AS am FROM nf), sp1 AS (SELECT *, 1.4826 * list_aggregate(list_transform(ar, lambda v: abs(v - am)), 'median') AS sp FROM sp0),
+cand AS (SELECT cohort, signal_id, r, max(score) AS score FROM (SELECT cohort, signal_id, r, abs(df) / noise AS score FROM nf WHERE abs(df) / noise > {limit} UNION ALL SELECT cohort, signal_id, r, abs(value - am) / sp FROM sp1 WHERE sp >= 1.4826e-10 AND abs(value - am) / sp > {limit}
+UNION ALL SELECT cohort, signal_id, r, score FROM cs WHERE score IS NOT NULL) GROUP BY ALL), num AS (SELECT *, row_number() OVER (PARTITION BY cohort, signal_id ORDER BY r) AS j FROM cand),
+mg AS (SELECT cohort, signal_id, j, r AS lr, score AS ls, 1 AS g FROM num WHERE j = 1 UNION ALL SELECT n.cohort, n.signal_id, n.j, CASE WHEN n.r - m.lr >= 10 OR n.score > m.ls THEN n.r ELSE m.lr END, CASE WHEN n.r - m.lr >= 10 OR n.score > m.ls THEN n.score ELSE m.ls END, m.g + (n.r - m.lr >= 10)::INT FROM mg m JOIN num n ON n.cohort = m.cohort AND n.signal_id = m.signal_id AND n.j = m.j + 1),
+kept AS (SELECT cohort, signal_id, arg_max(lr, j) AS r FROM mg GROUP BY cohort, signal_id, g),
+fw AS (SELECT cohort, signal_id, signal_0, value, r, noise, list(value) OVER (z ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS bf, list(value) OVER (z ROWS BETWEEN 1 FOLLOWING AND 50 FOLLOWING) AS af FROM nf WINDOW z AS ({PK} ORDER BY signal_0)),
+lv AS (SELECT fw.*, coalesce(list_aggregate(bf, 'median'), value) AS pre, coalesce(list_aggregate(af, 'median'), value) AS post FROM fw JOIN kept USING (cohort, signal_id, r)),
+sz AS (SELECT *, CASE WHEN abs(value - pre) > 2 * abs(post - pre) THEN value - pre ELSE post - pre END AS size, coalesce(nullif(list_position(list_transform(af[1:20], lambda v: abs(v - post) < 2 * noise), true), 0), 20)::INT AS duration FROM lv),
+bk AS (SELECT cohort, signal_id, signal_0, sign(size)::INT AS direction, duration, abs(size) AS magnitude, abs(size) / greatest(duration, 1) AS sharpness, pre AS pre_level, post AS post_level, abs(size) / noise AS snr FROM sz)"""
+
+
+_BREAKS = _breaks(1.5) + " SELECT cohort, signal_id, signal_0, direction, duration, " + r6("magnitude", "sharpness", "pre_level", "post_level", "snr") + " FROM bk"
+
+
+def _shown(b):
+    return b.select("cohort", "signal_id", "signal_0", F.col("direction").cast("int").alias("direction"), "duration", *(F.round(c, 6).alias(c) for c in ("magnitude", "sharpness", "pre_level", "post_level", "snr")))
+
+
+@query("breaks_full", _BREAKS)
 def breaks_full(spark, sf):
-    b = KO.breaks(O.obs_events(spark, sf), 1.5)
-    return b.select("cohort", "signal_id", "signal_0", "direction", "duration", *(F.round(c, 6).alias(c) for c in ("magnitude", "sharpness", "pre_level", "post_level", "snr")))
+    return _shown(KO.breaks(O.obs_events(spark, sf), 1.5))
 
 
-@query("breaks_plan")
+@query("breaks_plan", _BREAKS)
 def breaks_plan(spark, sf):
     """The same detectors as window frames and array folds."""
-    b = B.detect(O.obs_events(spark, sf), 1.5)
-    return b.select("cohort", "signal_id", "signal_0", "direction", "duration", *(F.round(c, 6).alias(c) for c in ("magnitude", "sharpness", "pre_level", "post_level", "snr")))
+    return _shown(B.detect(O.obs_events(spark, sf), 1.5))
 
 
-@query("break_summary")
+@query("break_summary", _breaks(1.5) + ", gp AS (SELECT *, signal_0 - lag(signal_0) OVER (PARTITION BY cohort, signal_id ORDER BY signal_0) AS gap FROM bk), bs AS (SELECT cohort, signal_id, count(*) AS n_breaks, avg(gap) AS mean_spacing, stddev_pop(gap) / nullif(avg(gap), 0) AS spacing_cv, max(magnitude) AS max_magnitude, avg(magnitude) AS mean_magnitude, avg(sharpness) AS mean_sharpness, avg(snr) AS mean_snr FROM gp GROUP BY cohort, signal_id) SELECT cohort, signal_id, " + r6("n_breaks", "mean_spacing", "spacing_cv", "max_magnitude", "mean_magnitude", "mean_sharpness", "mean_snr") + " FROM bs")
 def break_summary(spark, sf):
     return rounded(B.summary(KO.breaks(O.obs_events(spark, sf), 1.5)), SK)

@@ -211,7 +211,9 @@ def test_sensor_text(spark, tmp_path):
 
 
 def test_ready_stages():
-    assert "signal_vector" not in V.ready(set()) and "signal_vector" in V.ready({"typology_windows"})
+    needs = {"a": (), "b": ("a",), "c": ("b", "a")}
+    assert V.ready(set(), needs) == ["a"] and V.ready({"a"}, needs) == ["b"] and V.missing("c", set(), needs) == ["a", "b"]
+    assert V.status({"a"}, needs) == {"a": "done", "b": "ready", "c": "waiting"}
 
 
 def test_copulas_of_long_pairs_use_every_sample(spark):
