@@ -57,6 +57,12 @@ def counted(texts: list[str]):
     edge_before = np.concatenate([[True], edge[:-1]])
     edge_two = np.concatenate([[True], edge[:-1]])
     edge_two = np.concatenate([[True], edge_two[:-1]])
+    if (k + 1) ** 3 > (1 << 62) // max(len(texts), 1):  # so many letters that keys would run over: by halves
+        if len(texts) < 2:
+            raise ValueError("more distinct letters in a text than there are in Unicode")
+        half = len(texts) // 2
+        first, second = counted(texts[:half]), counted(texts[half:])
+        return np.concatenate([first[0], second[0] + half]), *(np.concatenate(x) for x in zip(first[1:], second[1:], strict=True))
     # letters; pairs of neighbours; triples with no edge in the middle
     kinds = [(~edge, d + 1), (np.ones(len(d), bool), (before + 1) * (k + 1) + d + 1), (~edge_before, ((two + 1) * (k + 1) + before + 1) * (k + 1) + d + 1)]
     space = (k + 1) ** 3
@@ -140,7 +146,7 @@ def identify(docs: DataFrame, divisor: int = 4) -> DataFrame:
     distances the language first by code point wins.
     """
     common.prepare(docs.sparkSession)
-    src = common.texts(docs, "doc_id", "lang").withColumn("held_out", common.held_out("doc_id", divisor))
+    src = common.texts(docs.select("doc_id", "lang", "text"), "doc_id", "lang").withColumn("held_out", common.held_out("doc_id", divisor))
     known = profiles(src.filter(~F.col("held_out") & F.col("lang").isNotNull()))
 
     def run(batches):

@@ -438,6 +438,26 @@ def test_gram_counts(texts):
     assert got == [slow_grams(t) for t in texts]
 
 
+def test_profiles_and_distances_against_brute_force(make):
+    """Counts, ranks (ties by the code of the gram) and out-of-place distances, all anew."""
+    r = random.Random(11)
+    texts = [prose(5 + 3 * i, i) if i % 3 else "".join(r.choice("éßxyz Öaé.") for _ in range(40 + i)) for i in range(60)]
+    rows = [(i, t, None if i % 10 == 9 else ("bb" if i % 3 else "aa")) for i, t in enumerate(texts)]
+    code = lambda g: sum((langid.EDGE if c == "_" else ord(c)) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    top = lambda c, n: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], code(x[0])))[:n]]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    known = {}
+    for name in ("aa", "bb"):
+        total = sum((slow_grams(t) for i, t, lang in rows if lang == name and not held(i)), collections.Counter())
+        known[name] = {g: place for place, g in enumerate(top(total, 400))}
+    got = {r.doc_id: r for r in langid.identify(make(rows)).collect()}
+    for i, t, _ in rows:
+        mine = top(slow_grams(t), 300)
+        d = {n: sum(min(abs(p[g] - place), 400) if g in p else 400 for place, g in enumerate(mine)) for n, p in known.items()}
+        best = min(sorted(d), key=d.get)
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(1 - d[best] / (400 * len(mine))) and got[i].held_out == held(i)
+
+
 def test_held_out_accuracy(documents):
     rows = langid.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").collect()
     out = [r for r in rows if r.held_out]
@@ -447,7 +467,7 @@ def test_held_out_accuracy(documents):
 
 def test_undetermined(make):
     rows = [(i, prose(20, i), None if i % 2 else "xx") for i in range(20)] + [(50, None), (51, "123 !"), (52, ""), (None, "abc")]
-    got = {r.doc_id: r for r in langid.identify(make(rows, **{k: v for k, v in CLASH.items() if k != "held_out"})).collect()}
+    got = {r.doc_id: r for r in langid.identify(make(rows, **CLASH)).collect()}
     assert [got[i].lang_pred for i in (50, 51, 52)] == ["und"] * 3 and got[50].score == 0.0
     assert got[1].lang_pred in ("xx", "en")
     nothing = langid.identify(make([(1, "text", None)])).collect()
