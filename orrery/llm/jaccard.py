@@ -355,7 +355,8 @@ def linked(docs: DataFrame, similarity: tuple[int, int] = (4, 5), n: int = 5, re
     member = member.join(nodes.select("node", "copies", "first"), "node")
     sizes = member.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     member = common.cut(member.join(sizes, "root").select("node", "copies", "root", "blocks", "first.doc_id", "first.th"), "members")
-    sets = with_sets(identified(docs).join(member, ["doc_id", "th"]).select("node", "copies", "root", "blocks", "text"), n)
+    # members grow with the corpus: they are merged with the texts at every size, never sent to all tasks
+    sets = with_sets(identified(docs).hint("merge").join(member, ["doc_id", "th"]).select("node", "copies", "root", "blocks", "text"), n)
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     sets = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
