@@ -36,7 +36,7 @@ from . import common
 GRAM = 32
 NULL_ID = np.int64(-(1 << 63))
 BLOCK = "part int, kind int, block binary"
-DOCS, SPANS, SITES, MARKS, PASSAGES = 0, 1, 2, 3, 4
+DOCS, SPANS, SITES, MARKS = 0, 1, 2, 3
 #: Of how many texts one is looked at for hot marks; contexts to see before a mark is held to be hot.
 LOOK, ENOUGH = 8, 16
 _P = 0x5851F42D4C957F2D
@@ -233,7 +233,7 @@ def hot_marks(narrow: DataFrame, length: int, n: int, hot_from: int | None = Non
 
 
 def passages(hot_at, bounds, hashes: Hashes, doc, s, e, th, ids, length: int) -> dict:
-    """All passages over the marks at `hot_at`, each once, in the form of marks: what is before them is empty."""
+    """All passages over the marks at `hot_at`, each once, in the form of marks (but for `p`): what is before is empty."""
     cover = np.zeros(bounds[-1] + 2, np.int32)
     first, last = s[hot_at], e[hot_at] - length
     fits = last >= first
@@ -244,20 +244,18 @@ def passages(hot_at, bounds, hashes: Hashes, doc, s, e, th, ids, length: int) ->
     half = at + length // 2
     w = common.mix64(hashes.of(at, half) * np.uint64(_P) + hashes.of(half, at + length))
     return {"a": hashes.of(at, at + length), "w": w, "id": ids[doc], "th": th[doc], "pos": (at - bounds[doc]).astype(np.uint32),
-            "left": np.zeros(len(at), np.uint16), "right": np.full(len(at), length, np.uint16)}
+            "left": np.zeros(len(at), np.uint16), "right": np.full(len(at), length, np.uint16), "p": np.ones(len(at), np.uint8)}
 
 
 def mark_blocks(batches, length: int, keys: np.ndarray, hot: np.ndarray, flush_at: int = 400_000):
     """Stage 1: marks and their contexts, and passages over hot marks; equal ones are folded within the task before they
     travel."""
-    held, over, count = [], [], 0
+    held, count = [], 0
 
     def flush():
-        for kind, rows in ((MARKS, held), (PASSAGES, over)):
-            if m := joined(rows):
-                kept, *spans = fold(m)
-                yield from dealt(((kept["a"] & np.uint64(0xFFFFFFFF)) % np.uint64(len(keys))).astype(np.int64), keys, kind, **kept)
-                yield from span_blocks(*spans, keys)
+        kept, *spans = fold(joined(held))
+        yield from dealt(((kept["a"] & np.uint64(0xFFFFFFFF)) % np.uint64(len(keys))).astype(np.int64), keys, MARKS, **kept)
+        yield from span_blocks(*spans, keys)
 
     for batch in common.slices(batches, 1 << 20):
         bounds, hashes, th, ids, at, a, doc, s, e, w = marks_of(batch, length)
@@ -265,17 +263,17 @@ def mark_blocks(batches, length: int, keys: np.ndarray, hot: np.ndarray, flush_a
             place = np.minimum(np.searchsorted(hot, a), len(hot) - 1)
             is_hot = hot[place] == a
             if is_hot.any():
-                over.append(passages(np.flatnonzero(is_hot), bounds, hashes, doc, s, e, th, ids, length))
-                count += len(over[-1]["a"])
+                held.append(passages(np.flatnonzero(is_hot), bounds, hashes, doc, s, e, th, ids, length))
+                count += len(held[-1]["a"])
                 at, a, doc, s, e, w = (x[~is_hot] for x in (at, a, doc, s, e, w))
         if len(at):
             held.append({"a": a, "w": w, "id": ids[doc], "th": th[doc], "pos": (at - bounds[doc]).astype(np.uint32),
-                         "left": (at - s).astype(np.uint16), "right": (e - at).astype(np.uint16)})
+                         "left": (at - s).astype(np.uint16), "right": (e - at).astype(np.uint16), "p": np.zeros(len(at), np.uint8)})
             count += len(at)
         if count >= flush_at:
             yield from in_batches(flush())
-            held, over, count = [], [], 0
-    if held or over:
+            held, count = [], 0
+    if held:
         yield from in_batches(flush())
 
 
@@ -308,14 +306,12 @@ def site_blocks(batches, keys: np.ndarray):
     hot marks the first is kept, the others are repeats."""
 
     def rows():
-        found, other = blocks_of(batches, MARKS, PASSAGES)
+        found, other = blocks_of(batches, MARKS)
         yield from other
-        if m := joined(found[PASSAGES]):
-            _, *spans = fold(m)
-            yield from span_blocks(*spans, keys)
         if m := joined(found[MARKS]):
             kept, *spans = fold(m)
             yield from span_blocks(*spans, keys)
+            kept = {k: v[kept["p"] == 0] for k, v in kept.items()}
             order = np.argsort(kept["a"], kind="stable")
             first = common.runs(kept["a"][order])
             size = np.diff(np.append(first, len(order)))
@@ -564,7 +560,7 @@ def dealt_spans(docs: DataFrame, keep: list[str], length: int, hot: dict) -> tup
     """Blocks of documents and of their spans, meeting in the documents' parts."""
     spark = docs.sparkSession
     common.prepare(spark)
-    n = common.parts(spark)
+    n = common.parts(spark, 1)
     keys = common.dealt_keys(n)
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     narrow = docs.select("doc_id", "text")

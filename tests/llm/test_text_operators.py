@@ -247,9 +247,9 @@ def test_hot_marks_do_not_meet(make):
     keys = common.dealt_keys(16)
     blocks = narrow.mapInArrow(lambda b: suffix.mark_blocks(b, 100, keys, hot), suffix.BLOCK).collect()
     marks = [common.unpack(x.block) for x in blocks if x.kind == suffix.MARKS]
-    assert not np.isin(np.concatenate([m["a"] for m in marks]), hot).any()
-    over = [common.unpack(x.block) for x in blocks if x.kind == suffix.PASSAGES]
-    inner = collections.Counter(np.concatenate([m["a"] for m in over]).tolist())
+    a, passage = (np.concatenate([m[k] for m in marks]) for k in ("a", "p"))
+    assert not np.isin(a[passage == 0], hot).any()
+    inner = collections.Counter(a[passage == 1].tolist())
     assert max(inner.values()) <= docs.rdd.getNumPartitions()  # equal passages leave a task once
     got = {x.doc_id: x.n_removed for x in suffix.removal(docs, hot_from=100, look=2).collect()}
     assert got[0] == 0 and all(got[i] >= 300 for i in range(1, 400))
