@@ -202,7 +202,9 @@ class LibraryEncoder:
         self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.size)])
 
     def whole_texts(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        """One call a text: what the library keeps of a token beside its id is many times the text, and is given back before
+        the next call asks for it, while a batch would hold that of all texts at once."""
+        return [np.array(e.ids, "<u4") for t in texts for e in self.tok.encode_batch_fast([t], add_special_tokens=False)]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, by way of its words. What is new in all of them is asked for together."""

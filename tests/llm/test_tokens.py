@@ -158,3 +158,19 @@ def test_no_documents(spark, make):
     got, _ = written(spark, make([]))
     assert got.count() == 0 and got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert bpe.encode_digest(make([]), PATH).count() == 0
+
+
+def test_the_library_holds_one_text_at_a_time():
+    enc, sizes = sstable.LibraryEncoder(PATH), []
+    tok = enc.tok
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kw):
+            sizes.append(len(texts))
+            return tok.encode_batch_fast(texts, **kw)
+
+    enc.tok = Counting()
+    texts = [t or "" for t in ODD]
+    got = enc.whole_texts(texts)
+    assert max(sizes) == 1
+    assert [x.tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
