@@ -16,9 +16,9 @@ The probability of a word is built in three layers, each a distribution over wor
 
 All counts (words, ids, triples) cover all training documents. Triples meet like words do, as hashes: SLACK bits
 longer than the number of tokens needs, so that a context is mistaken for another about once in 2 ** SLACK, at
-every size. The model's weights are fitted to one segment of text in `every` of every training document, in
-rotation, by two rounds: each task trains on its own documents from the common weights, and the tasks' weights are
-averaged by their steps, in two levels. So what is learned grows with the corpus, and no task with it.
+every size. The model's weights are fitted to every id of every training document, segment by segment, by two rounds: each
+task trains on its own documents from the common weights, and the tasks' weights are averaged by their steps, in two
+levels. (A caller may ask for one segment in `every`; the query does not.) So what is learned grows with the corpus, and no task with it.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ WORDS, DOCS, ANSWERS, COUNTS, FOUND = 0, 1, 2, 3, 4
 BLOCK = "part long, kind int, block binary"
 #: Weight of the attention model against the word's share, below the triples.
 ATTENTION_SHARE = 0.75
-SEGMENT, EVERY, WORD_BITS, SLACK = 512, 12, 20, 12
+SEGMENT, LEAD, EVERY, WORD_BITS, SLACK = 512, 64, 1, 20, 12
 WORD_BEGIN = re.compile(rb"[\x20\x09-\x0D]+(?=[^\x20\x09-\x0D])")
 #: Stand for what is before a document and for its end.
 START, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0676A9A99)
@@ -218,16 +218,29 @@ def found_blocks(batches):
         yield as_batch([(b["key"], FOUND, common.pack(owner=b["owner"], triple=planes(total[at], 4), context=planes(all_[at], 4), kinds=planes(kinds[at], 4)))])
 
 
-def segments(text: bytes, turn: int, chosen: range, of: int):
-    """(words, first, last) of the segments of a text that are due: one in `of`, in rotation from `turn`. A segment
-    begins with the first word that begins SEGMENT bytes, or a multiple, into the text; the others are not looked at."""
+def cuts(text: bytes, turn: int, chosen: range, of: int):
+    """Where the segments of a text that are due begin and end: one in `of`, in rotation from `turn`. A segment begins
+    with the first word that begins SEGMENT bytes, or a multiple, into the text; the others are not looked at."""
     n = max(1, -(-len(text) // SEGMENT))
     for k in range(n):
         if (k + turn) % of in chosen:
             a, b = (edge(text, x * SEGMENT) for x in (k, k + 1))
-            words = text[a:b].split()
-            if words or n == 1:
-                yield words, a == 0, b == len(text)
+            if n == 1 or text[a:b].strip():
+                yield a, b
+
+
+def segments(text: bytes, turn: int, chosen: range, of: int):
+    """(words, first, last) of the segments that are due."""
+    for a, b in cuts(text, turn, chosen, of):
+        yield text[a:b].split(), a == 0, b == len(text)
+
+
+def led(text: bytes, turn: int, chosen: range, of: int):
+    """(words, how many of them are context alone, last) of the segments that are due: the words that begin in the LEAD
+    bytes before a segment go ahead of it, so that its own words are all asked for, in their context."""
+    for a, b in cuts(text, turn, chosen, of):
+        before = text[edge(text, a - LEAD) : a].split() if a else []
+        yield before + text[a:b].split(), len(before), b == len(text)
 
 
 def edge(text: bytes, at: int) -> int:
@@ -254,10 +267,10 @@ def train_model(batches, tokenizer: str, counts: np.ndarray, weights: dict | Non
         flat, size = enc.words([w.decode() for w in number])
         begin = np.cumsum(size) - size
         streams, silent = [], []
-        for words, from_start, to_end in held:
+        for words, lead, to_end in held:
             ids = flat[common.ranges(begin[words], size[words])].astype(np.int64)
             streams.append(np.append(ids, end) if to_end else ids)
-            silent.append(0 if from_start else attention.STEP)  # a segment's first block is context alone
+            silent.append(int(size[words[:lead]].sum()))
         lengths = np.array([len(s) for s in streams], np.int64)
         ids = np.concatenate(streams)
         cur, opens, into = attention.blocks(vocabulary.input_of[ids], lengths, int(vocabulary.input_of[end]))
@@ -271,8 +284,8 @@ def train_model(batches, tokenizer: str, counts: np.ndarray, weights: dict | Non
     for batch in common.slices(batches, 4 << 20):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             turn = int(common.mix64(np.array([doc_id or 0]).view(np.uint64))[0] >> np.uint64(40))
-            for words, first, last in segments(text.encode().lower(), turn, chosen, of):
-                held.append((np.array([number.setdefault(w, len(number)) for w in words], np.int64), first, last))
+            for words, lead, last in led(text.encode().lower(), turn, chosen, of):
+                held.append((np.array([number.setdefault(w, len(number)) for w in words], np.int64), lead, last))
                 words_in += len(words)
         if words_in >= 400_000:
             flush()

@@ -251,3 +251,15 @@ def test_training_helps():
     for _ in range(20):
         t.take(cur, attention.previous(cur), opens, target.reshape(cur.shape))
     assert t.losses[-1] < 0.3 * t.losses[0]
+
+
+def test_the_model_is_trained_on_every_word_once():
+    text = b" ".join(b"w%d" % i for i in range(2000))
+    for turn in range(5):
+        asked = []
+        for chosen in (range(1), range(1, 4)):
+            for words, lead, _ in lm.led(text, turn, chosen, lm.EVERY * 4):
+                first = int(words[0][1:])
+                assert words == [b"w%d" % i for i in range(first, first + len(words))] and (lead > 5 or first == 0)
+                asked += words[lead:]
+        assert sorted(asked, key=lambda w: int(w[1:])) == text.split()
