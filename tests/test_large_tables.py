@@ -12,9 +12,11 @@ from orrery.functions import arrays as A
 from orrery.functions import kernels as K
 from orrery.functions import windows as W
 from orrery.operators import breaks as B
+from orrery.operators import geometry as G
 from orrery.operators import kernel_ops as KO
 from orrery.operators import pairs as P
 from orrery.plans import QUERIES
+from orrery.plans import fleet_queries as Q
 
 
 def test_feature_matrix_keeps_its_columns_where_cohorts_agree(spark, data, tmp_path):
@@ -173,3 +175,19 @@ def test_warping_by_bands_equals_the_whole_matrix():
                 full[i + 1, j + 1] = abs(a[i] - b[j]) + min(full[i, j], full[i, j + 1], full[i + 1, j])
         for band in (1, 7, 64):
             assert K.dtw(a, b, band) == full[n, m]
+
+
+def test_lines_of_suppliers_are_shuffled_once(spark, data):
+    df = Q.states(spark, data)
+    shuffles = [s for s in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in s]
+    assert len(shuffles) == 1 and "Join" not in plan(df) and "Expand" not in plan(df)
+
+
+def test_pairs_of_large_groups_are_dealt_over_pairs_of_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, f"s{i}", *map(float, rng.standard_normal(3))) for k in (0, 1) for i in range(40)]
+    states = spark.createDataFrame(rows, "k int, cohort string, a double, b double, c double")
+    whole, dealt = (G.pairwise(states, ["a", "b", "c"], keys=("k",), member="cohort", blocks=n) for n in (1, 4))
+    assert "RepartitionByExpression" in plan(dealt)
+    got = sorted(map(tuple, dealt.collect()))
+    assert len(got) == 2 * 40 * 39 // 2 and got == sorted(map(tuple, whole.collect()))
