@@ -12,6 +12,8 @@ ids that go on with one, so the probability that a word ends is a sum over group
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 
 STEP, MEMBERS = 16, 32
@@ -58,6 +60,7 @@ class Vocabulary:
         self.groups = start
         self.told_apart = np.array([t is not None for t in tables], bool)
         self.slot = np.cumsum(self.told_apart) - 1  # each told-apart group's row in the model's second level
+        self.slot_of = np.where(self.told_apart, self.slot, self.told_apart.sum()).astype(np.int16)  # the others' is behind all
         self.first_members = np.array([t for t in tables if t is not None], np.float32).reshape(-1, MEMBERS)
         self.first_groups = np.log(np.array(masses) / np.sum(masses)).astype(np.float32)
 
@@ -110,7 +113,7 @@ def exponentials(s: np.ndarray, reach: float):
 def softmax(s: np.ndarray, reach: float) -> np.ndarray:
     """In place; returns log of what each row was divided by."""
     total, shift = exponentials(s, reach)
-    s /= total
+    s *= 1 / total  # a product is cheaper than a quotient
     return (np.log(total) + shift)[..., 0]
 
 
@@ -220,7 +223,6 @@ class Model:
         asked = np.flatnonzero(t >= 0)
         t, n = t[asked], z.dtype.type(max(len(asked), 1))
         kind, zs = self.v.group_of[t], z[asked]
-        g = {"M": np.zeros_like(w["M"]), "c": np.zeros_like(w["c"])}
         ones = lambda m: np.ones(m, z.dtype)
         p = zs @ w["U"] + w["b"]
         here = np.arange(len(t))
@@ -228,20 +230,28 @@ class Model:
         at -= softmax(p, reach_of(zs, w["U"].T))
         loss = float(at.sum() + self.v.log_share[t].sum())
         p[here, kind] -= 1
-        p /= n
-        g["U"], g["b"] = zs.T @ p, ones(len(p)) @ p
+        g = {"U": zs.T @ p, "b": ones(len(p)) @ p, "M": np.zeros_like(w["M"]), "c": np.zeros_like(w["c"])}
         dzs = p @ w["U"].T
-        reach = reach_of(zs, w["M"].transpose(0, 2, 1)) if w["M"].size else 0.0
-        for slot, rows in self.by_group(kind):
-            zr, place = zs[rows], self.v.place_of[t[rows]]
-            y = zr @ w["M"][slot] + w["c"][slot]
-            mine = np.arange(len(rows))
-            own = y[mine, place]
-            loss += float((own - softmax(y, reach)).sum())
-            y[mine, place] -= 1
-            y /= n
-            g["M"][slot], g["c"][slot] = zr.T @ y, ones(len(y)) @ y
-            dzs[rows] += y @ w["M"][slot].T
+        # the second level: rows in order of their groups, so that each group's are a slice of one array
+        slot = self.v.slot_of[kind]
+        rows = np.argsort(slot, kind="stable")
+        edges = np.searchsorted(slot[rows], np.arange(len(w["M"]) + 1)).tolist()
+        rows = rows[: edges[-1]]
+        zr, place, here = zs[rows], self.v.place_of[t[rows]], np.arange(len(rows))
+        y, dzr = w["c"][slot[rows]], np.empty_like(zr)
+        slices = [(i, slice(a, b)) for i, (a, b) in enumerate(itertools.pairwise(edges)) if a < b]
+        for i, part in slices:
+            y[part] += zr[part] @ w["M"][i]
+        own = y[here, place]
+        loss += float((own - softmax(y, reach_of(zs, w["M"].transpose(0, 2, 1)) if w["M"].size else 0.0)).sum())
+        y[here, place] -= 1
+        for i, part in slices:
+            np.matmul(zr[part].T, y[part], out=g["M"][i])
+            np.matmul(y[part], w["M"][i].T, out=dzr[part])
+            np.matmul(ones(part.stop - part.start), y[part], out=g["c"][i])
+        dzs[rows] += dzr
+        for m in (*g.values(), dzs):
+            m /= n
         dz = np.zeros_like(z)
         dz[asked] = dzs
         dz = dz.reshape(o.shape)
@@ -270,8 +280,11 @@ class Trainer:
 
     def __init__(self, model: Model, batch: int = 256, rate: float = 0.015, warm: int = 20, seed: int = 11):
         self.model, self.batch, self.rate, self.warm = model, batch, rate, warm
-        self.m1 = {k: np.zeros_like(v) for k, v in model.w.items()}
-        self.m2 = {k: np.zeros_like(v) for k, v in model.w.items()}
+        # all weights lie in one array, of which the model's are views: a step is a few passes over it
+        self.all = np.concatenate([v.ravel() for v in model.w.values()])
+        ends = itertools.accumulate(v.size for v in model.w.values())
+        model.w = {k: self.all[e - v.size : e].reshape(v.shape) for (k, v), e in zip(model.w.items(), ends, strict=True)}
+        self.m1, self.m2, self.spare = (np.zeros_like(self.all) for _ in range(3))
         self.t, self.r, self.losses = 0, np.random.default_rng(seed), []
 
     def take(self, cur, prev, opens, target) -> None:
@@ -283,7 +296,15 @@ class Trainer:
             self.t += 1
             # falls with the root of the steps, whose number nobody knows beforehand
             rate = self.rate * min(1.0, self.t / self.warm) / np.sqrt(1 + self.t / 200)
-            for k, x in g.items():
-                self.m1[k] += 0.1 * (x - self.m1[k])
-                self.m2[k] += 0.01 * (x * x - self.m2[k])
-                self.model.w[k] -= (rate * (self.m1[k] / (1 - 0.9**self.t)) / (np.sqrt(self.m2[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+            x, y = np.concatenate([g[k].ravel() for k in self.model.w]), self.spare
+            for m, by in ((self.m1, 0.1), (self.m2, 0.01)):
+                np.subtract(x, m, out=y)
+                y *= by
+                m += y
+                np.multiply(x, x, out=x)
+            np.multiply(self.m2, 1 / (1 - 0.99**self.t), out=x)
+            np.sqrt(x, out=x)
+            x += 1e-8
+            np.divide(self.m1, x, out=x)
+            x *= rate / (1 - 0.9**self.t)
+            self.all -= x

@@ -263,3 +263,19 @@ def test_the_model_is_trained_on_every_word_once():
                 assert words == [b"w%d" % i for i in range(first, first + len(words))] and (lead > 5 or first == 0)
                 asked += words[lead:]
         assert sorted(asked, key=lambda w: int(w[1:])) == text.split()
+
+
+def test_a_step_is_adams_over_one_array_of_all_weights(small):
+    v = small
+    model, plain = attention.Model(v), attention.Model(v)
+    trainer = attention.Trainer(model, warm=1)
+    assert all(np.shares_memory(w, trainer.all) for w in model.w.values())
+    r = np.random.default_rng(7)
+    ids = r.integers(0, len(v.group_of), 40 * attention.STEP)
+    cur, opens, _ = attention.blocks(v.input_of[ids], np.array([len(ids)]), 0)
+    target = ids.reshape(cur.shape)
+    at = np.random.default_rng(11).permutation(len(cur))
+    _, g = plain.loss_and_gradients(cur[at], attention.previous(cur)[at], opens[at], target[at])
+    trainer.take(cur, attention.previous(cur), opens, target)
+    for k, w in plain.w.items():  # a first step goes by the rate along each gradient's sign
+        np.testing.assert_allclose(model.w[k], w - trainer.rate / np.sqrt(1 + 1 / 200) * g[k] / (np.abs(g[k]) + 1e-8), atol=1e-5)
