@@ -90,9 +90,15 @@ def previous(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x[:1], x[:-1]])
 
 
-def reach_of(a: np.ndarray, b: np.ndarray) -> float:
-    """No product of a row of a and a row of b is larger than this."""
-    return float(np.sqrt(np.einsum("...i,...i->...", a, a).max(initial=0) * np.einsum("...i,...i->...", b, b).max(initial=0)))
+def extreme(s: np.ndarray) -> float:
+    """The largest score without its sign."""
+    return max(float(s.max(initial=0)), -float(s.min(initial=0)))
+
+
+def masked(a: np.ndarray, opens: np.ndarray) -> None:
+    """Scores in place: what comes later, and at a document's start the earlier block, goes far below zero."""
+    a += LATE.astype(a.dtype, copy=False)
+    a[opens, :, :STEP] = -1e9
 
 
 def spread(m: np.ndarray) -> float:
@@ -117,6 +123,17 @@ def softmax(s: np.ndarray, reach: float) -> np.ndarray:
     return (np.log(total) + shift)[..., 0]
 
 
+def chosen_less(s: np.ndarray, chosen: np.ndarray, n) -> float:
+    """Sum of the log chances of each row's choice; the scores become the gradient of what is lost, by n."""
+    here = np.arange(len(s))
+    own = s[here, chosen]
+    total, shift = exponentials(s, extreme(s))
+    loss = float((own - (np.log(total) + shift)[:, 0]).sum())
+    s *= (1 / total) / n  # in this order: a product of the two may be too large
+    s[here, chosen] -= 1 / n
+    return loss
+
+
 def flat(m: np.ndarray) -> np.ndarray:
     return m.reshape(-1, m.shape[-1])
 
@@ -140,26 +157,42 @@ class Model:
         for k in np.flatnonzero(self.v.told_apart & (np.diff(first) > 0)).tolist():
             yield int(self.v.slot[k]), order[first[k] : first[k + 1]]
 
-    def attended(self, ids: np.ndarray, opens: np.ndarray, reach: float | None = None):
-        """Everything up to the scores: x, the queried half of it, q, k, v, masked scores, how large they may be. Later
-        places are masked, and at a document's start the earlier block."""
-        w = self.w
-        x = w["E"][ids]
+    def attended(self, ids: np.ndarray, opens: np.ndarray):
+        """Everything up to the scores, rows of all windows one after another: x, the queried half of it, scaled q, k and v
+        side by side, masked scores by window, how large they may be. Later places are masked, and at a document's start
+        the earlier block."""
+        w, n, d = self.w, len(ids), self.w["E"].shape[1]
+        x = w["E"].take(ids, 0)
         x += w["P"]
-        xq = x[:, STEP:]
-        q, k, v = xq @ w["q"], x @ w["k"], x @ w["v"]
-        q *= self.scale
-        a = q @ k.transpose(0, 2, 1)
-        a += LATE.astype(x.dtype, copy=False)
-        a[opens, :, :STEP] = -1e9
-        return x, xq, q, k, v, a, reach_of(q, k) if reach is None else reach
-
-    def hidden(self, ids: np.ndarray, opens: np.ndarray, reach: float | None = None) -> np.ndarray:
-        _, xq, _, _, v, a, reach = self.attended(ids, opens, reach)
+        xq = x[:, STEP:].reshape(-1, d)
+        q, kv = xq @ (w["q"] * self.scale), flat(x) @ np.concatenate([w["k"], w["v"]], 1)
+        a = q.reshape(n, STEP, d) @ kv[:, :d].reshape(n, 2 * STEP, d).transpose(0, 2, 1)
+        reach = extreme(a)
+        masked(a, opens)
+        return flat(x), xq, q, kv, a, reach
+
+    def projected(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every input row and every place as itself, k, v and scaled q side by side: a sum of two such rows is what
+        `attended` computes for an id at a place."""
+        to = np.concatenate([np.eye(len(self.w["q"]), dtype=self.w["q"].dtype), self.w["k"], self.w["v"], self.w["q"] * self.scale], 1)
+        return self.w["E"] @ to, self.w["P"] @ to
+
+    def hidden(self, ids: np.ndarray, opens: np.ndarray, reach: float | None, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Of windows that follow each other, given the block before them and theirs, so that a block which is the current
+        one of a window and the earlier one of the next is looked up once."""
+        n, d = len(ids) - 1, self.w["E"].shape[1]
+        of = rows.take(ids, 0)
+        kv = np.empty((n, 2 * STEP, 2 * d), of.dtype)
+        np.add(of[:-1, :, d : 3 * d], places[:STEP, d : 3 * d], out=kv[:, :STEP])
+        np.add(of[1:, :, d : 3 * d], places[STEP:, d : 3 * d], out=kv[:, STEP:])
+        q = of[1:, :, 3 * d :] + places[STEP:, 3 * d :]
+        a = q @ kv[:, :, :d].transpose(0, 2, 1)
+        reach = extreme(a) if reach is None else reach
+        masked(a, opens)
         total, _ = exponentials(a, reach)
-        o = a @ v
+        o = a @ kv[:, :, d:]
         o /= total
-        return flat(xq + o @ self.w["o"])
+        return flat(of[1:, :, :d] + places[STEP:, :d]) + flat(o) @ self.w["o"]
 
     def bounds(self) -> tuple[float | None, float]:
         """The largest score that the weights allow (None if that is too large to be of use), and the longest row of
@@ -179,6 +212,7 @@ class Model:
         first, second = np.concatenate([w["U"], w["b"][None]]), np.concatenate([w["M"], w["c"][:, None]], 1)
         sizes = [float(np.sqrt((m * m).sum(-2).max())) if m.size else 0.0 for m in (w["U"], w["M"])]
         reach, length = self.bounds()
+        table, places = self.projected()
         begins = np.zeros((self.v.groups, 2), np.float32)
         begins[: self.v.opening, 0], begins[:, 1] = 1, 1
         for a in range(0, len(cur), group):
@@ -188,10 +222,9 @@ class Model:
             z, at, chance = np.ones((n * STEP, d + 1), np.float32), np.empty(n * STEP, np.float32), np.empty(n * STEP, np.float32)
             for i in range(0, n, inner):
                 j = min(i + inner, n)
-                c, here = cur[a + i : a + j], slice(i * STEP, j * STEP)
-                prev = np.concatenate([cur[max(a + i - 1, 0)][None], c[:-1]])
+                here, before = slice(i * STEP, j * STEP), cur[max(a + i - 1, 0)][None]
                 zi = z[here]
-                zi[:, :d] = self.hidden(np.concatenate([prev, c], 1), opens[a + i : a + j], reach)
+                zi[:, :d] = self.hidden(np.concatenate([before, cur[a + i : a + j]]), opens[a + i : a + j], reach, table, places)
                 y = zi @ first
                 own = y[np.arange(len(y)), kind[here]]
                 _, shift = exponentials(y, length * sizes[0])
@@ -202,7 +235,7 @@ class Model:
             at += self.v.log_share[t]
             kind[t < 0] = -1
             for slot, rows in self.by_group(kind):
-                y = z[rows] @ second[slot]
+                y = z.take(rows, 0) @ second[slot]
                 own = y[np.arange(len(rows)), self.v.place_of[t[rows]]]
                 total, shift = exponentials(y, length * sizes[1])
                 at[rows] += own - (np.log(total) + shift)[:, 0]
@@ -213,65 +246,64 @@ class Model:
 
     def loss_and_gradients(self, cur, prev, opens, target):
         """Mean cross entropy of the places with a target (not below 0), and the gradient of every weight."""
-        w = self.w
+        w, v, windows, d = self.w, self.v, len(cur), self.w["E"].shape[1]
         ids = np.concatenate([prev, cur], 1)
-        x, xq, q, k, v, a, reach = self.attended(ids, opens)
+        x, xq, q, kv, a, reach = self.attended(ids, opens)
         softmax(a, reach)
-        o = a @ v
-        z = flat(xq + o @ w["o"])
+        by_window = lambda m, rows: m.reshape(windows, rows, -1)
+        values = by_window(kv[:, d:], 2 * STEP)
+        o = flat(a @ values)
+        # rows with a target in order of its group, so that the second level of each group is a slice; those of groups
+        # without one come last
         t = target.ravel()
         asked = np.flatnonzero(t >= 0)
-        t, n = t[asked], z.dtype.type(max(len(asked), 1))
-        kind, zs = self.v.group_of[t], z[asked]
-        ones = lambda m: np.ones(m, z.dtype)
-        p = zs @ w["U"] + w["b"]
-        here = np.arange(len(t))
-        at = p[here, kind]
-        at -= softmax(p, reach_of(zs, w["U"].T))
-        loss = float(at.sum() + self.v.log_share[t].sum())
-        p[here, kind] -= 1
-        g = {"U": zs.T @ p, "b": ones(len(p)) @ p, "M": np.zeros_like(w["M"]), "c": np.zeros_like(w["c"])}
-        dzs = p @ w["U"].T
-        # the second level: rows in order of their groups, so that each group's are a slice of one array
-        slot = self.v.slot_of[kind]
-        rows = np.argsort(slot, kind="stable")
-        edges = np.searchsorted(slot[rows], np.arange(len(w["M"]) + 1)).tolist()
-        rows = rows[: edges[-1]]
-        zr, place, here = zs[rows], self.v.place_of[t[rows]], np.arange(len(rows))
-        y, dzr = w["c"][slot[rows]], np.empty_like(zr)
-        slices = [(i, slice(a, b)) for i, (a, b) in enumerate(itertools.pairwise(edges)) if a < b]
+        slot = v.slot_of[v.group_of[t[asked]]]
+        order = np.argsort(slot, kind="stable")
+        edges = np.searchsorted(slot[order], np.arange(len(w["M"]) + 1)).tolist()
+        asked = asked[order]
+        t, told = t[asked], edges[-1]
+        n = x.dtype.type(max(len(asked), 1))
+        h = xq + o @ w["o"]
+        z = h.take(asked, 0)
+        p = z @ w["U"]
+        p += w["b"]
+        loss = float(v.log_share[t].sum()) + chosen_less(p, v.group_of[t], n)
+        g = {"U": z.T @ p, "b": np.ones(len(p), x.dtype) @ p}
+        dz = p @ w["U"].T
+        # a constant input behind the others carries the biases
+        zr, y, dzr = np.ones((told, d + 1), x.dtype), np.empty((told, MEMBERS), x.dtype), np.empty((told, d), x.dtype)
+        zr[:, :d] = z[:told]
+        second = np.concatenate([w["M"], w["c"][:, None]], 1)
+        g2 = np.zeros_like(second)
+        slices = [(i, slice(*part)) for i, part in enumerate(itertools.pairwise(edges)) if part[0] < part[1]]
         for i, part in slices:
-            y[part] += zr[part] @ w["M"][i]
-        own = y[here, place]
-        loss += float((own - softmax(y, reach_of(zs, w["M"].transpose(0, 2, 1)) if w["M"].size else 0.0)).sum())
-        y[here, place] -= 1
+            np.matmul(zr[part], second[i], out=y[part])
+        loss += chosen_less(y, v.place_of[t[:told]], n)
         for i, part in slices:
-            np.matmul(zr[part].T, y[part], out=g["M"][i])
+            np.matmul(zr[part].T, y[part], out=g2[i])
             np.matmul(y[part], w["M"][i].T, out=dzr[part])
-            np.matmul(ones(part.stop - part.start), y[part], out=g["c"][i])
-        dzs[rows] += dzr
-        for m in (*g.values(), dzs):
-            m /= n
-        dz = np.zeros_like(z)
-        dz[asked] = dzs
-        dz = dz.reshape(o.shape)
-        g["o"] = flat(o).T @ flat(dz)
-        do = dz @ w["o"].T
-        da = do @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ do
-        mean = (flat(da * a) @ ones(2 * STEP)).reshape(*a.shape[:-1], 1)
-        ds = a * (da - mean)
-        dq, dk = ds @ k * self.scale, ds.transpose(0, 2, 1) @ q  # q holds the scale
-        g["q"], g["k"], g["v"] = flat(xq).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dk @ w["k"].T + dv @ w["v"].T
-        dx[:, STEP:] += dq @ w["q"].T + dz
-        g["P"] = dx.sum(0)
-        g["E"] = np.zeros_like(w["E"])
-        flat_ids = ids.ravel()
-        order = np.argsort(flat_ids.astype(np.uint16) if len(w["E"]) <= 1 << 16 else flat_ids, kind="stable")
-        sorted_ids = flat_ids[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
-        g["E"][sorted_ids[first]] = np.add.reduceat(flat(dx)[order], first)
+        dz[:told] += dzr
+        g |= {"M": g2[:, :d], "c": g2[:, d]}
+        dh = np.zeros((windows * STEP, d), x.dtype)
+        dh[asked] = dz
+        g["o"] = o.T @ dh
+        do = dh @ w["o"].T
+        ds = by_window(do, STEP) @ values.transpose(0, 2, 1)
+        ds -= by_window((do * o) @ np.ones(d, x.dtype), STEP)  # the mean of a row by its weights
+        ds *= a
+        dq = flat(ds @ by_window(kv[:, :d], 2 * STEP))
+        dkv = np.empty((windows, 2 * STEP, 2 * d), x.dtype)
+        np.matmul(ds.transpose(0, 2, 1), by_window(q, STEP), out=dkv[:, :, :d])
+        np.matmul(a.transpose(0, 2, 1), by_window(do, STEP), out=dkv[:, :, d:])
+        dkv = flat(dkv)
+        g["q"], both = xq.T @ dq * self.scale, x.T @ dkv
+        g["k"], g["v"] = both[:, :d], both[:, d:]
+        dh += dq @ (w["q"] * self.scale).T
+        dx = by_window(dkv @ np.concatenate([w["k"], w["v"]], 1).T, 2 * STEP)
+        dx[:, STEP:] += by_window(dh, STEP)
+        g["P"] = (np.ones(windows, x.dtype) @ dx.reshape(windows, -1)).reshape(2 * STEP, d)
+        rows, columns = ids.ravel().astype(np.intp), np.ascontiguousarray(flat(dx).T)
+        g["E"] = np.array([np.bincount(rows, c, len(w["E"])) for c in columns]).T
         return -loss / float(n), g
 
 

@@ -23,6 +23,7 @@ levels. (A caller may ask for one segment in `every`; the query does not.) So wh
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
@@ -40,6 +41,8 @@ BLOCK = "part long, kind int, block binary"
 #: Weight of the attention model against the word's share, below the triples.
 ATTENTION_SHARE = 0.75
 SEGMENT, LEAD, EVERY, WORD_BITS, SLACK = 512, 64, 1, 20, 12
+#: Words after which a task trains on what it holds.
+FLUSH = 400_000
 WORD_BEGIN = re.compile(rb"[\x20\x09-\x0D]+(?=[^\x20\x09-\x0D])")
 #: Stand for what is before a document and for its end.
 START, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0676A9A99)
@@ -251,6 +254,39 @@ def edge(text: bytes, at: int) -> int:
     return m.end() if m else len(text)
 
 
+class TaskWords:
+    """The words a task has met and their subword ids. A word that recurs is not encoded again, however many streams
+    were made in between, until more than `most` are remembered."""
+
+    def __init__(self, enc, end: int, most: int = 250_000):
+        self.enc, self.end, self.most = enc, end, most
+        self.forget()
+
+    def forget(self) -> None:
+        # no word is empty: this one stands for the end of a document
+        self.number, self.ids, self.size = {b"": 0}, np.array([self.end], np.uint32), np.ones(1, np.int64)
+
+    def numbers(self, words: list[bytes], ended: bool) -> list[int]:
+        number = self.number
+        return [number.setdefault(w, len(number)) for w in words] + [0] * ended
+
+    def streams(self, held: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of (numbers, how many of them are context alone): the ids one after another, how many each has, and how many of
+        these are context. Numbers given before hold no longer if too many words are remembered."""
+        ids, size = self.enc.words([w.decode() for w in itertools.islice(self.number, len(self.size), None)])
+        self.ids, self.size = np.append(self.ids, ids), np.append(self.size, size)
+        words = np.fromiter(itertools.chain.from_iterable(x for x, _ in held), np.int64)
+        ends = np.cumsum([len(x) for x, _ in held])
+        first = ends - [len(x) for x, _ in held]
+        begin, size = np.cumsum(self.size) - self.size, self.size[words]
+        before = np.append(0, np.cumsum(size))
+        out = self.ids[common.ranges(begin[words], size)].astype(np.int64)
+        silent = before[first + [lead for _, lead in held]] - before[first]
+        if len(self.number) > self.most:
+            self.forget()
+        return out, before[ends] - before[first], silent
+
+
 def train_model(batches, tokenizer: str, counts: np.ndarray, weights: dict | None, chosen, of: int):
     """One task's training: from the common weights, over the due segments of its documents. A row: weights, steps."""
     from pyspark import TaskContext
@@ -261,18 +297,10 @@ def train_model(batches, tokenizer: str, counts: np.ndarray, weights: dict | Non
     if weights is not None:
         model.w = {k: v.copy() for k, v in weights.items()}
     trainer = attention.Trainer(model)
-    number, held, words_in = {}, [], 0
+    known, held = TaskWords(enc, end), []
 
     def flush():
-        flat, size = enc.words([w.decode() for w in number])
-        begin = np.cumsum(size) - size
-        streams, silent = [], []
-        for words, lead, to_end in held:
-            ids = flat[common.ranges(begin[words], size[words])].astype(np.int64)
-            streams.append(np.append(ids, end) if to_end else ids)
-            silent.append(int(size[words[:lead]].sum()))
-        lengths = np.array([len(s) for s in streams], np.int64)
-        ids = np.concatenate(streams)
+        ids, lengths, silent = known.streams(held)
         cur, opens, into = attention.blocks(vocabulary.input_of[ids], lengths, int(vocabulary.input_of[end]))
         place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         target = np.full(cur.size, -1, np.int64)
@@ -281,15 +309,16 @@ def train_model(batches, tokenizer: str, counts: np.ndarray, weights: dict | Non
         due = np.flatnonzero((target >= 0).any(1))
         trainer.take(cur[due], attention.previous(cur)[due], opens[due], target[due])
 
+    words_in = 0
     for batch in common.slices(batches, 4 << 20):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             turn = int(common.mix64(np.array([doc_id or 0]).view(np.uint64))[0] >> np.uint64(40))
             for words, lead, last in led(text.encode().lower(), turn, chosen, of):
-                held.append((np.array([number.setdefault(w, len(number)) for w in words], np.int64), lead, last))
+                held.append((known.numbers(words, last), lead))
                 words_in += len(words)
-        if words_in >= 400_000:
+        if words_in >= FLUSH:
             flush()
-            number, held, words_in = {}, [], 0
+            held, words_in = [], 0
     if held:
         flush()
     if trainer.t:

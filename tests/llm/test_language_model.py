@@ -279,3 +279,50 @@ def test_a_step_is_adams_over_one_array_of_all_weights(small):
     trainer.take(cur, attention.previous(cur), opens, target)
     for k, w in plain.w.items():  # a first step goes by the rate along each gradient's sign
         np.testing.assert_allclose(model.w[k], w - trainer.rate / np.sqrt(1 + 1 / 200) * g[k] / (np.abs(g[k]) + 1e-8), atol=1e-5)
+
+
+def test_a_task_encodes_a_word_once_however_often_it_trains(monkeypatch):
+    import pyarrow as pa
+
+    enc, asked, steps = sstable.encoder(bpe.default_tokenizer()), [], []
+    words, take = enc.words, attention.Trainer.take
+    monkeypatch.setattr(lm, "FLUSH", 100)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda _: 0})())
+    monkeypatch.setattr(enc, "words", lambda w: asked.extend(w) or words(w))
+    monkeypatch.setattr(attention.Trainer, "take", lambda self, *a: steps.append(int((a[3] >= 0).sum())) or take(self, *a))
+    texts = [prose(60, k) for k in range(12)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([k], pa.int64()), "text": [t]}) for k, t in enumerate(texts)]
+    list(lm.train_model(iter(batches), bpe.default_tokenizer(), np.ones(enc.size + 1, np.int64), None, range(4), 4))
+    assert len(steps) > 3 and len(asked) == len(set(asked)) and set(asked) == {w for t in texts for w in words_of(t)}
+    assert sum(steps) == sum(len(enc.tok.encode("".join(" " + w for w in words_of(t)), add_special_tokens=False).ids) + 1 for t in texts)
+
+
+def test_streams_of_a_task_hold_the_librarys_ids():
+    enc = sstable.encoder(bpe.default_tokenizer())
+    known = lm.TaskWords(enc, enc.size, most=4)
+    for words in (["the", "zzxq.", "the"], ["zzxq.", "of", "ünd"], ["the", "of"]):  # more than 4 are met: they are forgotten
+        held = [(known.numbers([w.encode() for w in words], True), 1), (known.numbers([words[0].encode()], False), 0), (known.numbers([], True), 0)]
+        ids, lengths, silent = known.streams(held)
+        subs = [enc.tok.encode(" " + w, add_special_tokens=False).ids for w in words]
+        assert ids.tolist() == [*(x for s in subs for x in s), enc.size, *subs[0], enc.size]
+        assert lengths.tolist() == [sum(map(len, subs)) + 1, len(subs[0]), 1] and silent.tolist() == [len(subs[0]), 0, 0]
+    assert len(known.number) == 3
+
+
+def test_windows_scored_in_a_row_equal_windows_alone(small):
+    """A block looked up once, as the current one of a window and the earlier one of the next, gives what training computes."""
+    m, r = attention.Model(small, width=6), np.random.default_rng(4)
+    cur, opens = r.integers(0, 64, (9, attention.STEP)), np.arange(9) % 4 == 0
+    rows, places = m.projected()
+    x, xq, q, kv, a, _ = m.attended(np.concatenate([attention.previous(cur), cur], 1), opens)
+    attention.softmax(a, 80)
+    want = xq + (a @ kv[:, 6:].reshape(9, -1, 6)).reshape(-1, 6) @ m.w["o"]
+    have = m.hidden(np.concatenate([cur[:1], cur]), opens, None, rows, places)
+    np.testing.assert_allclose(have, want, atol=2e-5)
+
+
+def test_great_scores_of_many_rows_keep_their_gradient():
+    s = np.full((40_000, 64), 74, np.float32)
+    loss = attention.chosen_less(s, np.zeros(len(s), np.int64), np.float32(len(s)))
+    assert loss / len(s) == pytest.approx(-math.log(64), rel=1e-4)
+    assert s[:, 0] * len(s) == pytest.approx(np.full(len(s), 1 / 64 - 1), rel=1e-3) and s[:, 1] * len(s) == pytest.approx(np.full(len(s), 1 / 64), rel=1e-3)
