@@ -17,6 +17,7 @@ from orrery.operators import kernel_ops as KO
 from orrery.operators import pairs as P
 from orrery.plans import QUERIES
 from orrery.plans import fleet_queries as Q
+from orrery.sources import observations as O
 
 
 def test_feature_matrix_keeps_its_columns_where_cohorts_agree(spark, data, tmp_path):
@@ -191,3 +192,31 @@ def test_pairs_of_large_groups_are_dealt_over_pairs_of_blocks(spark):
     assert "RepartitionByExpression" in plan(dealt)
     got = sorted(map(tuple, dealt.collect()))
     assert len(got) == 2 * 40 * 39 // 2 and got == sorted(map(tuple, whole.collect()))
+
+
+def test_lines_of_suppliers_travel_without_a_name_and_are_sorted_once(spark, data):
+    p = Q.states(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert sum("+- Sort [" in s for s in p.splitlines()) == 1
+    below = p[p.index("Exchange hashpartitioning") :].splitlines()[1]
+    assert "l_suppkey" in below and "cohort" not in below
+
+
+def test_places_of_samples_are_counted_on_lines(spark, data, tmp_path):
+    lines = spark.read.parquet(f"{data}/lineitem.parquet")
+    gap = F.when(F.col("l_linenumber") == 2, None).when(F.col("l_linenumber") == 3, float("nan"))
+    lines.withColumn("l_tax", F.when(F.col("l_linenumber").isin(2, 3), gap).otherwise(F.col("l_tax"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = O.obs_supplier(spark, str(tmp_path))
+    want = W.indexed(got.drop("r", "n"))
+    assert got.filter("signal_id = 'l_tax' and r <> signal_0").count() > 0
+    assert got.select(want.columns).exceptAll(want).isEmpty() and want.exceptAll(got.select(want.columns)).isEmpty()
+
+
+def test_no_pair_of_blocks_is_made_both_ways(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(k, f"s{i}" if i else None, *map(float, rng.standard_normal(3))) for k in (0, 1) for i in range(41)]
+    states = spark.createDataFrame(rows, "k int, cohort string, a double, b double, c double")
+    dealt, deal = [], G.spread
+    monkeypatch.setattr(G, "spread", lambda df, keys: dealt.append(df) or deal(df, keys))
+    pairs = G.pairwise(states, ["a", "b", "c"], keys=("k",), member="cohort", blocks=4)
+    assert sum(df.count() for df in dealt) == 80 + 5 * 80
+    assert pairs.filter("cohort_a < cohort_b").count() == pairs.count() == 2 * 40 * 39 // 2
